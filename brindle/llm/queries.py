@@ -7,14 +7,7 @@ import importlib
 #: name, module, function, name of the SQL there or None
 _ALL = (
     ("op1_simhash", "simhash", "op1", None),
-    ("op2_quality", "quality", "op2", None),
-    ("op3_toxicity", "toxicity", "op3", None),
-    ("op4_decontaminate", "decontaminate", "op4", None),
     ("op5_chat", "chat", "op5", None),
-    ("op6_media", "media", "op6", None),
-    ("op7_pii", "pii", "op7", None),
-    ("op8_language", "language", "op8", None),
-    ("op9_suffix_dedup", "suffixes", "op9", None),
     ("op10_mixing", "mixing", "op10", "OP10_SQL"),
 )
 
