@@ -55,7 +55,7 @@ def _offset(source: Column) -> Column:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """docs -> the kept columns, size, source_size, target, copies.
+    """docs -> _row (a struct of the kept columns), size, source_size, target, copies.
 
     Every document of a source is expected rate = target / source_size times.
     Documents stand in a fixed order inside their source; the running sum of
@@ -74,8 +74,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     an empty table. Other columns pass if named in keep.
     """
     tie = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    extra = [F.col(k) for k in keep]
-    rows = docs.select(*extra, F.col("source").alias("_s"), word_count(F.col(text_col)).alias("size"), tie.alias("_tie"))
+    rows = docs.select(F.struct(*keep).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_s"), word_count(F.col(text_col)).alias("size"), tie.alias("_tie"))
     rows = rows.withColumn("_class", F.floor(F.log2(F.col("size") + 1) * 8).cast("int")).withColumn("_slot", (F.conv(F.substring("_tie", 1, 4), 16, 10).cast("int") % SLOTS))
     if set(keep) <= {"doc_id", "source"}:
         rows = written(rows, "sizes")
@@ -88,25 +87,25 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     cells = cells.join(targets.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).select(
         F.col("_s").alias("_cs"), F.col("_class").alias("_cc"), F.col("_slot").alias("_cl"), "_before", "source_size", "target"
     )
-    inside = Window.partitionBy("_s", "_class", "_slot").orderBy("size", "_tie", "doc_id")
+    inside = Window.partitionBy("_s", "_class", "_slot").orderBy("size", "_tie", "_id")
     ranked = rows.withColumn("_in", F.row_number().over(inside) - 1)
     same = F.col("_s").eqNullSafe(F.col("_cs")) & (F.col("_class") == F.col("_cc")) & (F.col("_slot") == F.col("_cl"))
     ranked = ranked.join(cells, same)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = (F.col("_before") + F.col("_in")).cast("double")
     copies = F.floor(rate * (rank + 1) + _offset(F.col("_s"))) - F.floor(rate * rank + _offset(F.col("_s")))
-    return ranked.select(*[F.col(k) for k in keep], "size", F.col("source_size").cast("long"), "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
+    return ranked.select("_row", "size", F.col("source_size").cast("long"), "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs -> each emitted copy as a row, with a column copy_no from 1."""
+    """docs -> each emitted copy as a row with the columns of docs."""
     out = mix_sources(docs, keep=tuple(docs.columns), **how)
-    return out.where("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_no"))
+    return out.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("_row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 #: DuckDB SQL for op10, step by step the same sampling.

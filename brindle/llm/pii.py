@@ -296,7 +296,7 @@ def all_spans(text: Column, base: Column, trees: Trees | None) -> Column:
 
 
 def find_pii(docs: DataFrame, trees: Trees | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """docs -> kept columns, _pii_text, base and spans (arrays of start, end, kind number, value).
+    """docs -> kept columns, _pii_text, _pii_base and _pii_spans (arrays of start, end, kind number, value).
 
     Every row gives one row; null texts are empty and have no span. Nothing is
     shuffled. Other columns pass if named in keep.
@@ -305,7 +305,7 @@ def find_pii(docs: DataFrame, trees: Trees | None, keep: tuple[str, ...] = ("doc
     rows = docs.select(*[F.col(k) for k in keep], text.alias("_pii_text"))
     t = F.col("_pii_text")
     both = let(base_spans(t), lambda b: F.struct(b.alias("base"), F.when(t.rlike("[0-9@]"), all_spans(t, b, trees)).otherwise(b).alias("spans")))
-    return rows.withColumn("_pii", both).select(*[F.col(k) for k in keep], "_pii_text", F.col("_pii.base").alias("base"), F.col("_pii.spans").alias("spans"))
+    return rows.withColumn("_pii", both).select(*[F.col(k) for k in keep], "_pii_text", F.col("_pii.base").alias("_pii_base"), F.col("_pii.spans").alias("_pii_spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -330,12 +330,22 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
+def without_pii(docs: DataFrame, trees: Trees | None) -> DataFrame:
+    """docs with personal data in texts replaced, and n_chars (if there) counted anew; null texts stay null."""
+    found = find_pii(docs, trees, tuple(docs.columns))
+    text = F.when(F.col("text").isNotNull(), redacted(F.col("_pii_text"), F.col("_pii_spans")))
+    found = found.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = find_pii(docs, fitted(docs))
 
     def count(i: int) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+        return F.size(F.filter("_pii_base", lambda s: s["kind"] == i)).cast("long")
 
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(BASE)]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("_pii_base")), 256).alias("base_sha256"), joined(F.col("_pii_spans")).alias("spans"))

@@ -17,6 +17,7 @@ from brindle.llm.samples import fold_of, labelled_texts
 from brindle.session import table
 
 SAMPLE = 6000
+THRESHOLD = 0.3
 LEAST_CONTEXTS = 6
 LEAST_WEIGHT = 1.5
 
@@ -131,24 +132,25 @@ def fit(rows: list[tuple[str, int]], excused: tuple[str, ...] = EXCUSED, least_c
 
 
 def score_texts(docs: DataFrame, lex: Lexicon, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs -> kept columns, weight (of terms found) and score (0 to 1) of every whole text.
+    """docs -> kept columns, tox_weight (of terms found) and tox_score (0 to 1) of every whole text.
 
     Null and empty texts have weight 0 and the score of a text without terms.
     Every row gives one row; other columns are ignored.
     """
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    column = "text" if "text" in keep else "_text"
+    rows = docs.select(*keep) if column == "text" else docs.select(*keep, F.col("text").alias("_text"))
 
     def run(batches):
         auto = lex.automaton()
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(column).to_pylist()
             weight = np.array([found(fold(t), auto) if t else 0.0 for t in texts], float)
             words = np.array([len(t.split()) if t and w else 1 for t, w in zip(texts, weight)], float)
             score = 1 / (1 + np.exp(-_shape(weight, words) @ np.array([lex.bias, lex.total, lex.density]))) if len(texts) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(weight), pa.array(score)], names=[*keep, "weight", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(weight), pa.array(score)], names=[*keep, "tox_weight", "tox_score"])
 
     kept = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(run, f"{kept}, weight double, score double")
+    return rows.mapInArrow(run, f"{kept}, tox_weight double, tox_score double")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
@@ -156,7 +158,12 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     return fit(labelled_texts(docs, labels, "toxic", 4, 2, sample))
 
 
+def without_toxic(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """docs without the rows whose score reaches the threshold; all columns stay."""
+    return score_texts(docs, lex, tuple(docs.columns)).where(F.col("tox_score") < THRESHOLD).select(*docs.columns)
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score_texts(docs, fitted(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "weight")
+    return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= THRESHOLD).cast("int").alias("predicted"))
