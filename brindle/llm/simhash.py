@@ -164,18 +164,6 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", width: int = 3, mos
     return rows.join(placed, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, text_col: str = "text", width: int = 3, most_bits: int = 2) -> DataFrame:
-    """docs with one document of each near-duplicate group: that with the least doc_id.
-
-    A row repeated with its doc_id stays once. All columns stay.
-    """
-    found = written(near_duplicates(docs, text_col, width, most_bits), "groups")
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
-    repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", text_col])
-
-
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
