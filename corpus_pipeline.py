@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import decontaminate, mixing, pii, simhash, toxicity
+from brindle.llm import decontaminate, mixing, near, pii, toxicity
 from brindle.session import table, written
 
 
@@ -14,8 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, over shingles of five words."""
-    return simhash.one_of_each(docs, width=5)
+    """One document of each group of near copies: shingles of five words, similarity 0.8 or more."""
+    return near.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
