@@ -30,8 +30,10 @@ WIDTH, SIMILARITY = 5, 0.8
 POSITIONS, PER_LIST = 30, 3
 #: Least number of shared positions of a pair to be checked (at 0.8, 24 are expected).
 LEAST_SHARED = 15
-#: A list up to this size has all its pairs tallied; a longer one is compared with its most typical text and cut finer.
-SHORT_LIST = 32
+#: A list up to this size has all its pairs tallied; one up to these sizes is linked whole in one task;
+#: a longer one is compared with its most typical text and cut finer.
+SHORT_LIST, MIDDLE_LIST, MIDDLE_SHINGLES = 32, 2048, 2_000_000
+LEVELS = 4
 MOST_BROADCAST = 200_000
 
 _RANDOM = np.random.default_rng(64)
@@ -80,22 +82,24 @@ def list_keys(prints: np.ndarray) -> np.ndarray:
 
 
 def with_samples(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """docs -> doc_id, node, print (array of int), keys (array of long)."""
+    """docs -> doc_id, node, n (shingles), print (array of int), keys (array of long)."""
     rows = docs.select("doc_id", F.col(text_col).alias("_text"))
 
     def run(batches):
         for batch in batches:
-            nodes, prints = [], []
+            nodes, sizes, prints = [], [], []
             for t in batch.column("_text").to_pylist():
                 w = _words(t)
+                h = shingle_set(w, width)
                 nodes.append(node_of(w))
-                prints.append(sampled_fingerprint(shingle_set(w, width)))
+                sizes.append(len(h))
+                prints.append(sampled_fingerprint(h))
             p = np.stack(prints) if prints else np.zeros((0, POSITIONS), np.int32)
             k = list_keys(p)
             as_lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), as_lists(p, pa.int32()), as_lists(k, pa.int64())], names=["doc_id", "node", "print", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), as_lists(p, pa.int32()), as_lists(k, pa.int64())], names=["doc_id", "node", "n", "print", "keys"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, print array<int>, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, n long, print array<int>, keys array<long>")
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -121,42 +125,97 @@ def _tally_short(lists: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Long lists(key, node, print) -> pairs of each member with the list's most typical text.
+    """Long lists(key, node, weight, print) -> pairs of each member with the list's most typical text.
 
-    Typical is the member that agrees with the list's most frequent value at
-    most positions. Counts, maxima and joins on the key do it, so no task holds
-    a list.
+    Typical is the member with the largest weight: its lists have the most
+    members, so its positions have the values that most members have. A maximum
+    and a join on the key do it, so no task holds a list.
     """
-    cells = members.select("key", F.posexplode("print").alias("at", "value")).groupBy("key", "at", "value").agg(F.count("*").alias("n"))
-    usual = cells.groupBy("key", "at").agg(F.max(F.struct("n", "value")).alias("top"))
-    usual = usual.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "top.value"))), lambda x: x["value"]).alias("usual"))
-    centre = members.join(usual, "key").groupBy("key").agg(F.max(F.struct(_shared(F.col("print"), F.col("usual")).alias("n"), "node", "print")).alias("c"))
-    pairs = members.join(centre.select("key", "c.node", "c.print").toDF("key", "centre", "centre_print"), "key")
+    centre = members.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
+    prints = members.select(F.col("key").alias("_key"), F.col("node").alias("_node"), F.col("print").alias("centre_print"))
+    centre = centre.join(prints, (F.col("key") == F.col("_key")) & (F.col("centre") == F.col("_node"))).select("key", "centre", "centre_print")
+    pairs = members.join(centre, "key")
     pairs = pairs.where((F.col("node") != F.col("centre")) & (_shared(F.col("print"), F.col("centre_print")) >= LEAST_SHARED))
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """reps(node, print, keys), one row a node -> distinct pairs (a, b) to check.
+def candidate_lists(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """reps(node, n, print, keys), one row a node -> (distinct pairs (a, b) to check, lists (key, node) to link whole).
 
-    A list longer than SHORT_LIST gives one pair a member, then is cut into
-    the lists of two keys, where members that stand closer meet again.
+    A list too long for either gives one pair a member, then is cut by its
+    members' next key, and so on; those that stand closest meet again.
     """
-    found = []
-    entries = reps.select("node", F.explode("keys").alias("key"))
-    for level in (1, 2):
+    pairs, whole = [], []
+    entries = reps.select("node", F.posexplode("keys").alias("place", "key"))
+    weights = None
+    for level in range(1, LEVELS + 1):
         sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        members = written(entries.join(sizes, "key").join(reps, "node").select("key", "size", "node", "print", "keys"), "lists")
+        listed = entries.join(sizes, "key")
+        if weights is None:
+            listed = written(listed, "entries")
+            weights = listed.groupBy("node").agg(F.sum("size").alias("weight"))
+            reps = written(reps.join(weights, "node"), "listed")
+        members = written(listed.join(reps, "node").select("key", "place", "size", "node", "n", "weight", "print", "keys"), "lists")
         short = members.where(F.col("size") <= SHORT_LIST).groupBy("key").agg(F.collect_list(F.struct("node", "print")).alias("members"))
-        found.append(_tally_short(short.select("members")))
-        long = members.where(F.col("size") > SHORT_LIST)
+        pairs.append(_tally_short(short.select("members")))
+        longer = members.where(F.col("size") > SHORT_LIST)
+        if longer.isEmpty():
+            break
+        heavy = longer.groupBy("key").agg(F.sum("n").alias("shingles")).where((F.col("shingles") <= MIDDLE_SHINGLES)).select("key")
+        middle = longer.where(F.col("size") <= MIDDLE_LIST).join(heavy, "key", "left_semi")
+        whole.append(middle.select("key", "node"))
+        long = longer.join(middle.select("key").distinct(), "key", "left_anti")
         if long.isEmpty():
             break
-        found.append(_stars(long))
-        if level == 1:
-            other = long.select("node", "key", F.explode("keys").alias("_other")).where("key <> _other")
-            entries = other.select("node", F.xxhash64(F.least("key", "_other"), F.greatest("key", "_other")).alias("key")).distinct()
-    return reduce(DataFrame.unionByName, found).distinct()
+        pairs.append(_stars(long))
+        after = F.element_at("keys", (F.col("place") + level) % F.size("keys") + 1)
+        entries = long.select("node", "place", F.xxhash64("key", after).alias("key"))
+    every = reduce(DataFrame.unionByName, pairs).distinct()
+    return every, reduce(DataFrame.unionByName, whole) if whole else reps.select(F.lit(0).cast("long").alias("key"), "node").limit(0)
+
+
+def _link_list(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links of one list: all that are reached from its first member, then each stray against all."""
+    m = len(nodes)
+    size = np.array([len(x) for x in sets])
+    value, word = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), size)
+    order = np.argsort(word, kind="stable")
+    by_word = owner[order]
+    at = np.searchsorted(word[order], np.arange(len(value) + 1))
+    edge = np.concatenate(([0], np.cumsum(size)))
+    root = np.arange(m)
+    out = []
+
+    def link_all(i: int) -> None:
+        mine = word[edge[i] : edge[i + 1]]
+        counts = at[mine + 1] - at[mine]
+        places = np.repeat(at[mine] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        shared = np.bincount(by_word[places], minlength=m)
+        for j in np.flatnonzero((shared >= similarity * (size + size[i] - shared) - 1e-9) & (root != root[i])):
+            if root[i] != root[j]:
+                out.append((int(nodes[i]), int(nodes[j])))
+                root[root == root[j]] = root[i]
+
+    link_all(0)
+    # every member outside the largest component is compared with all, so no link between components is missed
+    main = np.bincount(root, minlength=m).argmax()
+    for i in np.flatnonzero(root != main).tolist():
+        link_all(i)
+    return out
+
+
+def _link_lists(lists: DataFrame, similarity: float) -> DataFrame:
+    """Lists(members: node, shingles) -> links (a, b), checked exactly."""
+
+    def run(batches):
+        for batch in batches:
+            for x in batch.column("members"):
+                nodes, sh = x.values.field("node").to_numpy(), x.values.field("shingles")
+                found = _link_list(nodes, [y.values.to_numpy() for y in sh], similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return lists.mapInArrow(run, "a long, b long")
 
 
 def _sets_of(docs: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -185,10 +244,11 @@ def near_copies(docs: DataFrame, text_col: str = "text", width: int = WIDTH, sim
     ignored. An empty table gives an empty table.
     """
     rows = written(with_samples(docs, text_col, width), "samples")
-    reps = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("print").alias("print"), F.first("keys").alias("keys"))
+    reps = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("keys").alias("keys"))
     reps = written(reps, "nodes")
-    pairs = written(candidate_pairs(reps.where(F.col("rep").isNotNull()).select("node", "print", "keys")), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    pairs, whole = candidate_lists(reps.where(F.col("rep").isNotNull()).select("node", "n", "print", "keys"))
+    pairs, whole = written(pairs, "pairs"), written(whole, "whole")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(whole.select("node")).distinct()
     asked = written(asked.join(reps.select("node", "rep"), "node"), "asked")
     few = small_enough(asked, MOST_BROADCAST)
     ids = asked.select(F.col("rep").alias("doc_id")).distinct()
@@ -197,7 +257,10 @@ def near_copies(docs: DataFrame, text_col: str = "text", width: int = WIDTH, sim
     sets = written(_sets_of(texts, text_col, width).join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.select("a", "b", shared.alias("n"), (F.size("sa") + F.size("sb")).alias("sum")).where(F.col("n") >= similarity * (F.col("sum") - F.col("n")) - 1e-9)
+    links = both.select("a", "b", shared.alias("n"), (F.size("sa") + F.size("sb")).alias("sum")).where(F.col("n") >= similarity * (F.col("sum") - F.col("n")) - 1e-9).select("a", "b")
+    if not whole.isEmpty():
+        lists = whole.join(sets, "node").groupBy("key").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
+        links = links.unionByName(_link_lists(lists.select("members"), similarity))
     roots = connected_components(links.select("a", "b"))
     placed = reps.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
