@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.session import small_enough, table
+from brindle.session import small_enough, table, written
 
 WINDOW = 8
 LEAST_SHARE = 0.5
@@ -125,9 +125,11 @@ def contaminated(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad._bad), "left_anti")
+    """docs without those that hold a benchmark item; rows without a doc_id stay."""
+    bad = contaminated(docs, benchmark, **how).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = written(bad, "contaminated")
+    # beyond the checked size, documents are dealt out by doc_id once
+    return docs.join(F.broadcast(bad) if small_enough(bad, MOST_BROADCAST) else bad, F.col("doc_id") == F.col("_bad"), "left_anti")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
