@@ -11,7 +11,7 @@ digests between groups and buckets, never a row for each suffix:
 2. Ranks. A bucket sees which names more than one group has, and answers each
    group with one bit a name. Only windows over a sample that repeats can
    repeat themselves; all others are settled.
-3. Suffix buckets. The windows left go to the bucket of their least 20-byte
+3. Suffix buckets. The windows left go to the bucket of their least 12-byte
    string, so equal windows meet. Neighbouring windows of one bucket travel as
    one string, and a string that a group holds many times travels once, with
    its least document. A bucket sorts its windows (by a 64-bit name of all 50
@@ -42,6 +42,8 @@ MODULUS, COVER = 31, (1, 5, 11, 24, 25, 27)
 SEED = WIDTH - MODULUS + 1
 NO_DOC = (1 << 63) - 1
 LONGEST_RUN = 4096
+#: Bytes of the strings whose least name deals a window to its bucket.
+DEAL = 12
 
 _M = (1 << 64) - 1
 _R = 0x9E3779B97F4A7C15
@@ -120,6 +122,26 @@ class Group:
         self.stop = np.append(self.start[1:], len(bucket))
 
 
+def _squeezed(data: bytes) -> bytes:
+    """data compressed, behind its size."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _packed(names: np.ndarray) -> bytes:
+    """Ascending 32-bit names as steps, byte place by byte place, compressed: most leading bytes are zero."""
+    steps = np.diff(names, prepend=np.uint32(0)).astype("<u4")
+    return _squeezed(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unsqueezed(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     cols = list(zip(*rows)) if rows else [[] for _ in schema]
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -142,8 +164,8 @@ def _send_names(buckets: int):
         grp = tbl.column("grp")[0].as_py()
         _, buf, offs, _ = _bytes_of(tbl.select(["doc_id", "raw"]))
         g = Group(buf, offs, Names(buf), buckets)
-        low = (g.unique & np.uint64(0xFFFFFFFF)).astype("<u4")
-        return _rows(_SENT, [(int(b), grp, low[i:j].tobytes()) for b, i, j in zip(g.bucket, g.start, g.stop)])
+        low = (g.unique & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return _rows(_SENT, [(int(b), grp, _packed(low[i:j])) for b, i, j in zip(g.bucket, g.start, g.stop)])
 
     return run
 
@@ -154,7 +176,7 @@ def _rank_names(tbl: pa.Table) -> pa.Table:
     order = np.argsort(tbl.column("grp").to_numpy(), kind="stable")
     grps = tbl.column("grp").to_numpy()[order].tolist()
     sent = tbl.column("names").to_pylist()
-    lists = [np.frombuffer(sent[i], "<u4") for i in order]
+    lists = [_unpacked(sent[i]) for i in order]
     every = np.concatenate(lists)
     by = np.argsort(every, kind="stable")
     s = every[by]
@@ -200,7 +222,7 @@ def _send_strings(names_buckets: int, buckets: int):
         w = np.flatnonzero(left)
         if not len(w):
             return _rows(_STRINGS, [])
-        low = _sliding_least(names.all(SEED), WIDTH - SEED + 1)[w]
+        low = _sliding_least(names.all(DEAL), WIDTH - DEAL + 1)[w]
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1] + 1) | (low[1:] != low[:-1]) | (g.doc[w[1:]] != g.doc[w[:-1]])
         head = np.flatnonzero(new)
@@ -228,7 +250,7 @@ def _send_strings(names_buckets: int, buckets: int):
         for b, i, j in zip(nb.tolist(), i0.tolist(), np.append(i0[1:], len(pick)).tolist()):
             part = pick[i:j]
             data = b"".join(view[s : s + k] for s, k in zip(start[part].tolist(), size[part].tolist()))
-            out.append((b, grp, size[part].astype("<i4").tobytes(), least[i:j].astype("<i8").tobytes(), most[i:j].astype("<i8").tobytes(), data))
+            out.append((b, grp, size[part].astype("<i4").tobytes(), least[i:j].astype("<i8").tobytes(), most[i:j].astype("<i8").tobytes(), _squeezed(data)))
         out.append((OWN - grp, grp, start.astype("<i4").tobytes(), string_no.astype("<i4").tobytes(), np.append(i0, len(pick)).astype("<i4").tobytes(), nb.astype("<i8").tobytes()))
         return _rows(_STRINGS, out)
 
@@ -246,7 +268,7 @@ def _least_documents(tbl: pa.Table) -> pa.Table:
     size = np.concatenate(sizes)
     least = np.concatenate([np.frombuffer(x, "<i8") for x in tbl.column("least").to_pylist()])
     most = np.concatenate([np.frombuffer(x, "<i8") for x in tbl.column("most").to_pylist()])
-    buf = np.frombuffer(b"".join(tbl.column("data").to_pylist()), np.uint8)
+    buf = np.frombuffer(b"".join(map(_unsqueezed, tbl.column("data").to_pylist())), np.uint8)
     begin = np.cumsum(size) - size
     n = size - WIDTH + 1
     first = np.cumsum(n) - n
