@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.vectors import hamming, sign_words
+from brindle.session import small_enough
 
 #: Rows of a slab of vectors and of a block of queries: what one task multiplies at a time.
 SLAB_ROWS, BLOCK_ROWS = 50_000, 2_000
@@ -31,8 +32,8 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, tag: str | None
     n_vec, n_q = vectors.count(), queries.count()
     slabs, blocks = max(1, -(-n_vec // SLAB_ROWS)), max(1, -(-n_q // BLOCK_ROWS))
     extra = [F.col(tag).alias("tag")] if tag else [F.lit(0).alias("tag")]
-    v = vectors.select("id", "embedding", *extra).withColumn("slab", F.pmod(F.xxhash64("id"), F.lit(slabs))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-    q = queries.select(F.col("query"), "embedding", *extra).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).cast("long"))
+    v = vectors.select("id", "embedding", *extra).withColumn("slab", F.pmod(F.xxhash64("id"), F.lit(slabs))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    q = queries.select(F.col("query"), "embedding", *extra).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1)).cast("array<long>")))
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
@@ -59,9 +60,11 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, tag: str | None
 
 
 def signbit_shortlist(queries: DataFrame, vectors: DataFrame, dim: int, shortlist: int) -> DataFrame:
-    """For each query of a small, checked set: the nearest ids by Hamming distance of sign bits, ties by id."""
+    """For each of at most BLOCK_ROWS queries (more are refused): the nearest ids by Hamming distance of sign bits, ties by id."""
+    if not small_enough(queries, BLOCK_ROWS):
+        raise ValueError(f"more than {BLOCK_ROWS} queries")
     v = vectors.select("id", sign_words(F.col("embedding"), dim).alias("bits"))
-    q = F.broadcast(queries.select("query", sign_words(F.col("embedding"), dim).alias("qbits")).limit(BLOCK_ROWS))
+    q = F.broadcast(queries.select("query", sign_words(F.col("embedding"), dim).alias("qbits")))
     d = v.join(q, F.col("id") != F.col("query")).select("query", "id", hamming(F.col("bits"), F.col("qbits")).alias("distance"))
     w = Window.partitionBy("query").orderBy("distance", "id")
     return d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= shortlist).select("query", "id", "distance")

@@ -79,8 +79,8 @@ def silence_report(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "reply_latency",
     f"""
-WITH f AS (SELECT l_orderkey, min(l_shipdate) AS at FROM lineitem GROUP BY 1),
-r AS (SELECT o_orderpriority, {_days('o_orderdate', 'at')} AS days FROM orders JOIN f ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'O')
+WITH f AS (SELECT l_orderkey, min(l_shipdate) AS first_at FROM lineitem GROUP BY 1),
+r AS (SELECT o_orderpriority, {_days('o_orderdate', 'first_at')} AS days FROM orders JOIN f ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'O')
 SELECT o_orderpriority, count(*) AS samples, median(days)::DOUBLE AS median_days, min(days) AS fastest, max(days) AS slowest,
   CASE WHEN count(*) >= 5 THEN round(median(days)::DOUBLE)::BIGINT + 7 END AS suggestion FROM r GROUP BY 1""",
 )
