@@ -63,7 +63,8 @@ def running(values: Column, merge, zero) -> Column:
     return let(values, work)
 
 
-SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
+#: Fields in this order sort by start, then kind.
+SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def none() -> Column:
@@ -89,8 +90,8 @@ def matches(text: Column, pattern: str, kind: int) -> Column:
                 found,
                 lambda m, i: F.struct(
                     (before[i] + g[i]).alias("start"),
-                    (before[i] + g[i] + F.length(m)).alias("end"),
                     F.lit(kind).alias("kind"),
+                    (before[i] + g[i] + F.length(m)).alias("end"),
                     m.alias("value"),
                 ),
             ),
@@ -291,7 +292,7 @@ def all_spans(text: Column, base: Column, trees: Trees | None) -> Column:
         least = F.element_at(F.array(*[F.lit(x) for x in trees.least]), c["kind"] + 1)
         return free & let(features(c), lambda f: trees.score(f) >= least)
 
-    more = F.transform(F.filter(candidates(text), chosen), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["value"].alias("value")))
+    more = F.transform(F.filter(candidates(text), chosen), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["value"].alias("value")))
     return F.array_sort(F.concat(base, more))
 
 
