@@ -31,8 +31,10 @@ POSITIONS, PER_LIST = 30, 3
 #: Least number of shared positions of a pair to be checked (at 0.8, 24 are expected).
 LEAST_SHARED = 15
 #: A list up to this size has all its pairs tallied; one up to these sizes is linked whole in one task;
-#: a longer one is compared with its most typical text and cut finer.
+#: a longer one is compared with its most typical text and cut finer, and what that leaves apart is compared with the whole list.
 SHORT_LIST, MIDDLE_LIST, MIDDLE_SHINGLES = 32, 2048, 2_000_000
+#: Texts and shingles of a block of a long list; a task holds a block of each side.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 500_000
 LEVELS = 4
 MOST_BROADCAST = 200_000
 
@@ -139,13 +141,14 @@ def _stars(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
 
 
-def candidate_lists(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """reps(node, n, print, keys), one row a node -> (distinct pairs (a, b) to check, lists (key, node) to link whole).
+def candidate_lists(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """reps(node, n, print, keys), one row a node -> (distinct pairs (a, b) to check, lists (key, node) to link whole, long lists (key, node, n) or None).
 
     A list too long for either gives one pair a member, then is cut by its
-    members' next key, and so on; those that stand closest meet again.
+    members' next key, and so on; those that stand closest meet again. That
+    links most of it cheaply; strays_with_all() does the rest.
     """
-    pairs, whole = [], []
+    pairs, whole, uncut = [], [], None
     entries = reps.select("node", F.posexplode("keys").alias("place", "key"))
     weights = None
     for level in range(1, LEVELS + 1):
@@ -167,11 +170,79 @@ def candidate_lists(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         long = longer.join(middle.select("key").distinct(), "key", "left_anti")
         if long.isEmpty():
             break
+        if uncut is None:
+            uncut = written(long.select("key", "node", "n"), "long")
         pairs.append(_stars(long))
         after = F.element_at("keys", (F.col("place") + level) % F.size("keys") + 1)
         entries = long.select("node", "place", F.xxhash64("key", after).alias("key"))
     every = reduce(DataFrame.unionByName, pairs).distinct()
-    return every, reduce(DataFrame.unionByName, whole) if whole else reps.select(F.lit(0).cast("long").alias("key"), "node").limit(0)
+    return every, reduce(DataFrame.unionByName, whole) if whole else reps.select(F.lit(0).cast("long").alias("key"), "node").limit(0), uncut
+
+
+def _link_cells(cells: DataFrame, similarity: float) -> DataFrame:
+    """Cells(members: stray, node, root, shingles) -> links (a, b) of strays with members of another root, checked exactly."""
+
+    def run(batches):
+        for batch in batches:
+            for x in batch.column("members"):
+                field = lambda k: x.values.field(k).to_numpy(zero_copy_only=False)
+                stray, nodes, roots = field("stray"), field("node"), field("root")
+                sets = [y.values.to_numpy() for y in x.values.field("shingles")]
+                members = np.flatnonzero(~stray)
+                a, b = [], []
+                if len(members) and stray.any():
+                    size = np.array([len(sets[m]) for m in members])
+                    words = np.concatenate([sets[m] for m in members])
+                    order = np.argsort(words, kind="stable")
+                    words, owner = words[order], np.repeat(np.arange(len(members)), size)[order]
+                    for i in np.flatnonzero(stray):
+                        lo, hi = np.searchsorted(words, sets[i], "left"), np.searchsorted(words, sets[i], "right")
+                        counts = hi - lo
+                        shared = np.bincount(owner[np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())], minlength=len(members))
+                        linked = members[shared >= similarity * (size + len(sets[i]) - shared) - 1e-9]
+                        # one link to each other component does
+                        for j in linked[np.unique(roots[linked], return_index=True)[1]]:
+                            if roots[j] != roots[i]:
+                                a.append(int(nodes[i]))
+                                b.append(int(nodes[j]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def strays_with_all(long: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Long lists(key, node, n), roots(node, root) so far, sets(node, shingles) -> the links (a, b) that are missing to connect each list exactly.
+
+    Two texts in the list's largest component need no link. All others, the
+    strays, are compared with every text of the list that has a root of its own
+    and a size that the similarity allows: bands of sizes, each a step of the
+    similarity wide, meet their neighbours only. Both sides are dealt into
+    blocks, and a task compares one block of each.
+    """
+    listed = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # a little wider than the similarity, so that rounding never parts two texts by more than one band
+    listed = written(listed.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / -float(np.log(similarity - 0.01)))), "bands")
+    main = listed.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+    strays = written(listed.join(main, "key").where("root <> main").select("key", "node", "n", "root", "band"), "strays")
+    if strays.isEmpty():
+        return strays.select(F.col("node").alias("a"), F.col("node").alias("b"))
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        many = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1))
+        return side.groupBy("key", F.col("band").alias(f"{name}_band")).agg(many.alias(f"{name}_blocks"))
+
+    meet = blocks(strays, "s").join(blocks(listed.join(strays.select("key").distinct(), "key"), "m"), "key").where(F.abs(F.col("s_band") - F.col("m_band")) <= 1)
+    meet = written(meet, "meetings")
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        rows = side.join(meet.withColumn("band", F.col(f"{own}_band")), ["key", "band"])
+        rows = rows.withColumn(f"{own}_at", F.pmod(F.xxhash64("node"), F.col(f"{own}_blocks")))
+        rows = rows.withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1)))
+        return rows.select("key", "s_band", "m_band", "s_at", "m_at", F.lit(own == "s").alias("stray"), "node", "root")
+
+    rows = dealt(strays, "s", "m").unionByName(dealt(listed, "m", "s")).join(sets, "node")
+    cells = rows.groupBy("key", "s_band", "m_band", "s_at", "m_at").agg(F.collect_list(F.struct("stray", "node", "root", "shingles")).alias("members"))
+    return _link_cells(cells.select("members"), similarity)
 
 
 def _link_list(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -240,15 +311,17 @@ def near_copies(docs: DataFrame, text_col: str = "text", width: int = WIDTH, sim
     are one node, as are all texts without words. Texts under `width` words
     are one shingle, so they link to equal ones only. A row without a doc_id
     has the component of its node's rows with one, else null, and is compared
-    with no other text. Rows that repeat a doc_id each count. Other columns are
+    with no other text. Only a pair that shares none of the ten lists, or in a
+    short list too few positions, can be missed. Rows that repeat a doc_id each count. Other columns are
     ignored. An empty table gives an empty table.
     """
     rows = written(with_samples(docs, text_col, width), "samples")
     reps = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("keys").alias("keys"))
     reps = written(reps, "nodes")
-    pairs, whole = candidate_lists(reps.where(F.col("rep").isNotNull()).select("node", "n", "print", "keys"))
+    pairs, whole, long = candidate_lists(reps.where(F.col("rep").isNotNull()).select("node", "n", "print", "keys"))
     pairs, whole = written(pairs, "pairs"), written(whole, "whole")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(whole.select("node")).distinct()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(whole.select("node"))
+    asked = (asked if long is None else asked.union(long.select("node"))).distinct()
     asked = written(asked.join(reps.select("node", "rep"), "node"), "asked")
     few = small_enough(asked, MOST_BROADCAST)
     ids = asked.select(F.col("rep").alias("doc_id")).distinct()
@@ -261,7 +334,14 @@ def near_copies(docs: DataFrame, text_col: str = "text", width: int = WIDTH, sim
     if not whole.isEmpty():
         lists = whole.join(sets, "node").groupBy("key").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
         links = links.unionByName(_link_lists(lists.select("members"), similarity))
-    roots = connected_components(links.select("a", "b"))
+    links = links.select("a", "b")
+    if long is not None:
+        links = written(links, "links")
+    roots = connected_components(links)
+    if long is not None:
+        missing = written(strays_with_all(long, roots, sets, similarity), "missing")
+        if not missing.isEmpty():
+            roots = connected_components(links.unionByName(missing))
     placed = reps.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = placed.join(least, "root").select("node", "component_id")

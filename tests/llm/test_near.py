@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from brindle.llm import near, simhash
 
 
@@ -72,6 +74,28 @@ def test_lists_that_are_cut_link_nothing_wrong(spark, monkeypatch):
     assert sum(want[i] == got[i] for i in got) >= 0.8 * len(got)
 
 
+def test_lists_that_are_cut_lose_no_link(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    head, t = [word() for _ in range(24)], []
+    for _ in range(6):
+        base = head + [word() for _ in range(16)]
+        # a chain: each text is at the edge of 0.8 to the one before and far from all others
+        for _ in range(12):
+            t.append(" ".join(base))
+            base = base[:-1] + [word()] if rng.random() < 0.3 else base[1:] + [word()]
+            base = [word(), *base]
+    sets = [shingles(x) for x in t]
+    want = components(range(len(t)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    # every text stands in one list, all of them too long
+    monkeypatch.setattr(near, "list_keys", lambda prints: np.zeros((len(prints), 10), np.int64) + np.arange(10))
+    for name, most in (("SHORT_LIST", 4), ("MIDDLE_LIST", 5), ("BLOCK_TEXTS", 7)):
+        monkeypatch.setattr(near, name, most, raising=False)
+    assert 6 <= len(set(want.values())) < len(t)
+    assert {r.doc_id: r.component_id for r in near.near_copies(df).collect()} == want
+
+
 def test_repeated_and_missing_ids(spark):
     same = "a b c d e f g"
     df = spark.createDataFrame([(1, same, "p"), (1, same, "p"), (2, same, "q"), (None, same, "r"), (None, "z y x", "s")], "doc_id long, text string, node string")
