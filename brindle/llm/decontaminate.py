@@ -20,6 +20,17 @@ UNITS = (
     "usd eur gbp dollar dollars euro euros cent cents percent degree degrees kmh mph kb mb gb tb hz khz mhz ghz w kw v kv"
 ).split()
 
+# Words that a capital does not make a name, as they start sentences.
+FUNCTION_WORDS = (
+    "a an the this that these those there here it its he she they we you his her their our your my if when while where which who whom whose what why how "
+    "and or but so then thus hence yet for from in into on onto at by to of with without within as is are was were be been do does did has have had can could "
+    "may might must shall should will would not no yes all any both each every few many more most much some such one two after before during since until because "
+    "although though however also only let given find consider suppose assume calculate compute determine show prove write answer question "
+    "der die das ein eine einer eines einem einen und oder aber wenn als wie was wer wo warum wann ich du er sie es wir ihr ist sind war im in am an auf aus bei mit nach von zu für "
+    "le la les un une des du de et ou mais si quand comme que qui quoi où pourquoi il elle ils elles nous vous je tu est sont dans sur pour par avec ce cette ces "
+    "el los las una unos unas y o pero si cuando como qué quién dónde por para con sin en es son este esta estos estas yo ella ellos nosotros"
+).split()
+
 NUMBER, NAME, UNIT = "\u0001n", "\u0001p", "\u0001u"
 
 
@@ -32,11 +43,10 @@ def tokens(text: Column) -> Column:
     """Lower-case tokens of a text (letters and digits); placeholders keep their value behind a mark.
 
     A number becomes NUMBER + digits, a unit right behind a number UNIT + unit,
-    and a capitalised word behind a lower-case letter, comma or semicolon (so
-    not at the start of a sentence) NAME + word. Null has no tokens.
+    and a capitalised word NAME + word wherever it stands, unless it is one of
+    FUNCTION_WORDS. Null has no tokens.
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\u0001", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
     units = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
 
     def numbers(x: Column) -> Column:
@@ -45,6 +55,8 @@ def tokens(text: Column) -> Column:
         return F.regexp_replace(x, r"(?<=[0-9])[.,](?=[0-9])", "")  # a number's own separators do not cut it
 
     t = let(t, lambda x: F.when(x.rlike("[0-9]"), numbers(x)).otherwise(x))
+    no_names = "|".join(sorted({w.capitalize() for w in FUNCTION_WORDS}))
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}\u0001])(?=\p{Lu}\p{Ll})(?!(?:" + no_names + r")(?![\p{L}\p{N}]))", NAME)
     return F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}\u0001]+"), lambda x: x != "")
 
 
@@ -53,30 +65,47 @@ def kind(token: Column) -> Column:
     return F.when(token.startswith("\u0001"), F.substring(token, 1, 2)).otherwise(token)
 
 
-def windows(docs: DataFrame, key: str, text: Column, lengths: list[int]) -> DataFrame:
-    """docs -> key, at (place of the window, from 0), h (hash of the template), slots (values of its placeholders), exact (hash of its tokens).
+def literal(token: Column) -> Column:
+    """A token whose name, if it is one, is read as a word."""
+    return F.when(token.startswith(NAME), F.substring(token, 3, 1 << 20)).otherwise(token)
+
 
-    One row for each window of each of the lengths. The window's hash is taken
-    over the hashes of its tokens, so every token is hashed once.
+def windows(docs: DataFrame, key: list[str], text: Column, lengths: list[int]) -> DataFrame:
+    """docs -> key, at (place of the window, from 1), w (hash of the template), h (hash of a form of it), slots (values of that form's placeholders).
+
+    One row for each window of each of the lengths, and a second for a window
+    with names: in its first form names are words, so that it matches however
+    it is cased, in its second they are placeholders. A window without a word
+    has no second form, nor has one under WINDOW tokens with as many names as
+    words, as it would match by its length only. A window's hash is taken over
+    the hashes of its tokens, so every token is hashed once for each form.
     """
 
     def of(tok: Column) -> Column:
-        hashes = F.transform(tok, lambda x: F.xxhash64(kind(x)))
+        hashes = F.transform(tok, lambda x: F.struct(F.xxhash64(kind(x)).alias("k"), F.xxhash64(kind(literal(x))).alias("l")))
         return let(hashes, lambda hk: F.concat(*[at(tok, hk, n) for n in lengths]))
 
     def at(tok: Column, hk: Column, n: int) -> Column:
         def win(i: Column) -> Column:
-            slots = F.filter(F.slice(tok, i, n), lambda x: x.startswith("\u0001"))
-            return F.struct(i.alias("at"), F.xxhash64(F.slice(hk, i, n)).alias("h"), slots.alias("slots"))
+            return let(F.filter(F.slice(tok, i, n), lambda x: x.startswith("\u0001")), lambda slots: forms(i, slots))
+
+        def forms(i: Column, slots: Column) -> Column:
+            plain = F.filter(slots, lambda x: ~x.startswith(NAME))
+            names, words = F.size(slots) - F.size(plain), n - F.size(slots)
+            second = (names > 0) & (words > (names if n < WINDOW else 0))
+            template = F.xxhash64(F.slice(hk["k"], i, n))
+            one = lambda h, slots: F.struct(i.alias("at"), template.alias("w"), h.alias("h"), slots.alias("slots"))
+            first = F.when(names > 0, F.xxhash64(F.slice(hk["l"], i, n))).otherwise(template)
+            return F.when(second, F.array(one(first, plain), one(template, slots))).otherwise(F.array(one(first, plain)))
 
         some = F.size(hk) >= n
         # an empty slice gives no window
-        return F.transform(F.slice(F.sequence(F.lit(1), F.greatest(F.size(hk) - (n - 1), F.lit(1))), 1, F.when(some, F.size(hk)).otherwise(0)), win)
+        return F.flatten(F.transform(F.slice(F.sequence(F.lit(1), F.greatest(F.size(hk) - (n - 1), F.lit(1))), 1, F.when(some, F.size(hk)).otherwise(0)), win))
 
     # lambda variables hold the tokens and their hashes: outside of one, the optimiser
     # would put the expressions themselves into the lambda and repeat them for each window
     every = let(tokens(text), of)
-    return docs.select(F.col(key).alias("key"), F.explode(every).alias("w")).select("key", "w.*")
+    return docs.select(*key, F.explode(every).alias("w")).select(*key, "w.*")
 
 
 def contaminated(
@@ -91,30 +120,31 @@ def contaminated(
     A document holds an item if at least least_share of the item's template
     windows stand in it, and its placeholders are filled consistently: in the
     windows that match, no value of the item's may stand for two of the
-    document's, in more than half of the item's values. Items shorter than a
+    document's, in more than half of the item's values. Names match as words or
+    as placeholders. Items shorter than a
     window are one window of their own length. Items without tokens match
     nothing; so do null and empty texts. Repeated documents are found alike,
     and a repeated item_id counts its texts as one item. Null ids are kept as
     they are. Other columns are ignored, and an empty table gives an empty one.
     """
-    items = benchmark.select(F.col("item_id").alias("key"), "text").where(F.col("text").isNotNull())
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     sizes = items.select(F.least(F.size(tokens(F.col("text"))), F.lit(window)).alias("n")).where("n > 0").distinct()
     lengths = sorted(r.n for r in sizes.collect()) or [window]  # at most `window` values
-    own = windows(items, "key", F.col("text"), [window])
+    own = windows(items, ["item_id"], F.col("text"), [window])
     short = [n for n in lengths if n < window]
     for n in short:
         one = items.where(F.size(tokens(F.col("text"))) == n)
-        own = own.unionByName(windows(one, "key", F.col("text"), [n]))
-    own = own.select(F.col("key").alias("item_id"), "h", F.col("slots").alias("item_slots"))
-    total = own.groupBy(F.col("item_id").alias("_item")).agg(F.count_distinct("h").alias("n_windows"))
+        own = own.unionByName(windows(one, ["item_id"], F.col("text"), [n]))
+    own = own.select("item_id", "w", "h", F.col("slots").alias("item_slots"))
+    total = own.groupBy(F.col("item_id").alias("_item")).agg(F.count_distinct("w").alias("n_windows"))
     own = own.distinct()
     text = F.col("text")
-    found = windows(docs.select("doc_id", "text").where(text.isNotNull()), "doc_id", text, lengths)
+    found = windows(docs.select("doc_id", "text").where(text.isNotNull()), ["doc_id"], text, lengths).drop("w")
     fits = small_enough(own, most_broadcast)
-    hit = found.join(F.broadcast(own) if fits else own, "h").select(F.col("key").alias("doc_id"), "item_id", "h", "slots", "item_slots")
+    hit = found.join(F.broadcast(own) if fits else own, "h").select("doc_id", "item_id", "w", "slots", "item_slots")
     # pairs of (item value, document value) of each window, and the windows themselves, in one grouping
     pairs = F.when(F.size("slots") > 0, F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))
-    per_window = hit.groupBy("doc_id", "item_id", "h").agg(F.min(F.when(pairs.isNotNull(), pairs)).alias("pairs"))
+    per_window = hit.groupBy("doc_id", "item_id", "w").agg(F.min(F.when(pairs.isNotNull(), pairs)).alias("pairs"))
     per_item = per_window.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"), F.flatten(F.collect_list("pairs")).alias("pairs"))
     per_item = per_item.join(F.broadcast(total) if fits else total, F.col("item_id").eqNullSafe(F.col("_item")))
     distinct = F.array_distinct("pairs")

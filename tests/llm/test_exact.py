@@ -151,6 +151,21 @@ def test_leaks_and_new_parameters_are_caught(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def found(spark, docs, items, **how):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b, **how).collect()}
+
+
+def test_names_count_wherever_they_stand(spark):
+    tom = "Tom has 5 apples. Tom buys 3 more apples. How many apples does Tom have?"
+    long = "Anna and Karl walk 12 km along the river.\nKarl carries the bag, says \"Anna is slow\" and waits  Karl rests for 9 minutes"
+    ann = tom.replace("Tom", "Ann").replace("5", "7").replace("3", "2")
+    other = "Ann saw the sea. It was cold and the boats were all gone when the rain began to fall on the town again"
+    docs = [ann, tom.lower(), long.replace("\n", " "), long.replace("Anna", "Ruth").replace("Karl", "Otto").replace(" ", "\n"), other, "Ann Lee runs"]
+    assert found(spark, docs, [tom, long, "Tom Smith", "Apples fall"]) == {(0, 0), (1, 0), (2, 1), (3, 1)}
+
+
 # ---------------------------------------------------------------- mixing
 
 
