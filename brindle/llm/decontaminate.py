@@ -70,7 +70,7 @@ def literal(token: Column) -> Column:
     return F.when(token.startswith(NAME), F.substring(token, 3, 1 << 20)).otherwise(token)
 
 
-def windows(docs: DataFrame, key: list[str], text: Column, lengths: list[int]) -> DataFrame:
+def windows(docs: DataFrame, key: list[str | Column], text: Column, lengths: list[int]) -> DataFrame:
     """docs -> key, at (place of the window, from 1), w (hash of the template), h (hash of a form of it), slots (values of that form's placeholders).
 
     One row for each window of each of the lengths, and a second for a window
@@ -105,7 +105,7 @@ def windows(docs: DataFrame, key: list[str], text: Column, lengths: list[int]) -
     # lambda variables hold the tokens and their hashes: outside of one, the optimiser
     # would put the expressions themselves into the lambda and repeat them for each window
     every = let(tokens(text), of)
-    return docs.select(*key, F.explode(every).alias("w")).select(*key, "w.*")
+    return docs.select(*key, F.explode(every).alias("_w")).select("*", "_w.*").drop("_w")
 
 
 def contaminated(
@@ -121,7 +121,11 @@ def contaminated(
     windows stand in it, and its placeholders are filled consistently: in the
     windows that match, no value of the item's may stand for two of the
     document's, in more than half of the item's values. Names match as words or
-    as placeholders. Items shorter than a
+    as placeholders. An item may stand in a document several times: share and
+    consistency are tested for each alignment (place in the document less place
+    in the item), for stretches of half an item's length, which bear words put
+    in or left out, and for the document as a whole, and one that passes is
+    enough. The row is that of the most windows. Items shorter than a
     window are one window of their own length. Items without tokens match
     nothing; so do null and empty texts. Repeated documents are found alike,
     and a repeated item_id counts its texts as one item. Null ids are kept as
@@ -135,23 +139,29 @@ def contaminated(
     for n in short:
         one = items.where(F.size(tokens(F.col("text"))) == n)
         own = own.unionByName(windows(one, ["item_id"], F.col("text"), [n]))
-    own = own.select("item_id", "w", "h", F.col("slots").alias("item_slots"))
+    own = own.select("item_id", F.col("at").alias("item_at"), "w", "h", F.col("slots").alias("item_slots"))
     total = own.groupBy(F.col("item_id").alias("_item")).agg(F.count_distinct("w").alias("n_windows"))
     own = own.distinct()
     text = F.col("text")
-    found = windows(docs.select("doc_id", "text").where(text.isNotNull()), ["doc_id"], text, lengths).drop("w")
+    found = windows(docs.select("doc_id", "text").where(text.isNotNull()), ["doc_id", F.xxhash64("text").alias("body")], text, lengths).drop("w")
     fits = small_enough(own, most_broadcast)
-    hit = found.join(F.broadcast(own) if fits else own, "h").select("doc_id", "item_id", "w", "slots", "item_slots")
-    # pairs of (item value, document value) of each window, and the windows themselves, in one grouping
-    pairs = F.when(F.size("slots") > 0, F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")))
-    per_window = hit.groupBy("doc_id", "item_id", "w").agg(F.min(F.when(pairs.isNotNull(), pairs)).alias("pairs"))
-    per_item = per_window.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"), F.flatten(F.collect_list("pairs")).alias("pairs"))
-    per_item = per_item.join(F.broadcast(total) if fits else total, F.col("item_id").eqNullSafe(F.col("_item")))
-    distinct = F.array_distinct("pairs")
-    values = F.array_distinct(F.transform("pairs", lambda p: p["i"]))
-    clash = F.size(distinct) - F.size(values)
-    out = per_item.withColumn("share", F.col("n_matched") / F.col("n_windows")).withColumn("slots", F.size(values)).withColumn("consistent", clash * 2 <= F.size(values))
-    return out.where((F.col("share") >= least_share) & F.col("consistent")).select("doc_id", "item_id", "n_windows", "n_matched", "share", "slots", "consistent")
+    hit = found.join(F.broadcast(own) if fits else own, "h")
+    hit = hit.join(F.broadcast(total) if fits else total, F.col("item_id").eqNullSafe(F.col("_item")))
+    offset, half = F.col("at") - F.col("item_at"), F.greatest(F.floor(F.col("n_windows") / 4), F.lit(1)) * 2
+    of_text = lambda kind, place: F.struct(F.lit(kind).alias("kind"), F.col("body"), place.cast("long").alias("place"))
+    whole = F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("body"), F.lit(0).cast("long").alias("place"))
+    groups = F.array(whole, of_text(1, offset), of_text(2, F.floor(offset / half)), of_text(3, F.floor((offset + half / 2) / half)))
+    # pairs of (item value, document value) of each window: those of the form and place with the fewest changed values, then the most values
+    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
+    ranked = F.struct(F.size(F.filter(pairs, lambda p: p["i"] != p["d"])).alias("changed"), (-F.size("slots")).alias("fewer"), pairs.alias("pairs"))
+    per_place = hit.select("doc_id", "item_id", "n_windows", "w", "item_at", ranked.alias("best"), F.explode(groups).alias("group"))
+    per_place = per_place.groupBy("doc_id", "item_id", "group", "w", "item_at").agg(F.min("best").alias("best"), F.first("n_windows").alias("n_windows"))
+    per_group = per_place.groupBy("doc_id", "item_id", "group").agg(F.first("n_windows").alias("n_windows"), F.count_distinct("w").alias("n_matched"), F.flatten(F.collect_list("best.pairs")).alias("pairs"))
+    values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
+    out = per_group.select("doc_id", "item_id", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("share"), values.alias("slots"), (F.size(F.array_distinct("pairs")) - values).alias("clash"))
+    out = out.withColumn("consistent", F.col("clash") * 2 <= F.col("slots")).where((F.col("share") >= least_share) & F.col("consistent"))
+    row = F.struct("n_windows", "n_matched", "share", "slots", "consistent")
+    return out.groupBy("doc_id", "item_id").agg(F.max_by(row, F.struct("n_matched", -F.col("clash"), "slots")).alias("row")).select("doc_id", "item_id", "row.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

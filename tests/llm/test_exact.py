@@ -166,6 +166,22 @@ def test_names_count_wherever_they_stand(spark):
     assert found(spark, docs, [tom, long, "Tom Smith", "Apples fall"]) == {(0, 0), (1, 0), (2, 1), (3, 1)}
 
 
+def test_an_item_beside_its_variants_is_caught(spark):
+    item = "the pump fills 10 tanks in 20 minutes while the drain empties 30 tanks in 40 minutes and the guard counts 50 tanks"
+    values = [(90, 80, 70, 60, 95), (11, 92, 13, 84, 15), (99, 18, 77, 16, 96)]
+    variants = []
+    for v in values:
+        t = item
+        for old, new in zip((10, 20, 30, 40, 50), v):
+            t = t.replace(str(old), str(new))
+        variants.append(t)
+    late = variants[1].replace("while the", "while in the same yard the")
+    mixed = item.replace("10", "50").replace("30 tanks", "20 tanks")
+    sheets = [" . ".join(x) for x in ([item, *variants], [*variants, item], variants, [late, variants[0], variants[2]])]
+    assert found(spark, [*sheets, mixed], [item]) >= {(0, 0), (1, 0), (2, 0), (3, 0)}
+    assert found(spark, sheets, [item], most_broadcast=0) == found(spark, sheets, [item])
+
+
 # ---------------------------------------------------------------- mixing
 
 
