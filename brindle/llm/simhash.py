@@ -159,8 +159,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", width: int = 3, mos
     reps = written(reps, "representatives")
     roots = connected_components(fingerprint_links(reps, most_bits))
     placed = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    placed = placed.groupBy("root").agg(F.min("rep").alias("component_id"), F.collect_list("fp").alias("fps"))
-    placed = placed.select("component_id", F.explode("fps").alias("fp"))
+    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    placed = placed.join(least, "root").select("fp", "component_id")
     return rows.join(placed, "fp", "left").select("doc_id", "fp", "component_id")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ _OUT = "user_id long, event_id long, at double, allowed boolean"
 def spaced(events: DataFrame, seconds: float) -> DataFrame:
     """Marks events of a key that come sooner than `seconds` after the last allowed one.
 
-    A stream keeps one number a key; a batch walks a key's events in order.
+    A stream keeps one number a key; a batch walks sorted rows, so it also
+    holds one number, however many events a key has.
     """
     e = as_stream_time(events).select("user_id", "event_id", F.col("ts").cast("double").alias("at"))
 
@@ -56,8 +58,22 @@ def spaced(events: DataFrame, seconds: float) -> DataFrame:
             allowed.append(ok)
         return rows.assign(allowed=allowed), last
 
+    def run(batches):
+        user, last, begun = None, None, False
+        for batch in batches:
+            allowed = []
+            for u, at in zip(batch.column("user_id").to_pylist(), batch.column("at").to_pylist()):
+                if not begun or u != user:
+                    user, last, begun = u, None, True
+                at = float("nan") if at is None else at
+                ok = last is None or at - last >= seconds
+                last = at if ok else last
+                allowed.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], names=["user_id", "event_id", "at", "allowed"])
+
     if not e.isStreaming:
-        return e.groupBy("user_id").applyInPandas(lambda rows: walk(rows, None)[0][["user_id", "event_id", "at", "allowed"]], _OUT)
+        e = e.select(F.col("user_id").cast("long"), F.col("event_id").cast("long"), "at")
+        return e.repartition("user_id").sortWithinPartitions("user_id", F.asc_nulls_last("at"), F.asc_nulls_last("event_id")).mapInArrow(run, _OUT)
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, refused = state.get if state.exists else (None, 0)

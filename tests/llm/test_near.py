@@ -113,6 +113,11 @@ def test_fingerprint_links_agree_with_brute_force(spark):
     assert got == {i: (fp[i], want[i]) for i in range(len(t))}
 
 
+def test_no_component_is_held_in_one_row(spark):
+    df = spark.createDataFrame(list(enumerate(texts()[:20])), "doc_id long, text string")
+    assert "collect_list" not in simhash.near_duplicates(df)._jdf.queryExecution().toString()
+
+
 def test_long_posting_list_links():
     import numpy as np
 

@@ -8,6 +8,7 @@ from brindle.operators import metrics
 from brindle.operators.dedup import components
 from brindle.operators.ranking import fuse, fuse_neutral, largest_remainder
 from brindle.sources.boards import greenhouse, json_ld_postings, lever
+from brindle.streaming.events import spaced
 
 
 def one(spark, column):
@@ -70,6 +71,18 @@ def test_components(spark):
     assert {r.node: r.root for r in components(e).where("node <> root").collect()} == {2: 1, 3: 1, 9: 8}
 
 
+def test_spacing_streams_a_key(spark):
+    rows = [(u, i, (i * 37 * (2 + (u or 0))) % 1000) for u in (1, 2, None) for i in range(50)]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, s long").select("user_id", "event_id", F.timestamp_seconds("s").alias("ts"))
+    got = spaced(events, 30.0)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    want, last = {}, {}
+    for u, i, s in sorted(rows, key=lambda r: (r[2], r[1])):
+        want[u, i] = u not in last or s - last[u] >= 30
+        last[u] = s if want[u, i] else last[u]
+    assert {(r.user_id, r.event_id): r.allowed for r in got.collect()} == want
+
+
 def test_boards(spark):
     body = '{"jobs": [{"id": 7, "absolute_url": "u", "title": " T ", "location": {"name": "Oslo"}, "content": "&lt;p&gt;Hi&lt;/p&gt;", "updated_at": "2024-01-02T03:04:05Z"}]}'
     got = greenhouse(spark.createDataFrame([("c", body), ("c", "broken")], "company string, body string")).collect()
