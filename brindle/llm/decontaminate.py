@@ -82,10 +82,11 @@ def windows(docs: DataFrame, key: list[str | Column], text: Column, lengths: lis
     """
 
     def of(tok: Column) -> Column:
-        hashes = F.transform(tok, lambda x: F.struct(F.xxhash64(kind(x)).alias("k"), F.xxhash64(kind(literal(x))).alias("l")))
-        return let(hashes, lambda hk: F.concat(*[at(tok, hk, n) for n in lengths]))
+        hashes = F.transform(tok, lambda x: F.xxhash64(kind(x)))
+        plain = F.transform(tok, lambda x: F.xxhash64(kind(literal(x))))
+        return let(hashes, lambda hk: let(plain, lambda hl: F.concat(*[at(tok, hk, hl, n) for n in lengths])))
 
-    def at(tok: Column, hk: Column, n: int) -> Column:
+    def at(tok: Column, hk: Column, hl: Column, n: int) -> Column:
         def win(i: Column) -> Column:
             return let(F.filter(F.slice(tok, i, n), lambda x: x.startswith("\u0001")), lambda slots: forms(i, slots))
 
@@ -93,9 +94,9 @@ def windows(docs: DataFrame, key: list[str | Column], text: Column, lengths: lis
             plain = F.filter(slots, lambda x: ~x.startswith(NAME))
             names, words = F.size(slots) - F.size(plain), n - F.size(slots)
             second = (names > 0) & (words > (names if n < WINDOW else 0))
-            template = F.xxhash64(F.slice(hk["k"], i, n))
+            template = F.xxhash64(F.slice(hk, i, n))
             one = lambda h, slots: F.struct(i.alias("at"), template.alias("w"), h.alias("h"), slots.alias("slots"))
-            first = F.when(names > 0, F.xxhash64(F.slice(hk["l"], i, n))).otherwise(template)
+            first = F.when(names > 0, F.xxhash64(F.slice(hl, i, n))).otherwise(template)
             return F.when(second, F.array(one(first, plain), one(template, slots))).otherwise(F.array(one(first, plain)))
 
         some = F.size(hk) >= n
