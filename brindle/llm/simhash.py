@@ -15,6 +15,8 @@ from brindle.session import table, written
 
 BYTES = 8
 SLAB = 1 << 16
+#: Fingerprints of a block that are tallied against another block at a time.
+TALLY = 256
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -73,11 +75,12 @@ def index_keys(fp: Column, most_bits: int) -> Column:
 def _link_bucket(fps: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links inside one posting list of distinct fingerprints.
 
-    Every pair of a short list has its shared positional bytes tallied; pairs
-    with the guaranteed minimum are verified bit by bit. A long list, where
-    tallying every pair would grow with its square, looks up each
-    fingerprint's possible partners instead: the list differs in
-    8*most_bits free bits only, so there is a fixed number of them.
+    The list is cut into blocks by the value of its first free byte. Two blocks
+    whose values differ in more than most_bits bits hold no link; of all others
+    every pair has its shared positional bytes tallied, and pairs with the
+    guaranteed minimum are verified bit by bit. With two free bytes a block has
+    256 fingerprints at most and 36 neighbours, so a task tallies no more than
+    that for each fingerprint.
     """
     n = len(fps)
     root = list(range(n))
@@ -89,33 +92,24 @@ def _link_bucket(fps: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
         return x
 
     out: list[tuple[int, int]] = []
-
-    def join(a: np.ndarray, b: np.ndarray) -> None:
-        for i, j in zip(a.tolist(), b.tolist()):
-            x, y = find(i), find(j)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((int(fps[i]), int(fps[j])))
-
-    if n <= 256:
-        diff = fps[:, None] ^ fps[None, :]
-        shared = (diff.view(np.uint8).reshape(n, n, BYTES) == 0).sum(axis=2)
-        i, j = np.nonzero(np.triu((shared >= BYTES - most_bits) & (np.bitwise_count(diff) <= most_bits), 1))
-        join(i, j)
-        return out
-    order = np.argsort(fps)
-    s = fps[order]
-    free = np.bitwise_or.reduce(fps ^ fps[0])
-    bits = [np.uint64(1 << b) for b in range(64) if int(free) >> b & 1]
-    for r in range(1, most_bits + 1):
-        for c in combinations(bits, r):
-            m = np.uint64(sum(int(x) for x in c))
-            want = s ^ m
-            at = np.searchsorted(s, want)
-            ok = (at < n) & (want > s)
-            ok[ok] &= s[at[ok]] == want[ok]
-            i = np.flatnonzero(ok)
-            join(order[i], order[at[i]])
+    free = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    byte = next((8 * k for k in range(BYTES) if free >> 8 * k & 0xFF), 0)
+    value = (fps >> np.uint64(byte)).astype(np.uint8)
+    order = np.argsort(value, kind="stable")
+    values, at = np.unique(value[order], return_index=True)
+    blocks = np.split(order, at[1:])
+    for x in range(len(values)):
+        for y in np.flatnonzero(np.bitwise_count(values[x:] ^ values[x]) <= most_bits) + x:
+            for k in range(0, len(blocks[x]), TALLY):
+                a, b = blocks[x][k : k + TALLY], blocks[y]
+                diff = fps[a][:, None] ^ fps[b][None, :]
+                shared = (diff.view(np.uint8).reshape(len(a), len(b), BYTES) == 0).sum(axis=2)
+                i, j = np.nonzero((shared >= BYTES - most_bits) & (np.bitwise_count(diff) <= most_bits) & (diff != 0))
+                for p, q in zip(a[i].tolist(), b[j].tolist()):
+                    u, v = find(p), find(q)
+                    if u != v:
+                        root[max(u, v)] = min(u, v)
+                        out.append((int(fps[p]), int(fps[q])))
     return out
 
 
