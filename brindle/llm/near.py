@@ -1,19 +1,20 @@
-"""Near copies by shingle similarity, found by the positional index of simhash.py over sampled fingerprints.
+"""Near copies by shingle similarity: MinHash bands as a positional index, and an exact prefix join where lists are long.
 
 A plain SimHash bit is a majority over all shingles. Of two texts with a
 Jaccard similarity of 0.8 about every seventh bit differs, so no byte position
-is sure to match and the index has nothing to hold on to. Here each position
-takes its bytes from one shingle only, the least under a hash of its own: the
-SimHash of a sample of one. A position of two texts then matches as often as
-their similarity says, and the same steps apply: lists of texts that share
-some positions, a tally of all shared positions of a pair, a least number of
-matches, and an exact check of what is left.
+is sure to match and the index of simhash.py has nothing to hold on to. Here
+each position takes its value from one shingle only, the least under a hash of
+its own, so it matches as often as the similarity says: that is MinHash, and
+lists keyed by three positions are its bands. The steps of simhash.py apply:
+lists of texts that share some positions, a tally of all shared positions of a
+pair, a least number of matches, and an exact check of what is left. Texts in
+lists too long to be tallied are joined by their rarest shingles instead,
+which loses no pair.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -30,12 +31,10 @@ WIDTH, SIMILARITY = 5, 0.8
 POSITIONS, PER_LIST = 30, 3
 #: Least number of shared positions of a pair to be checked (at 0.8, 24 are expected).
 LEAST_SHARED = 15
-#: A list up to this size has all its pairs tallied; one up to these sizes is linked whole in one task;
-#: a longer one is compared with its most typical text and cut finer, and what that leaves apart is compared with the whole list.
-SHORT_LIST, MIDDLE_LIST, MIDDLE_SHINGLES = 32, 2048, 2_000_000
-#: Texts and shingles of a block of a long list; a task holds a block of each side.
-BLOCK_TEXTS, BLOCK_SHINGLES = 512, 500_000
-LEVELS = 4
+#: A list up to this size has all its pairs tallied; texts of longer ones are joined exactly.
+SHORT_LIST = 32
+#: Texts that hold one front shingle and meet in one cell.
+BLOCK = 512
 MOST_BROADCAST = 200_000
 
 _RANDOM = np.random.default_rng(64)
@@ -126,167 +125,88 @@ def _tally_short(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Long lists(key, node, weight, print) -> pairs of each member with the list's most typical text.
-
-    Typical is the member with the largest weight: its lists have the most
-    members, so its positions have the values that most members have. A maximum
-    and a join on the key do it, so no task holds a list.
-    """
-    centre = members.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
-    prints = members.select(F.col("key").alias("_key"), F.col("node").alias("_node"), F.col("print").alias("centre_print"))
-    centre = centre.join(prints, (F.col("key") == F.col("_key")) & (F.col("centre") == F.col("_node"))).select("key", "centre", "centre_print")
-    pairs = members.join(centre, "key")
-    pairs = pairs.where((F.col("node") != F.col("centre")) & (_shared(F.col("print"), F.col("centre_print")) >= LEAST_SHARED))
-    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+def _broadcast_if_few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if small_enough(df, MOST_BROADCAST) else df
 
 
-def candidate_lists(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """reps(node, n, print, keys), one row a node -> (distinct pairs (a, b) to check, lists (key, node) to link whole, long lists (key, node, n) or None).
+def candidate_lists(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """reps(node, n, print, keys), one row a node -> (distinct pairs (a, b) to check, nodes (node) of long lists).
 
-    A list too long for either gives one pair a member, then is cut by its
-    members' next key, and so on; those that stand closest meet again. That
-    links most of it cheaply; strays_with_all() does the rest.
+    A short list has all its pairs tallied. In a long one each member is paired
+    with the list's most typical text only, which links most copies of one text
+    to it; `missing_pairs` finds what that leaves apart. Typical is the member
+    with the largest weight: its lists have the most members, so its positions
+    have the values that most members have. Rows of a long list are never dealt
+    out by the list's key: sizes and typical texts are sums and maxima, joined
+    back by broadcast while they are few.
     """
-    pairs, whole, uncut = [], [], None
-    entries = reps.select("node", F.posexplode("keys").alias("place", "key"))
-    weights = None
-    for level in range(1, LEVELS + 1):
-        sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        listed = entries.join(sizes, "key")
-        if weights is None:
-            listed = written(listed, "entries")
-            weights = listed.groupBy("node").agg(F.sum("size").alias("weight"))
-            reps = written(reps.join(weights, "node"), "listed")
-        members = written(listed.join(reps, "node").select("key", "place", "size", "node", "n", "weight", "print", "keys"), "lists")
-        short = members.where(F.col("size") <= SHORT_LIST).groupBy("key").agg(F.collect_list(F.struct("node", "print")).alias("members"))
-        pairs.append(_tally_short(short.select("members")))
-        longer = members.where(F.col("size") > SHORT_LIST)
-        if longer.isEmpty():
-            break
-        heavy = longer.groupBy("key").agg(F.sum("n").alias("shingles")).where((F.col("shingles") <= MIDDLE_SHINGLES)).select("key")
-        middle = longer.where(F.col("size") <= MIDDLE_LIST).join(heavy, "key", "left_semi")
-        whole.append(middle.select("key", "node"))
-        long = longer.join(middle.select("key").distinct(), "key", "left_anti")
-        if long.isEmpty():
-            break
-        if uncut is None:
-            uncut = written(long.select("key", "node", "n"), "long")
-        pairs.append(_stars(long))
-        after = F.element_at("keys", (F.col("place") + level) % F.size("keys") + 1)
-        entries = long.select("node", "place", F.xxhash64("key", after).alias("key"))
-    every = reduce(DataFrame.unionByName, pairs).distinct()
-    return every, reduce(DataFrame.unionByName, whole) if whole else reps.select(F.lit(0).cast("long").alias("key"), "node").limit(0), uncut
-
-
-def _link_cells(cells: DataFrame, similarity: float) -> DataFrame:
-    """Cells(members: stray, node, root, shingles) -> links (a, b) of strays with members of another root, checked exactly."""
-
-    def run(batches):
-        for batch in batches:
-            for x in batch.column("members"):
-                field = lambda k: x.values.field(k).to_numpy(zero_copy_only=False)
-                stray, nodes, roots = field("stray"), field("node"), field("root")
-                sets = [y.values.to_numpy() for y in x.values.field("shingles")]
-                members = np.flatnonzero(~stray)
-                a, b = [], []
-                if len(members) and stray.any():
-                    size = np.array([len(sets[m]) for m in members])
-                    words = np.concatenate([sets[m] for m in members])
-                    order = np.argsort(words, kind="stable")
-                    words, owner = words[order], np.repeat(np.arange(len(members)), size)[order]
-                    for i in np.flatnonzero(stray):
-                        lo, hi = np.searchsorted(words, sets[i], "left"), np.searchsorted(words, sets[i], "right")
-                        counts = hi - lo
-                        shared = np.bincount(owner[np.repeat(lo - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())], minlength=len(members))
-                        linked = members[shared >= similarity * (size + len(sets[i]) - shared) - 1e-9]
-                        # one link to each other component does
-                        for j in linked[np.unique(roots[linked], return_index=True)[1]]:
-                            if roots[j] != roots[i]:
-                                a.append(int(nodes[i]))
-                                b.append(int(nodes[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return cells.mapInArrow(run, "a long, b long")
-
-
-def strays_with_all(long: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Long lists(key, node, n), roots(node, root) so far, sets(node, shingles) -> the links (a, b) that are missing to connect each list exactly.
-
-    Two texts in the list's largest component need no link. All others, the
-    strays, are compared with every text of the list that has a root of its own
-    and a size that the similarity allows: bands of sizes, each a step of the
-    similarity wide, meet their neighbours only. Both sides are dealt into
-    blocks, and a task compares one block of each.
+    entries = written(reps.select("node", F.explode("keys").alias("key")), "entries")
+    sizes = written(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    long = _broadcast_if_few(sizes.where(F.col("size") > SHORT_LIST))
+    rest = entries.join(long.select("key"), "key", "left_anti").join(sizes.where(F.col("size") <= SHORT_LIST).select("key"), "key")
+    short = rest.join(reps.select("node", "print"), "node").groupBy("key").agg(F.collect_list(F.struct("node", "print")).alias("members"))
+    pairs = _tally_short(short.select("members"))
+    listed = written(entries.join(long, "key"), "long")
+    if listed.isEmpty():
+        return pairs.distinct(), listed.select("node")
+    nodes = listed.groupBy("node").agg(F.sum("size").alias("weight")).join(reps.select("node", "print"), "node")
+    nodes = written(nodes, "long_nodes")
+    members = listed.select("key", "node").join(nodes, "node")
+    centre = members.groupBy("key").agg(F.max(F.struct("weight", "node", "print")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.print").alias("centre_print"))
+    stars = members.join(_broadcast_if_few(written(centre, "centres")), "key")
+    stars = stars.where((F.col("node") != F.col("centre")) & (_shared(F.col("print"), F.col("centre_print")) >= LEAST_SHARED))
+    return pairs.unionByName(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))).distinct(), nodes.select("node")
+
+
+def _meetings(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left, right (w, node, n, root) -> pairs (a, b) of nodes that hold one w, of other roots; left is at least as long as right.
+
+    A word that many hold is dealt out in blocks: each cell of a block of left
+    and a block of right is a join key of its own.
     """
-    listed = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # a little wider than the similarity, so that rounding never parts two texts by more than one band
-    listed = written(listed.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1))) / -float(np.log(similarity - 0.01)))), "bands")
-    main = listed.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-    strays = written(listed.join(main, "key").where("root <> main").select("key", "node", "n", "root", "band"), "strays")
-    if strays.isEmpty():
-        return strays.select(F.col("node").alias("a"), F.col("node").alias("b"))
-
-    def blocks(side: DataFrame, name: str) -> DataFrame:
-        many = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1))
-        return side.groupBy("key", F.col("band").alias(f"{name}_band")).agg(many.alias(f"{name}_blocks"))
-
-    meet = blocks(strays, "s").join(blocks(listed.join(strays.select("key").distinct(), "key"), "m"), "key").where(F.abs(F.col("s_band") - F.col("m_band")) <= 1)
-    meet = written(meet, "meetings")
-
-    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
-        rows = side.join(meet.withColumn("band", F.col(f"{own}_band")), ["key", "band"])
-        rows = rows.withColumn(f"{own}_at", F.pmod(F.xxhash64("node"), F.col(f"{own}_blocks")))
-        rows = rows.withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1)))
-        return rows.select("key", "s_band", "m_band", "s_at", "m_at", F.lit(own == "s").alias("stray"), "node", "root")
-
-    rows = dealt(strays, "s", "m").unionByName(dealt(listed, "m", "s")).join(sets, "node")
-    cells = rows.groupBy("key", "s_band", "m_band", "s_at", "m_at").agg(F.collect_list(F.struct("stray", "node", "root", "shingles")).alias("members"))
-    return _link_cells(cells.select("members"), similarity)
-
-
-def _link_list(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links of one list: all that are reached from its first member, then each stray against all."""
-    m = len(nodes)
-    size = np.array([len(x) for x in sets])
-    value, word = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(m), size)
-    order = np.argsort(word, kind="stable")
-    by_word = owner[order]
-    at = np.searchsorted(word[order], np.arange(len(value) + 1))
-    edge = np.concatenate(([0], np.cumsum(size)))
-    root = np.arange(m)
-    out = []
-
-    def link_all(i: int) -> None:
-        mine = word[edge[i] : edge[i + 1]]
-        counts = at[mine + 1] - at[mine]
-        places = np.repeat(at[mine] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        shared = np.bincount(by_word[places], minlength=m)
-        for j in np.flatnonzero((shared >= similarity * (size + size[i] - shared) - 1e-9) & (root != root[i])):
-            if root[i] != root[j]:
-                out.append((int(nodes[i]), int(nodes[j])))
-                root[root == root[j]] = root[i]
-
-    link_all(0)
-    # every member outside the largest component is compared with all, so no link between components is missed
-    main = np.bincount(root, minlength=m).argmax()
-    for i in np.flatnonzero(root != main).tolist():
-        link_all(i)
-    return out
-
-
-def _link_lists(lists: DataFrame, similarity: float) -> DataFrame:
-    """Lists(members: node, shingles) -> links (a, b), checked exactly."""
-
-    def run(batches):
-        for batch in batches:
-            for x in batch.column("members"):
-                nodes, sh = x.values.field("node").to_numpy(), x.values.field("shingles")
-                found = _link_list(nodes, [y.values.to_numpy() for y in sh], similarity)
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return lists.mapInArrow(run, "a long, b long")
+    blocks = lambda side, name: side.groupBy("w").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    cells = blocks(left, "lb").join(blocks(right, "rb"), "w")
+    all_of = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    one_of = lambda name: F.pmod(F.xxhash64("node"), F.col(name))
+    x = left.join(cells, "w").select("w", "node", "n", "root", one_of("lb").alias("i"), all_of("rb").alias("j"))
+    y = right.join(cells, "w").select("w", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"), one_of("rb").alias("j"), all_of("lb").alias("i"))
+    met = x.join(y, ["w", "i", "j"]).where((F.col("root") != F.col("root2")) & (F.struct("n", "node") > F.struct("n2", "node2")))
+    return met.select("n", "n2", F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+
+def missing_pairs(sets: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """sets(node, shingles), nodes(node) of long lists, roots(node, root) so far -> every pair (a, b) still to check.
+
+    Exact: two sets of at least that similarity share a shingle among the
+    first few of each when all are ordered from rare to common: in the longer
+    set the first n - ceil(similarity n) + 1, in the shorter the first
+    n - ceil(2 similarity / (1 + similarity) n) + 1. What very many texts share
+    stands last and brings nobody together. Pairs of one root need no check;
+    of the texts that hold a shingle in front, those of its most frequent root
+    are not paired with each other, so a large group of copies that is linked
+    already costs its size, not its square.
+    """
+    s = sets.join(nodes, "node", "left_semi")
+    words = s.select("node", F.explode("shingles").alias("w"))
+    df = words.groupBy("w").agg(F.count("*").alias("df"))
+    ordered = words.join(df, "w").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("s")).withColumn("n", F.size("s"))
+    kept = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-6).cast("int") + 1
+    front = ordered.select("node", "n", F.posexplode(F.slice("s", F.lit(1), kept(similarity))).alias("at", "e"), kept(2 * similarity / (1 + similarity)).alias("short"))
+    front = front.where("e.df > 1").join(roots, "node", "left")
+    front = written(front.select("node", "n", F.coalesce("root", "node").alias("root"), F.col("e.w").alias("w"), (F.col("at") < F.col("short")).alias("first")), "fronts")
+    main = front.groupBy("w", "root").agg(F.count("*").alias("size")).groupBy("w").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots"))
+    front = written(front.join(main.where("roots > 1").select("w", F.col("m.root").alias("main")), "w"), "open_fronts")
+    stray = F.col("root") != F.col("main")
+    every = _meetings(front.where(stray), front.where("first")).unionByName(_meetings(front.where(~stray), front.where(stray & F.col("first"))))
+    return every.where(F.least("n", "n2") >= F.greatest("n", "n2") * similarity - 1e-6).select("a", "b").distinct()
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose shingle sets reach the similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    links = both.select("a", "b", shared.alias("n"), (F.size("sa") + F.size("sb")).alias("sum"))
+    return links.where(F.col("n") >= similarity * (F.col("sum") - F.col("n")) - 1e-9).select("a", "b")
 
 
 def _sets_of(docs: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -312,36 +232,26 @@ def near_copies(docs: DataFrame, text_col: str = "text", width: int = WIDTH, sim
     are one shingle, so they link to equal ones only. A row without a doc_id
     has the component of its node's rows with one, else null, and is compared
     with no other text. Only a pair that shares none of the ten lists, or in a
-    short list too few positions, can be missed. Rows that repeat a doc_id each count. Other columns are
-    ignored. An empty table gives an empty table.
+    short list too few positions, can be missed. Rows that repeat a doc_id each
+    count. Other columns are ignored. An empty table gives an empty table.
     """
     rows = written(with_samples(docs, text_col, width), "samples")
     reps = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("keys").alias("keys"))
     reps = written(reps, "nodes")
-    pairs, whole, long = candidate_lists(reps.where(F.col("rep").isNotNull()).select("node", "n", "print", "keys"))
-    pairs, whole = written(pairs, "pairs"), written(whole, "whole")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(whole.select("node"))
-    asked = (asked if long is None else asked.union(long.select("node"))).distinct()
+    pairs, long = candidate_lists(reps.where(F.col("rep").isNotNull()).select("node", "n", "print", "keys"))
+    pairs = written(pairs, "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(long).distinct()
     asked = written(asked.join(reps.select("node", "rep"), "node"), "asked")
-    few = small_enough(asked, MOST_BROADCAST)
     ids = asked.select(F.col("rep").alias("doc_id")).distinct()
     # beyond the checked size, texts are dealt out by doc_id once
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    texts = docs.join(_broadcast_if_few(ids), "doc_id", "left_semi")
     sets = written(_sets_of(texts, text_col, width).join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.select("a", "b", shared.alias("n"), (F.size("sa") + F.size("sb")).alias("sum")).where(F.col("n") >= similarity * (F.col("sum") - F.col("n")) - 1e-9).select("a", "b")
-    if not whole.isEmpty():
-        lists = whole.join(sets, "node").groupBy("key").agg(F.collect_list(F.struct("node", "shingles")).alias("members"))
-        links = links.unionByName(_link_lists(lists.select("members"), similarity))
-    links = links.select("a", "b")
-    if long is not None:
-        links = written(links, "links")
+    links = written(_checked(pairs, sets, similarity), "links")
     roots = connected_components(links)
-    if long is not None:
-        missing = written(strays_with_all(long, roots, sets, similarity), "missing")
-        if not missing.isEmpty():
-            roots = connected_components(links.unionByName(missing))
+    if not long.isEmpty():
+        more = written(_checked(missing_pairs(sets, long, roots, similarity), sets, similarity), "more_links")
+        if not more.isEmpty():
+            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     placed = reps.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = placed.join(least, "root").select("node", "component_id")
@@ -360,7 +270,7 @@ def one_of_each(docs: DataFrame, text_col: str = "text", width: int = WIDTH, sim
     per_id = written(per_id, "decisions")
     gone = per_id.where("first = 0").select(F.col("doc_id").alias("_gone"))
     # beyond the checked size, documents are dealt out by doc_id once
-    kept = docs.join(F.broadcast(gone) if small_enough(gone, MOST_BROADCAST) else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = docs.join(_broadcast_if_few(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
     if per_id.where("n > 1").isEmpty():
         return kept
     again = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", text_col])

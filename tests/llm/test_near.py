@@ -53,8 +53,9 @@ def test_near_copies_agree_with_brute_force(spark):
     assert kept == set(want.values())
 
 
-def test_lists_linked_whole_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(near, "SHORT_LIST", 4)
+def test_long_lists_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near, "SHORT_LIST", 3)
+    monkeypatch.setattr(near, "BLOCK", 4)
     t = texts()
     df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
     sets = [shingles(x) for x in t]
@@ -62,19 +63,7 @@ def test_lists_linked_whole_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near.near_copies(df).collect()} == want
 
 
-def test_lists_that_are_cut_link_nothing_wrong(spark, monkeypatch):
-    monkeypatch.setattr(near, "SHORT_LIST", 4)
-    monkeypatch.setattr(near, "MIDDLE_LIST", 20)
-    t = texts()
-    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
-    sets = [shingles(x) for x in t]
-    want = components(range(len(t)), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    got = {r.doc_id: r.component_id for r in near.near_copies(df).collect()}
-    assert all(want[i] == want[c] for i, c in got.items())
-    assert sum(want[i] == got[i] for i in got) >= 0.8 * len(got)
-
-
-def test_lists_that_are_cut_lose_no_link(spark, monkeypatch):
+def test_chains_in_one_long_list_lose_no_link(spark, monkeypatch):
     rng = random.Random(5)
     word = lambda: "w" + str(rng.randrange(10**6))
     head, t = [word() for _ in range(24)], []
@@ -90,8 +79,8 @@ def test_lists_that_are_cut_lose_no_link(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
     # every text stands in one list, all of them too long
     monkeypatch.setattr(near, "list_keys", lambda prints: np.zeros((len(prints), 10), np.int64) + np.arange(10))
-    for name, most in (("SHORT_LIST", 4), ("MIDDLE_LIST", 5), ("BLOCK_TEXTS", 7)):
-        monkeypatch.setattr(near, name, most, raising=False)
+    for name, most in (("SHORT_LIST", 4), ("BLOCK", 7)):
+        monkeypatch.setattr(near, name, most)
     assert 6 <= len(set(want.values())) < len(t)
     assert {r.doc_id: r.component_id for r in near.near_copies(df).collect()} == want
 
@@ -119,15 +108,24 @@ def test_no_component_is_held_in_one_row(spark):
 
 
 def test_long_posting_list_links():
-    import numpy as np
-
     rng = np.random.default_rng(1)
-    fps = np.unique(rng.integers(0, 1 << 16, 900, dtype=np.uint64) << np.uint64(8))
-    got = simhash._link_bucket(fps, 2)
-    want = components(range(len(fps)), lambda a, b: int(fps[a] ^ fps[b]).bit_count() <= 2)
-    root = {int(f): i for i, f in enumerate(fps)}
-    linked = {frozenset((root[a], root[b])) for a, b in got}
-    assert components(range(len(fps)), lambda a, b: frozenset((a, b)) in linked) == want
+    for many in (900, 3000):
+        fps = np.unique(rng.integers(0, 1 << 16, many, dtype=np.uint64) << np.uint64(8))
+        got = simhash._link_bucket(fps, 2)
+        near_by = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+        root = {int(f): i for i, f in enumerate(fps)}
+        assert all(near_by[root[a], root[b]] for a, b in got)
+        reached = components(range(len(fps)), lambda a, b: bool(near_by[a, b]))
+        linked = {frozenset((root[a], root[b])) for a, b in got}
+        assert components(range(len(fps)), lambda a, b: frozenset((a, b)) in linked) == reached
+
+
+def test_odd_rows_have_defined_fingerprints(spark):
+    kind = "doc_id long, text string, fp string, component_id string, node string"
+    df = spark.createDataFrame([(None, "a b c", "x", "x", "x"), (5, "A B C", "x", "x", "x"), (5, "A B C", "x", "x", "x"), (7, None, "x", "x", "x"), (6, " ", None, None, None)], kind)
+    got = sorted((r.doc_id or -1, r.fp == 0, r.component_id) for r in simhash.near_duplicates(df).collect())
+    assert got == [(-1, False, 5), (5, False, 5), (5, False, 5), (6, True, 6), (7, True, 6)]
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
 def test_fingerprint_is_the_plain_definition():
