@@ -99,6 +99,6 @@ def fit_dense(x: np.ndarray, labels: np.ndarray, starts: np.ndarray, lengths: np
     n = max(1, len(x))
     opt = Adam([w.shape, trans.shape, first.shape], lr)
     for _ in range(rounds):
-        p, xi, _, pf = forward_backward(x @ w, starts, lengths, trans, first, pairs=True)
-        opt.step([w, trans, first], [x.T @ (p - gold) / n + l2 * w, (xi - gold_pairs) / n + l2 * trans, (pf - gold_first) / n + l2 * first])
+        p, xi, _, pf = forward_backward(x @ w.astype(x.dtype), starts, lengths, trans, first, pairs=True)
+        opt.step([w, trans, first], [x.T @ (p - gold).astype(x.dtype) / n + l2 * w, (xi - gold_pairs) / n + l2 * trans, (pf - gold_first) / n + l2 * first])
     return w, trans, first

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from brindle.llm import crf
 from brindle.llm.buffers import byte_slices, segment_sums
-from brindle.llm.samples import fold_of, thinned
+from brindle.llm.samples import bounded, fold_of, thinned
 from brindle.session import table
 
-SAMPLE = 1500
+#: Documents, and bytes of their texts, that a field is fitted on.
+SAMPLE, SAMPLE_BYTES = 1500, 8 << 20
+#: Words at each end of a text that speak for its frame: a passage in another language is taken to lie inside a text.
 EDGE_WORDS = 4
 TABLE_BITS = 16
 UNKNOWN = "und"
@@ -240,10 +242,10 @@ def identify(docs: DataFrame, field: WordField, keep: tuple[str, ...] = ("doc_id
 
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> WordField:
-    """A field from at most 2*sample documents with a language, outside the held-out fold."""
+    """A field from at most `sample` documents with a language, outside the held-out fold."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), 4) != 2))
-    few = thinned(known, "doc_id", sample).toPandas().sort_values(["doc_id", "text"], kind="stable")
-    return fit(list(zip(few["text"].tolist(), few["lang"].tolist())))
+    rows = bounded(thinned(known, "doc_id", 2 * sample), sample, SAMPLE_BYTES)
+    return fit([(r.text, r.lang) for r in rows])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

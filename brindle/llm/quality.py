@@ -14,7 +14,8 @@ from brindle.llm.buffers import byte_slices, segment_sums, words_of
 from brindle.llm.samples import fold_of, labelled_texts
 from brindle.session import table
 
-SAMPLE = 4000
+#: Labelled documents, and bytes of their texts, that a field is fitted on.
+SAMPLE, SAMPLE_BYTES = 4000, 8 << 20
 #: Thresholds at which each line feature switches an indicator on.
 STEPS = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7)
 
@@ -56,7 +57,7 @@ def line_features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     count = np.bincount(doc, minlength=len(offs) - 1)
     first = np.concatenate(([0], np.cumsum(count)[:-1])).astype(np.int64)
     if not m:
-        return np.zeros((0, 1 + 9 * 3 * len(STEPS) + 3)), size, first, count
+        return np.zeros((0, 1 + 9 * 3 * len(STEPS) + 3), np.float32), size, first, count
     base = np.empty((m, 9))
     for k in range(5):
         sums = np.concatenate(([0], np.cumsum(CLASSES[:, k][buf], dtype=np.float64)))
@@ -79,12 +80,12 @@ def line_features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     base[:, 6] = np.bincount(line_of, MARK[buf[b - 1]], minlength=m) / n_words
     base[:, 7] = np.minimum(1, size / n_words / 20)
     base[:, 8] = np.minimum(1, np.log1p(size) / 10)
-    steps = (base[:, :, None] > np.array(STEPS)).reshape(m, -1).astype(np.float64)
+    steps = (base[:, :, None] > np.array(STEPS)).reshape(m, -1).astype(np.float32)
     before, after = np.zeros_like(steps), np.zeros_like(steps)
     inner = doc[1:] == doc[:-1]
     before[1:][inner] = steps[:-1][inner]
     after[:-1][inner] = steps[1:][inner]
-    edge = np.ones((m, 3))
+    edge = np.ones((m, 3), np.float32)
     edge[1:, 1] = ~inner
     edge[:-1, 2] = ~inner
     return np.hstack([edge[:, :1], steps, before, after, edge]), size, first, count
@@ -102,7 +103,7 @@ class LineField:
     def score(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Quality of each document: marginals of good lines weighted by length, calibrated."""
         x, size, first, count = line_features(buf, offs)
-        good = crf.forward_backward(x @ self.weights, first, count, self.trans, self.first)[:, 1]
+        good = crf.forward_backward(x @ self.weights.astype(x.dtype), first, count, self.trans, self.first)[:, 1]
         raw, has = aggregate(good, size, first, count)
         return np.where(has, 1 / (1 + np.exp(-(self.slope * raw + self.bias))), self.prior)
 
@@ -125,7 +126,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 150) -> LineField:
         return LineField(np.zeros((x.shape[1], L)), np.zeros((L, L)), np.zeros(L), 0.0, float(np.log((prior + 1e-3) / (1 - prior + 1e-3))), prior)
     has = count > 0
     w, trans, start = crf.fit_dense(x, np.repeat(y, count), first[has], count[has], L, rounds)
-    raw_score, ok = aggregate(crf.forward_backward(x @ w, first, count, trans, start)[:, 1], size, first, count)
+    raw_score, ok = aggregate(crf.forward_backward(x @ w.astype(x.dtype), first, count, trans, start)[:, 1], size, first, count)
     z = np.column_stack([raw_score[ok], np.ones(ok.sum())])
     t = y[ok]
     c = np.zeros(2)
@@ -140,7 +141,9 @@ def score_quality(docs: DataFrame, field: LineField, keep: tuple[str, ...] = ("d
     """docs -> kept columns and score (0 to 1, higher is better) of every whole text.
 
     Null texts, empty texts and texts of newlines have no line and score the
-    share of good documents in the fitting sample. Every row gives one row.
+    share of good documents in the fitting sample. Every row gives one row,
+    repeated rows too; an empty table gives an empty one. Columns that are not
+    kept are ignored, whatever their names.
     """
     rows = docs.select(*keep, F.col("text").alias("_text"))
 
@@ -155,8 +158,8 @@ def score_quality(docs: DataFrame, field: LineField, keep: tuple[str, ...] = ("d
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField:
-    """A field from at most 2*sample labelled documents outside the held-out fold."""
-    return fit(labelled_texts(docs, labels, "quality", 5, 0, sample))
+    """A field from at most `sample` labelled documents outside the held-out fold."""
+    return fit(labelled_texts(docs, labels, "quality", 5, 0, sample, SAMPLE_BYTES))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

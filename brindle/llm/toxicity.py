@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -13,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.samples import fold_of, labelled_texts
+from brindle.llm.samples import fold_of, labelled_texts, unused
 from brindle.session import table
 
-SAMPLE = 6000
+#: Labelled documents, and bytes of their texts, that a lexicon is fitted on.
+SAMPLE, SAMPLE_BYTES = 6000, 16 << 20
 THRESHOLD = 0.3
 LEAST_CONTEXTS = 6
 LEAST_WEIGHT = 1.5
@@ -77,8 +80,19 @@ def found(folded: str, automaton) -> float:
         a, b = end + 1 - size, end + 1
         if (a and folded[a - 1].isalnum()) or (b < n and folded[b].isalnum()):
             continue
-        (hits if weight is not None else excused).append((a, b, weight))
-    return sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in excused))
+        if weight is None:
+            excused.append((a, b))
+        else:
+            hits.append((a, b, weight))
+    # of all phrases that begin no later than a term, the one that ends last decides
+    excused.sort()
+    begins, reach = [x for x, _ in excused], list(accumulate((y for _, y in excused), max))
+    total = 0.0
+    for a, b, w in hits:
+        k = bisect_right(begins, a)
+        if not k or reach[k - 1] < b:
+            total += w
+    return total
 
 
 def _shape(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -135,32 +149,35 @@ def score_texts(docs: DataFrame, lex: Lexicon, keep: tuple[str, ...] = ("doc_id"
     """docs -> kept columns, tox_weight (of terms found) and tox_score (0 to 1) of every whole text.
 
     Null and empty texts have weight 0 and the score of a text without terms.
-    Every row gives one row; other columns are ignored.
+    Every row gives one row, repeated rows too; an empty table gives an empty
+    one. Columns that are not kept are ignored. Where a kept column has the
+    name of a result, the result's name gets an underscore more.
     """
-    column = "text" if "text" in keep else "_text"
-    rows = docs.select(*keep) if column == "text" else docs.select(*keep, F.col("text").alias("_text"))
+    weight_name, score_name, text_name = unused("tox_weight", keep), unused("tox_score", keep), unused("_text", keep)
+    rows = docs.select(*[F.col(f"`{k}`") for k in keep], F.col("text").alias(text_name))
 
     def run(batches):
         auto = lex.automaton()
         for batch in batches:
-            texts = batch.column(column).to_pylist()
+            texts = batch.column(text_name).to_pylist()
             weight = np.array([found(fold(t), auto) if t else 0.0 for t in texts], float)
             words = np.array([len(t.split()) if t and w else 1 for t, w in zip(texts, weight)], float)
             score = 1 / (1 + np.exp(-_shape(weight, words) @ np.array([lex.bias, lex.total, lex.density]))) if len(texts) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(weight), pa.array(score)], names=[*keep, "tox_weight", "tox_score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(weight), pa.array(score)], names=[*keep, weight_name, score_name])
 
-    kept = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(run, f"{kept}, tox_weight double, tox_score double")
+    kept = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keep)
+    return rows.mapInArrow(run, f"{kept}`{weight_name}` double, `{score_name}` double")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
-    """A lexicon from at most 2*sample labelled documents outside the held-out fold."""
-    return fit(labelled_texts(docs, labels, "toxic", 4, 2, sample))
+    """A lexicon from at most `sample` labelled documents outside the held-out fold."""
+    return fit(labelled_texts(docs, labels, "toxic", 4, 2, sample, SAMPLE_BYTES))
 
 
 def without_toxic(docs: DataFrame, lex: Lexicon) -> DataFrame:
-    """docs without the rows whose score reaches the threshold; all columns stay."""
-    return score_texts(docs, lex, tuple(docs.columns)).where(F.col("tox_score") < THRESHOLD).select(*docs.columns)
+    """docs without the rows whose score reaches the threshold; all columns stay, whatever their names."""
+    score = unused("tox_score", docs.columns)
+    return score_texts(docs, lex, tuple(docs.columns)).where(F.col(score) < THRESHOLD).select(*[F.col(f"`{k}`") for k in docs.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
