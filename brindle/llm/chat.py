@@ -73,18 +73,73 @@ def format_segments(conversations: DataFrame, template: Template = Template()) -
     return rows.select("conv_id", "turn", "place", allowed.alias("turn_ok"), ok.alias("ends_ok"), F.explode(parts).alias("s")).select("conv_id", "turn", "place", "turn_ok", "ends_ok", "s.*")
 
 
+class Reader:
+    """Turns of a formatted text that arrives in pieces of any length, with a loss flag for each piece."""
+
+    def __init__(self, template: Template):
+        self.template = template
+        self.head, self.tail = template.open.split("{role}")
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n = self.loss_chars = self.chars = 0
+        self.ok = True
+        self.role: str | None = None  # of the turn whose text is being read
+        self.buffer, self.mask = "", []  # what is not read yet, and (length, loss) of its pieces
+        self.seen = 0  # characters of the buffer that hold no mark
+
+    def feed(self, piece: str, loss: bool) -> None:
+        self.chars += len(piece)
+        self.buffer += piece
+        self.mask.append((len(piece), loss))
+        while True:
+            mark = self.tail if self.role is None else self.template.close
+            at = self.buffer.find(mark, self.seen)
+            if at < 0:
+                self.seen = max(0, len(self.buffer) - len(mark) + 1)
+                return
+            self._take(at, len(mark))
+
+    def _take(self, at: int, mark: int) -> None:
+        body, flags = self.buffer[:at], self._masked(at, mark)
+        self.buffer, self.seen = self.buffer[at + mark :], 0
+        if self.role is None:
+            self.ok = self.ok and body.startswith(self.head)
+            self.role = unescape(body[len(self.head) :], self.template)
+            return
+        said = unescape(body, self.template)
+        self.turns.update(f"{self.role}\n{said}\n".encode("utf-8", "surrogatepass"))
+        kept = unescape("".join(body[a:b] for a, b in flags), self.template)
+        self.loss_chars += len(kept)
+        self.loss.update(kept.encode("utf-8", "surrogatepass"))
+        self.n, self.role = self.n + 1, None
+
+    def _masked(self, at: int, mark: int) -> list[tuple[int, int]]:
+        """Stretches of the first `at` characters that carry loss; these and the mark leave the mask."""
+        out, a, rest = [], 0, []
+        for size, loss in self.mask:
+            if loss and a < at:
+                out.append((a, min(a + size, at)))
+            if a + size > at + mark:
+                rest.append((a + size - max(a, at + mark), loss))
+            a += size
+        self.mask = rest
+        return out
+
+    def at_end(self) -> bool:
+        return self.role is None and not self.buffer
+
+
 def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame:
     """Formatted segments -> a row for each conversation with digests of what they say.
 
     Segments stream through a task in the order of conversation, place and
-    part; only the running digests of one conversation are held, so its length
-    does not matter. Roles and texts are parsed from the marks of the formatted
-    text and unescaped.
+    part, and are read as one running text with a loss mask: what is a role,
+    what a text and where a turn ends is found by scanning for the template's
+    marks only (see Reader). One turn and the running digests of its
+    conversation are held, so a conversation's length does not matter. A
+    conversation whose text does not end with a closing mark is not valid.
     """
     t = template
     ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "place", "part").select("conv_id", "place", "part", "segment", "loss", "turn_ok", "ends_ok")
-    head, tail = (re.escape(x) for x in t.open.split("{role}"))
-    opening = re.compile(f"{head}(.*){tail}", re.S)
     names = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid")
 
     def run(batches):
@@ -92,10 +147,10 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
         state = None
 
         def fresh():
-            return {"n": 0, "turns": hashlib.sha256(), "lc": 0, "loss": hashlib.sha256(), "fc": 0, "ok": True}
+            return Reader(t)
 
         def row():
-            return (key, state["n"], state["turns"].hexdigest(), state["lc"], state["loss"].hexdigest(), state["fc"], state["ok"])
+            return (key, state.n, state.turns.hexdigest(), state.loss_chars, state.loss.hexdigest(), state.chars, state.ok and state.at_end())
 
         def batch_of(rows, kind):
             cols = list(zip(*rows))
@@ -106,24 +161,13 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
         for batch in batches:
             kind = batch.schema.field("conv_id").type
             out = []
-            for conv, _, part, seg, loss, tok, eok in zip(*[c.to_pylist() for c in batch.columns]):
+            for conv, _, _, seg, loss, tok, eok in zip(*[c.to_pylist() for c in batch.columns]):
                 if not have or conv != key:
                     if have:
                         out.append(row())
                     key, have, state = conv, True, fresh()
-                state["fc"] += len(seg)
-                if part == 0:
-                    role = unescape(opening.fullmatch(seg)[1], t)
-                    state["turns"].update(role.encode("utf-8", "surrogatepass") + b"\n")
-                    state["n"] += 1
-                    state["ok"] = state["ok"] and bool(tok) and eok is not False
-                elif part == 1:
-                    text = unescape(seg, t)
-                    raw = text.encode("utf-8", "surrogatepass")
-                    state["turns"].update(raw + b"\n")
-                    if loss:
-                        state["lc"] += len(text)
-                        state["loss"].update(raw)
+                state.feed(seg, bool(loss))
+                state.ok = state.ok and bool(tok) and eok is not False
             if out:
                 yield batch_of(out, kind)
         if have:
