@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from brindle.session import table, written
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-#: Cells of a source: this many hash slots for each eighth of a doubling in size.
-SLOTS = 64
+#: Documents of a cell, if all documents were of one source and size class.
+CELL = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -61,23 +62,29 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     Documents stand in a fixed order inside their source; the running sum of
     rates plus one offset is cut at the integers, and a document is emitted
     once for each integer it crosses: floor(rate) or one more, so never above
-    `most`. The order goes by size class first, so that the words taken follow
-    the target closely.
+    `most`. The order goes by size class (an eighth of a doubling) first, so
+    that the words taken follow the target closely, then by a digest of id and
+    text, then by a hash of the kept columns.
 
     The running sum needs only a document's rank, which comes from counts of
-    cells (source, size class, hash slot) and a rank inside the cell. No task
-    holds a source: a cell is about a 64th of a size class.
+    cells (source, size class, range of digests) and a rank inside the cell.
+    A class is cut into as many ranges of digests as leave CELL documents in
+    each even if every document were in it, so no task holds a source or a
+    class. Only rows alike in id and text must share a cell.
 
     Null texts and texts without words have size 0; null is a source of its
     own, last in order. A source without words has target 0 and is not
     emitted. Repeated rows are ranked one after another. An empty table gives
     an empty table. Other columns pass if named in keep.
     """
-    tie = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = docs.select(F.struct(*keep).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_s"), word_count(F.col(text_col)).alias("size"), tie.alias("_tie"))
-    rows = rows.withColumn("_class", F.floor(F.log2(F.col("size") + 1) * 8).cast("int")).withColumn("_slot", (F.conv(F.substring("_tie", 1, 4), 16, 10).cast("int") % SLOTS))
+    tie = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    plain = [F.col(f"`{k}`") for k in keep if not isinstance(docs.schema[k].dataType, MapType)]
+    rows = docs.select(F.struct(*[F.col(f"`{k}`") for k in keep]).alias("_row"), F.xxhash64(*plain).alias("_other"), F.col("source").alias("_s"), word_count(F.col(text_col)).alias("size"), tie.alias("_tie"))
+    rows = rows.withColumn("_class", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
     if set(keep) <= {"doc_id", "source"}:
         rows = written(rows, "sizes")
+    slots = max(1, -(-docs.count() // CELL))
+    rows = rows.withColumn("_slot", F.floor(F.conv(F.substring("_tie", 1, 8), 16, 10).cast("double") / 4294967296.0 * slots))
     cells = rows.groupBy("_s", "_class", "_slot").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
     cells = written(cells, "cells")
     sizes = cells.groupBy("_s").agg(F.sum("_words").alias("source_size"), F.sum("_n").alias("n")).withColumnRenamed("_s", "source")
@@ -87,7 +94,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     cells = cells.join(targets.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).select(
         F.col("_s").alias("_cs"), F.col("_class").alias("_cc"), F.col("_slot").alias("_cl"), "_before", "source_size", "target"
     )
-    inside = Window.partitionBy("_s", "_class", "_slot").orderBy("size", "_tie", "_id")
+    inside = Window.partitionBy("_s", "_class", "_slot").orderBy("_tie", "_other")
     ranked = rows.withColumn("_in", F.row_number().over(inside) - 1)
     same = F.col("_s").eqNullSafe(F.col("_cs")) & (F.col("_class") == F.col("_cc")) & (F.col("_slot") == F.col("_cl"))
     ranked = ranked.join(cells, same)
@@ -113,9 +120,9 @@ OP10_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, 'null')) AS tie
+         md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS tie
   FROM documents),
-sized AS (SELECT *, floor(log2(size + 1) * 8)::INT AS cls, (('0x' || substr(tie, 1, 4))::INT % 64) AS slot FROM rows),
+sized AS (SELECT *, floor(log2(size + 1) * 8)::INT AS cls FROM rows),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
 w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source COLLATE C NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size::DOUBLE * 3 AS cap,
       sum(source_size) OVER ()::DOUBLE AS total FROM src),
@@ -123,7 +130,7 @@ lv AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NU
       / sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 water AS (SELECT max(level) AS water FROM lv WHERE NOT cap <= level * w AND cap / w = (SELECT min(cap / w) FROM lv WHERE NOT cap <= level * w)),
 tg AS (SELECT source, source_size, CASE WHEN cap <= level * w OR water IS NULL THEN cap ELSE water * w END AS target FROM lv, water),
-rk AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY cls, slot, size, tie, doc_id) - 1)::DOUBLE AS rank FROM sized),
+rk AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY cls, tie) - 1)::DOUBLE AS rank FROM sized),
 un AS (SELECT rk.doc_id, rk.size, tg.source_size, tg.target, rank,
        CASE WHEN tg.source_size > 0 THEN tg.target / tg.source_size ELSE 0.0 END AS rate,
        ('0x' || substr(md5(coalesce('s' || rk.source, 'n')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS u
