@@ -182,6 +182,37 @@ def test_an_item_beside_its_variants_is_caught(spark):
     assert found(spark, sheets, [item], most_broadcast=0) == found(spark, sheets, [item])
 
 
+# ---------------------------------------------------------------- chat, formatted text
+
+
+def test_formatted_text_is_read_by_its_marks_alone():
+    t = chat.Template()
+    turns = [("user", "x<|y"), ("assistant", "ends with <"), ("a|", "|> \\e"), ("assistant", "")]
+    esc = lambda x: re.sub("|".join(f"(?<={re.escape(c[0])})(?={re.escape(c[1:])})" for c in t.controls), lambda m: t.mark, x.replace("\\", "\\\\"))
+    whole, mask = "", []
+    for role, text in turns:
+        for piece, loss in ((f"<|{esc(role)}|>", False), (esc(text), role == "assistant"), (t.close, False)):
+            whole += piece
+            mask += [loss] * len(piece)
+    want = hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+    for size in (1, 3, len(whole)):
+        r = chat.Reader(t)
+        for k in range(0, len(whole), size):
+            for ch, loss in zip(whole[k : k + size], mask[k : k + size]) if size > 1 else [(whole[k], mask[k])]:
+                r.feed(ch, loss)
+        assert (r.n, r.turns.hexdigest(), r.chars) == (4, want, len(whole)) and r.at_end() and r.ok
+        assert (r.loss_chars, r.loss.hexdigest()) == (11, hashlib.sha256(b"ends with <").hexdigest())
+    r.feed("<|user|>no end", False)
+    assert not r.at_end()
+
+
+def test_odd_conversations_have_rows(spark):
+    rows = [(None, None, "user", "a"), (None, None, "assistant", "b"), (4, 1, "user", "q"), (4, 1, "user", "q"), (4, None, None, None), (5, 0, "user", "q")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, place int")
+    got = {r.conv_id: (r.n_turns, r.valid, r.loss_chars) for r in chat.read_back(chat.format_segments(df)).collect()}
+    assert got == {None: (2, False, 1), 4: (3, False, 0), 5: (1, False, 0)}
+
+
 # ---------------------------------------------------------------- mixing
 
 
@@ -203,3 +234,14 @@ def test_mix_meets_targets(spark):
     assert again == {(r._row.doc_id, r.copies) for r in got}
     assert mixing.mixed_documents(df).count() == sum(r.copies for r in got)
     assert mixing.mix_sources(df.limit(0)).count() == 0
+
+
+def test_mix_of_one_size_and_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL", 50)
+    rows = [(i % 900, f"w{i % 7} x", "a", i) for i in range(2000)] + [(1, "y z", "b", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _class int")
+    one = sorted(tuple(r) for r in mixing.mixed_documents(df).collect())
+    assert one == sorted(tuple(r) for r in mixing.mixed_documents(df.repartition(5)).collect())
+    taken = {s: sum(2 for r in one if r[2] == s) for s in "ab"}
+    target = {r._row.source: r.target for r in mixing.mix_sources(df).collect()}
+    assert all(abs(taken[s] - target[s]) <= 2 for s in taken)
