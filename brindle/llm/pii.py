@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.samples import thinned
+from brindle.llm.samples import bounded, thinned
 from brindle.session import table
 
-SAMPLE = 4000
+#: Documents, and bytes of their texts, that the trees are fitted on, and planted texts beside them.
+SAMPLE, SAMPLE_BYTES, PLANTED = 2000, 4 << 20, 3000
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 
@@ -31,11 +33,11 @@ BROAD = {
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:[.:][0-9]{1,3}){3,5}+",
     "card": r"(?<![0-9])[0-9]{3,19}+(?:[\x20.-][0-9]{2,8}+){0,5}+",
     "phone": r"(?<![0-9+(])(?:\+|\()?[0-9]{1,4}+[\x20()./-]{1,3}+[0-9]{2,5}+(?:[\x20()./-]{1,2}+[0-9]{2,5}+){1,4}+",
-    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,128}+(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])",
 }
 CUES = r"(?i)(mail|phone|tel|call|mobile|fax|address|ip|card|visa|account|iban|token|key|secret|password|passwd)\W{0,4}$"
-SECRET_CUE = r"(?i)(token|key|secret|password|passwd)\W{0,4}$"
 CONTEXT = 24
+CHUNK = 1024
 
 
 def let(value: Column, use) -> Column:
@@ -44,61 +46,64 @@ def let(value: Column, use) -> Column:
 
 
 def running(values: Column, merge, zero) -> Column:
-    """merge of all values before each place. Blocks of about sqrt(n) keep it at n^1.5 steps."""
+    """merge of all values before each place, by doubling the reach of each place: n log n steps."""
 
-    def fold(a: Column) -> Column:
-        return F.aggregate(a, zero, merge)
+    def reach(acc: Column, r: Column) -> Column:
+        step = F.pow(F.lit(2), r).cast("int")
+        return F.transform(acc, lambda x, i: F.when(i >= step, merge(acc[F.greatest(i - step, F.lit(0))], x)).otherwise(x))
 
     def work(v: Column) -> Column:
-        return let(F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1)), lambda k: blocks(v, k))
+        rounds = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.size(v))).cast("int") - 1, F.lit(0)))
+        return let(F.aggregate(rounds, v, reach), lambda s: F.transform(v, lambda _, i: F.when(i > 0, s[F.greatest(i - 1, F.lit(0))]).otherwise(zero)))
 
-    def blocks(v: Column, k: Column) -> Column:
-        n = F.ceil(F.size(v) / k).cast("int")
-        each = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda b: fold(F.slice(v, b * k + 1, k)))
-        return let(each, lambda e: let(F.transform(e, lambda _, b: fold(F.slice(e, F.lit(1), b))), lambda before: places(v, k, before)))
+    return let(values, work)
 
-    def places(v: Column, k: Column, before: Column) -> Column:
-        return F.transform(v, lambda _, i: merge(before[(i / k).cast("int")], fold(F.slice(v, (i / k).cast("int") * k + 1, i % k))))
 
-    return let(values, work)
+def count_below(ascending: Column, x: Column) -> Column:
+    """How many values of an ascending array are below x, by halving."""
+    field = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def half(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        return F.when(s["lo"] >= s["hi"], s).when(ascending[F.least(mid, F.size(ascending) - 1)] < x, field(mid + 1, s["hi"])).otherwise(field(s["lo"], mid))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ascending) + F.lit(1))).cast("int"))
+    return F.aggregate(steps, field(F.lit(0), F.size(ascending)), half)["lo"]
 
 
 #: Fields in this order sort by start, then kind.
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+CANDIDATE = "array<struct<start:int,kind:int,end:int,value:string,before:string,after:string>>"
 
 
 def none() -> Column:
     return F.array().cast(SPAN)
 
 
-def matches(text: Column, pattern: str, kind: int) -> Column:
+def matches(text: Column, pattern: str, kind: int, context: bool = False) -> Column:
     """Spans (code points, end exclusive) of a pattern's matches, leftmost and without overlap.
 
     The pieces between matches and the matches themselves give lengths, whose
-    running sum gives places.
+    running sum gives places. With context, a span also has up to CONTEXT
+    characters before it and one after, as far as no other match stands there.
     """
 
     def spans(found: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-        return let(gaps, lambda g: placed(found, g))
+        return let(F.split(text, pattern, -1), lambda gaps: let(F.transform(gaps, lambda g: F.length(g)), lambda g: placed(found, gaps, g)))
 
-    def placed(found: Column, g: Column) -> Column:
+    def placed(found: Column, gaps: Column, g: Column) -> Column:
         steps = F.transform(found, lambda m, i: F.length(m) + g[i])
-        return let(
-            running(steps, lambda a, b: a + b, F.lit(0)),
-            lambda before: F.transform(
-                found,
-                lambda m, i: F.struct(
-                    (before[i] + g[i]).alias("start"),
-                    F.lit(kind).alias("kind"),
-                    (before[i] + g[i] + F.length(m)).alias("end"),
-                    m.alias("value"),
-                ),
-            ),
-        )
+
+        def span(before: Column, m: Column, i: Column) -> Column:
+            fields = [(before[i] + g[i]).alias("start"), F.lit(kind).alias("kind"), (before[i] + g[i] + F.length(m)).alias("end"), m.alias("value")]
+            around = [F.right(gaps[i], F.lit(CONTEXT)).alias("before"), F.substring(gaps[i + 1], 1, 1).alias("after")]
+            return F.struct(*fields, *(around if context else []))
+
+        return let(running(steps, lambda a, b: a + b, F.lit(0)), lambda before: F.transform(found, lambda m, i: span(before, m, i)))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(found, lambda m: F.when(F.size(m) > 0, spans(m)).otherwise(none()))
+    empty = F.array().cast(CANDIDATE if context else SPAN)
+    return let(found, lambda m: F.when(F.size(m) > 0, spans(m)).otherwise(empty))
 
 
 def digits(value: Column) -> Column:
@@ -165,14 +170,8 @@ def features(c: Column) -> Column:
 def candidates(text: Column) -> Column:
     """Broad spans of every kind, which may overlap, with the characters around them."""
     cheap = {"email": "@|[\\[(]at[\\])]", "ip": r"[0-9][.:][0-9]", "card": "[0-9]{3}", "phone": r"[0-9][ ()./-]", "secret": "[A-Za-z0-9_-]{20}"}
-    every = [F.when(text.rlike(cheap[k]), matches(text, BROAD[k], i)).otherwise(none()) for i, k in enumerate(KINDS)]
-
-    def around(m: Column) -> Column:
-        a = F.greatest(m["start"] - CONTEXT, F.lit(0))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"), m["value"].alias("value"), F.substring(text, a + 1, m["start"] - a).alias("before"), F.substring(text, m["end"] + 1, F.lit(1)).alias("after"))
-
-    likely = F.filter(F.concat(*every), lambda m: (m["kind"] != KINDS.index("secret")) | (m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")))
-    return F.transform(likely, around)
+    every = [F.when(text.rlike(cheap[k]), matches(text, BROAD[k], i, context=True)).otherwise(F.array().cast(CANDIDATE)) for i, k in enumerate(KINDS)]
+    return F.filter(F.concat(*every), lambda m: (m["kind"] != KINDS.index("secret")) | (m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")))
 
 
 # ------------------------------------------------- boosting (on a bounded sample, off the main path)
@@ -200,8 +199,26 @@ class Trees:
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 20, depth: int = 3, rate: float = 0.3, precision: float = 0.95) -> Trees | None:
-    """Logistic gradient boosting; thresholds of each kind come from every third row, which the trees do not see."""
+def calibrated(score: np.ndarray, y: np.ndarray, likely: float) -> float:
+    """The least score from which on the share of positives, made rising by pooling neighbours, is at least `likely`; infinity if none."""
+    order = np.argsort(score, kind="stable")
+    pools: list[list[float]] = []  # positives, rows, least score
+    for k in order:
+        if pools and pools[-1][2] == score[k]:
+            pools[-1][0] += y[k]
+            pools[-1][1] += 1
+        else:
+            pools.append([y[k], 1, score[k]])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            p, n, at = pools.pop()
+            pools[-1][0] += p
+            pools[-1][1] += n
+    good = [at for p, n, at in pools if p >= likely * n and p >= 5]
+    return float(min(good)) - 1e-9 if good else float("inf")
+
+
+def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 20, depth: int = 3, rate: float = 0.3, likely: float = 0.9) -> Trees | None:
+    """Logistic gradient boosting; every third row, which the trees do not see, calibrates each kind's scores and sets its threshold."""
     if len(y) < 20 or y.min() == y.max():
         return None
     held = np.arange(len(y)) % 3 == 2
@@ -249,34 +266,106 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 20, depth: int = 3, ra
         f += value(t, xt)
     xv, yv = x[held], y[held]
     s = base + sum(value(t, xv) for t in trees)
-    least = []
-    for k in range(len(KINDS)):
-        at = np.sort(s[(xv[:, 0] == k) & (yv == 1)])
-        mine = xv[:, 0] == k
-        good = [c for c in at if yv[mine & (s >= c)].mean() >= precision]
-        least.append(float(min(good)) - 1e-6 if good else float("inf"))
+    least = [calibrated(s[xv[:, 0] == k], yv[xv[:, 0] == k], likely) for k in range(len(KINDS))]
     return Trees(trees, base, tuple(least))
 
 
-def fitted(docs: DataFrame, sample: int = SAMPLE) -> Trees | None:
-    """Trees from the candidates of at most 2*sample documents.
+def planted(carriers: list[str], many: int, seed: int = 7) -> list[tuple[str, int, int, int, int]]:
+    """`many` texts (text, start, end, kind, label): a made-up value set into a piece of a real text.
 
-    There are no labels of personal data, so a candidate counts as personal if
-    it is a base match that holds (same kind, same span), or a secret behind a
-    word that announces one.
+    Labels come from what was planted: addresses, numbers and secrets in the
+    forms people write them, most of which no base pattern finds, against look-alikes
+    (numbers without a check digit, versions, dates, sums, order numbers,
+    digests, handles).
+    """
+    r = random.Random(seed)
+    num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    word = lambda a="abcdefghijklmnopqrstuvwxyz": "".join(r.choice(a) for _ in range(r.randrange(3, 10)))
+    mixed = lambda n, a: "".join(r.choice(a) for _ in range(n))
+    host = lambda: word() + r.choice([".org", ".com", ".example", ".co.uk"])
+    user = lambda: word() + r.choice(["", ".", "_", "-"]) + word() + r.choice(["", num(2)])
+    cue = lambda words, sure: r.choice(words) + r.choice([": ", " ", " = ", "="]) if sure or r.random() < 0.6 else ""
+
+    def card(ok: bool) -> str:
+        body = r.choice("3456") + num(14)
+        total = sum(d if k % 2 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(map(int, body)))
+        check = -total % 10
+        d = body + str(check if ok else (check + r.randrange(1, 10)) % 10)
+        return r.choice(["", " ", "-", "."]).join(d[k : k + 4] for k in range(0, 16, 4))
+
+    def phone() -> str:
+        a, b, c = num(2 + r.randrange(2)), num(3), num(4)
+        return r.choice([f"+{num(2)} {a} {b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"0{a}/{b} {c}", f"+{num(1)} ({a}) {b} {c}", f"{a}.{b}.{c}"])
+
+    hexes, letters = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    octet = lambda: str(r.randrange(256))
+    quad = lambda: ".".join(octet() for _ in range(4)) + r.choice(["", "", ":" + str(r.randrange(80, 999))])
+    good = {
+        "email": lambda: (cue(["mail", "e-mail", "address"], False), user() + r.choice(["@", " [at] ", "(at)", "[at]"]) + host()),
+        "ip": lambda: (cue(["ip", "address"], False), quad()),
+        "card": lambda: (cue(["card", "visa", "account"], False), card(True)),
+        "phone": lambda: (cue(["phone", "tel", "call", "mobile", "fax"], True), phone()),
+        "secret": lambda: (cue(["token", "key", "secret", "password"], True) + r.choice(['"', "'", ""]), r.choice([mixed(40, hexes), mixed(r.randrange(20, 60), letters), "sk-" + mixed(32, letters)])),
+    }
+    bad = {
+        "email": lambda: ("", r.choice(["@" + word(), word() + "@" + word()])),
+        "ip": lambda: (r.choice(["v", "version ", ""]), ".".join(str(r.randrange(256, 999) if r.random() < 0.5 else r.randrange(20)) for _ in range(r.choice([4, 5])))),
+        "card": lambda: (r.choice(["", "order ", "no. "]), card(False) if r.random() < 0.7 else num(r.randrange(4, 19))),
+        "phone": lambda: (r.choice(["", "on ", "about ", "see "]), r.choice([f"20{num(2)}-0{num(1)}-1{num(1)}", f"{num(2)} {num(3)} {num(3)}", f"{num(2)}/{num(2)}/20{num(2)}", f"{num(2)}-{num(3)}-{num(2)}"])),
+        "secret": lambda: (r.choice(["", "commit ", "see ", "id "]), r.choice([mixed(40, hexes), "-".join([word() for _ in range(4)] + [num(2)]), "_".join(word() + num(1) for _ in range(4))])),
+    }
+    out = []
+    for k in range(many if carriers else 0):
+        i, y = k % len(KINDS), k // len(KINDS) % 2
+        lead, value = (good if y else bad)[KINDS[i]]()
+        text = r.choice(carriers)
+        at = r.randrange(max(1, len(text) - 160))
+        left, right = text[at : at + 80], text[at + 80 : at + 160]
+        head = left + " " + lead
+        out.append((head + value + r.choice([" ", "\"", ", ", ". "]) + right, len(head), len(head) + len(value), i, y))
+    return out
+
+
+def fitted(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, many: int = PLANTED) -> Trees | None:
+    """Trees from the candidates of at most `sample` documents and of `many` texts with planted values.
+
+    There are no labels of personal data. In planted texts, a candidate that
+    is the planted value has its label, one of its kind that overlaps it has
+    none, and one of another kind there is harmless. In documents, a base match that holds counts as personal, a candidate that
+    overlaps none and stands behind no announcing word counts as harmless, and
+    all others have no label. So the trees must tell by form and context what
+    the base patterns do not say: dotted cards, written-out @ signs, phone
+    numbers without a plus, secrets.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    few = thinned(docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")), "doc_id", sample)
-    named = few.select("doc_id", let(base_spans(text), lambda b: F.transform(candidates(text), lambda c: F.struct(features(c).alias("f"), label(c, b).alias("y")))).alias("c"))
-    rows = named.select("doc_id", F.explode("c").alias("c")).select("doc_id", "c.f", "c.y").sort("doc_id", "f").limit(40 * sample).collect()
-    if not rows:
+    some = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    natural = [r.text for r in bounded(thinned(some, "doc_id", 2 * sample), sample, sample_bytes)]
+    made = planted([t for t in natural if t.strip()], many)
+    if not made:
         return None
-    return fit_trees(np.array([r.f for r in rows]), np.array([float(r.y) for r in rows]))
-
-
-def label(c: Column, base: Column) -> Column:
-    same = F.exists(base, lambda b: (b["kind"] == c["kind"]) & (b["start"] == c["start"]) & (b["end"] == c["end"]))
-    return F.when(c["kind"] == KINDS.index("secret"), c["before"].rlike(SECRET_CUE)).otherwise(same)
+    told = [(k, t, None, None, None, None) for k, t in enumerate(natural)] + [(len(natural) + k, *m) for k, m in enumerate(made)]
+    df = docs.sparkSession.createDataFrame(told, "row int, text string, a int, b int, k int, y int")
+    short = lambda c: F.struct(c["start"].alias("a"), c["end"].alias("b"), c["kind"].alias("k"))
+    named = lambda c: c["before"].rlike(CUES)
+    every = F.transform(candidates(text), lambda c: F.struct(short(c).alias("at"), features(c).alias("f"), named(c).alias("cue")))
+    got = df.select("row", "a", "b", "k", "y", every.alias("c"), F.transform(base_spans(text), short).alias("base")).where(F.size("c") > 0).sort("row").collect()
+    x, y = [], []
+    for r in got:
+        base = sorted((s.a, s.b, s.k) for s in r.base)
+        for c in r.c:
+            a, b, k = c.at
+            if r.y is not None and a < r.b and r.a < b:
+                label = r.y if (a, b, k) == (r.a, r.b, r.k) else (None if r.y and k == r.k else 0)
+            elif r.y is not None:
+                label = None
+            elif (a, b, k) in base:
+                label = 1
+            else:
+                label = 0 if not c.cue and not any(p < b and a < q for p, q, _ in base) else None
+            if label is not None:
+                x.append(c.f)
+                y.append(label)
+    return fit_trees(np.array(x), np.array(y, float)) if x else None
 
 
 # ------------------------------------------------- spans and redaction
@@ -287,12 +376,21 @@ def all_spans(text: Column, base: Column, trees: Trees | None) -> Column:
     if trees is None:
         return base
 
-    def chosen(c: Column) -> Column:
-        free = ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        least = F.element_at(F.array(*[F.lit(x) for x in trees.least]), c["kind"] + 1)
-        return free & let(features(c), lambda f: trees.score(f) >= least)
+    def added(starts: Column, reach: Column) -> Column:
+        """reach: where the base spans up to each one end at the latest."""
 
-    more = F.transform(F.filter(candidates(text), chosen), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["value"].alias("value")))
+        def chosen(c: Column) -> Column:
+            before = count_below(starts, c["end"])
+            free = F.when(before > 0, reach[F.greatest(before - 1, F.lit(0))] <= c["start"]).otherwise(True)
+            least = F.element_at(F.array(*[F.lit(x) for x in trees.least]), c["kind"] + 1)
+            return free & let(features(c), lambda f: trees.score(f) >= least)
+
+        return F.filter(candidates(text), chosen)
+
+    ends = F.transform(base, lambda b: b["end"])
+    upto = F.zip_with(running(ends, lambda a, b: F.greatest(a, b), F.lit(0)), ends, lambda a, b: F.greatest(a, b))
+    picked = let(F.transform(base, lambda b: b["start"]), lambda starts: let(upto, lambda reach: added(starts, reach)))
+    more = F.transform(picked, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["value"].alias("value")))
     return F.array_sort(F.concat(base, more))
 
 
@@ -305,7 +403,7 @@ def find_pii(docs: DataFrame, trees: Trees | None, keep: tuple[str, ...] = ("doc
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*[F.col(k) for k in keep], text.alias("_pii_text"))
     t = F.col("_pii_text")
-    both = let(base_spans(t), lambda b: F.struct(b.alias("base"), F.when(t.rlike("[0-9@]"), all_spans(t, b, trees)).otherwise(b).alias("spans")))
+    both = let(base_spans(t), lambda b: F.struct(b.alias("base"), F.when(t.rlike(r"[0-9@]|[\[(]at[\])]"), all_spans(t, b, trees)).otherwise(b).alias("spans")))
     return rows.withColumn("_pii", both).select(*[F.col(k) for k in keep], "_pii_text", F.col("_pii.base").alias("_pii_base"), F.col("_pii.spans").alias("_pii_spans"))
 
 
@@ -319,15 +417,23 @@ def redacted(text: Column, spans: Column) -> Column:
     """text with each span, or run of overlapping spans, replaced by [KIND] of the first."""
     tag = lambda k: F.element_at(F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS]), k + 1)
 
-    def pieces(before: Column) -> Column:
-        def piece(s: Column, i: Column) -> Column:
-            done = before[i]
-            return F.when(s["start"] >= done, F.concat(F.substring(text, done + 1, s["start"] - done), tag(s["kind"]))).otherwise("")
+    def piece(chunks: Column, a: Column, b: Column) -> Column:
+        """Characters a to b, from chunks of CHUNK characters each: cutting one piece never walks the whole text."""
+        i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        chunk = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+        start = F.substring(chunk(i), a % CHUNK + 1, F.when(i == j, b - a).otherwise(F.lit(CHUNK)))
+        between = F.when(j - i > 1, F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), "")).otherwise("")
+        return F.when(i == j, start).otherwise(F.concat(start, between, F.substring(chunk(j), F.lit(1), b % CHUNK)))
+
+    def pieces(chunks: Column, done: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            return F.when(s["start"] >= done[i], F.concat(piece(chunks, done[i], s["start"]), tag(s["kind"]))).otherwise("")
 
-        return F.array_join(F.transform(spans, piece), "")
+        return F.concat(F.array_join(F.transform(spans, one), ""), piece(chunks, F.array_max(ends), F.length(text)))
 
     ends = F.transform(spans, lambda s: s["end"])
-    whole = F.concat(let(running(ends, lambda a, b: F.greatest(a, b), F.lit(0)), pieces), F.substring(text, F.array_max(ends) + 1, F.length(text)))
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    whole = let(cut, lambda chunks: let(running(ends, lambda a, b: F.greatest(a, b), F.lit(0)), lambda done: pieces(chunks, done)))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
