@@ -32,6 +32,8 @@ FUNCTION_WORDS = (
 ).split()
 
 NUMBER, NAME, UNIT = "\u0001n", "\u0001p", "\u0001u"
+#: Stands between a value of an item and its place.
+PLACE = "\u0002"
 
 
 def let(value: Column, use) -> Column:
@@ -70,7 +72,7 @@ def literal(token: Column) -> Column:
     return F.when(token.startswith(NAME), F.substring(token, 3, 1 << 20)).otherwise(token)
 
 
-def windows(docs: DataFrame, key: list[str | Column], text: Column, lengths: list[int]) -> DataFrame:
+def windows(docs: DataFrame, key: list[str | Column], text: Column, lengths: list[int], placed: bool = False) -> DataFrame:
     """docs -> key, at (place of the window, from 1), w (hash of the template), h (hash of a form of it), slots (values of that form's placeholders).
 
     One row for each window of each of the lengths, and a second for a window
@@ -78,7 +80,8 @@ def windows(docs: DataFrame, key: list[str | Column], text: Column, lengths: lis
     it is cased, in its second they are placeholders. A window without a word
     has no second form, nor has one under WINDOW tokens with as many names as
     words, as it would match by its length only. A window's hash is taken over
-    the hashes of its tokens, so every token is hashed once for each form.
+    the hashes of its tokens, so every token is hashed once for each form. With
+    placed, a number or unit among the slots has its place in the text behind it.
     """
 
     def of(tok: Column) -> Column:
@@ -88,7 +91,11 @@ def windows(docs: DataFrame, key: list[str | Column], text: Column, lengths: lis
 
     def at(tok: Column, hk: Column, hl: Column, n: int) -> Column:
         def win(i: Column) -> Column:
-            return let(F.filter(F.slice(tok, i, n), lambda x: x.startswith("\u0001")), lambda slots: forms(i, slots))
+            of_window = F.slice(tok, i, n)
+            if placed:
+                here = lambda x, k: F.when(x.startswith(NUMBER) | x.startswith(UNIT), F.concat(x, F.lit(PLACE), (i + k).cast("string"))).otherwise(x)
+                of_window = F.transform(of_window, here)
+            return let(F.filter(of_window, lambda x: x.startswith("\u0001")), lambda slots: forms(i, slots))
 
         def forms(i: Column, slots: Column) -> Column:
             plain = F.filter(slots, lambda x: ~x.startswith(NAME))
@@ -119,10 +126,11 @@ def contaminated(
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, n_windows (of the item), n_matched, share, slots, consistent.
 
     A document holds an item if at least least_share of the item's template
-    windows stand in it, and its placeholders are filled consistently: in the
-    windows that match, no value of the item's may stand for two of the
-    document's, in more than half of the item's values. Names match as words or
-    as placeholders. An item may stand in a document several times: share and
+    windows stand in it, and its placeholders are filled consistently. A slot of
+    the item is a name, wherever it stands, or one place of a number or a unit,
+    as two numbers may be alike by chance. In the windows that match, no slot may
+    stand for two of the document's values, in more than half of the slots.
+    Names match as words or as placeholders. An item may stand in a document several times: share and
     consistency are tested for each alignment (place in the document less place
     in the item), for stretches of half an item's length, which bear words put
     in or left out, and for the document as a whole, and one that passes is
@@ -135,11 +143,11 @@ def contaminated(
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     sizes = items.select(F.least(F.size(tokens(F.col("text"))), F.lit(window)).alias("n")).where("n > 0").distinct()
     lengths = sorted(r.n for r in sizes.collect()) or [window]  # at most `window` values
-    own = windows(items, ["item_id"], F.col("text"), [window])
+    own = windows(items, ["item_id"], F.col("text"), [window], placed=True)
     short = [n for n in lengths if n < window]
     for n in short:
         one = items.where(F.size(tokens(F.col("text"))) == n)
-        own = own.unionByName(windows(one, ["item_id"], F.col("text"), [n]))
+        own = own.unionByName(windows(one, ["item_id"], F.col("text"), [n], placed=True))
     own = own.select("item_id", F.col("at").alias("item_at"), "w", "h", F.col("slots").alias("item_slots"))
     total = own.groupBy(F.col("item_id").alias("_item")).agg(F.count_distinct("w").alias("n_windows"))
     own = own.distinct()
@@ -154,7 +162,7 @@ def contaminated(
     groups = F.array(whole, of_text(1, offset), of_text(2, F.floor(offset / half)), of_text(3, F.floor((offset + half / 2) / half)))
     # pairs of (item value, document value) of each window: those of the form and place with the fewest changed values, then the most values
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    ranked = F.struct(F.size(F.filter(pairs, lambda p: p["i"] != p["d"])).alias("changed"), (-F.size("slots")).alias("fewer"), pairs.alias("pairs"))
+    ranked = F.struct(F.size(F.filter(pairs, lambda p: F.substring_index(p["i"], PLACE, 1) != p["d"])).alias("changed"), (-F.size("slots")).alias("fewer"), pairs.alias("pairs"))
     per_place = hit.select("doc_id", "item_id", "n_windows", "w", "item_at", ranked.alias("best"), F.explode(groups).alias("group"))
     per_place = per_place.groupBy("doc_id", "item_id", "group", "w", "item_at").agg(F.min("best").alias("best"), F.first("n_windows").alias("n_windows"))
     per_group = per_place.groupBy("doc_id", "item_id", "group").agg(F.first("n_windows").alias("n_windows"), F.count_distinct("w").alias("n_matched"), F.flatten(F.collect_list("best.pairs")).alias("pairs"))

@@ -226,6 +226,106 @@ def test_an_item_beside_its_variants_is_caught(spark):
     assert found(spark, sheets, [item], most_broadcast=0) == found(spark, sheets, [item])
 
 
+def plain_tokens(text):
+    import regex
+
+    d = decontaminate
+    t = (text or "").replace("\u0001", " ")
+    t = regex.sub(r"(?i)(?<=[0-9])( ?)(" + "|".join(sorted(d.UNITS, key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}])", lambda m: " " + d.UNIT + m[2], t)
+    t = regex.sub(r"(?<![\p{L}\p{N}\u0001])[0-9]++(?:[.,][0-9]++)*+", lambda m: d.NUMBER + m[0], t)
+    t = regex.sub(r"(?<=[0-9])[.,](?=[0-9])", "", t)
+    words = {w.capitalize() for w in d.FUNCTION_WORDS}
+    named = lambda m: m[0] if m[0] in words else d.NAME + m[0]
+    t = regex.sub(r"(?<![\p{L}\p{N}\u0001])\p{Lu}\p{Ll}[\p{L}\p{N}]*", named, t)
+    return [x for x in regex.split(r"[^\p{L}\p{N}\u0001]+", t.lower()) if x]
+
+
+def plain_windows(tok, n, item):
+    """(place, template, form, slots) of all windows of n tokens; numbers and units of an item carry their place."""
+    d = decontaminate
+    out = []
+    for i in range(len(tok) - n + 1):
+        win = tok[i : i + n]
+        slot = [(x if x.startswith(d.NAME) or not item else (x, i + k)) for k, x in enumerate(win) if x[0] == "\u0001"]
+        name = lambda x: (x if isinstance(x, str) else x[0]).startswith(d.NAME)
+        template = tuple(x[:2] if x[0] == "\u0001" else x for x in win)
+        first = tuple(x[2:] if x.startswith(d.NAME) else x[:2] if x[0] == "\u0001" else x for x in win)
+        names, words = sum(map(name, slot)), n - len(slot)
+        out.append((i + 1, template, first, tuple(x for x in slot if not name(x))))
+        if names and words > (names if n < d.WINDOW else 0):
+            out.append((i + 1, template, template, tuple(slot)))
+    return out
+
+
+def plain_contaminated(docs, items):
+    from collections import defaultdict
+
+    value = lambda x: x if isinstance(x, str) else x[0]
+    own, lengths = defaultdict(set), set()
+    for i, t in items:
+        tok = plain_tokens(t)
+        if tok:
+            lengths.add(min(8, len(tok)))
+            own[i] |= set(plain_windows(tok, min(8, len(tok)), True))
+    out = {}
+    for doc in {d for d, _ in docs}:
+        seen = {(x, hash(t)) for d, t in docs if d == doc for n in lengths for x in plain_windows(plain_tokens(t), n, False)}
+        for item, mine in own.items():
+            total = len({w for _, w, _, _ in mine})
+            half = max(total // 4, 1) * 2
+            groups = defaultdict(dict)
+            for (at, _, form, slots), body in seen:
+                for item_at, w, item_form, item_slots in mine:
+                    if form != item_form:
+                        continue
+                    o = at - item_at
+                    pairs = tuple(zip(item_slots, slots))
+                    rank = (sum(value(a) != b for a, b in pairs), -len(slots), [(str(value(a)), str(b)) for a, b in pairs])
+                    for g in ((0,), (1, body, o), (2, body, o // half), (3, body, (o + half / 2) // half)):
+                        have = groups[g].get((w, item_at))
+                        if have is None or rank < have[0]:
+                            groups[g][(w, item_at)] = (rank, pairs)
+            good = []
+            for found_at in groups.values():
+                matched = len({w for w, _ in found_at})
+                pairs = {p for _, ps in found_at.values() for p in ps}
+                slots = len({a for a, _ in pairs})
+                if matched >= 0.5 * total and (len(pairs) - slots) * 2 <= slots:
+                    good.append(matched)
+            if good:
+                out[doc, item] = (total, max(good))
+    return out
+
+
+def test_decontamination_agrees_with_plain_windows(spark):
+    import random
+
+    rng = random.Random(6)
+    names, words = ["Tom", "Ann", "Karl", "Otto Lee"], ["apples", "the", "walks", "river", "Then", "near", "red", "buys", "of"]
+    part = lambda: rng.choice(words + [rng.choice(names), str(rng.randrange(1, 9)), f"{rng.randrange(2, 40)} km", "1,5 h"])
+    items = [(i, " ".join(part() for _ in range(rng.choice([1, 3, 8, 14, 25])))) for i in range(14)] + [(20, None), (21, "..."), (3, "Ann buys 5 red apples near the river of Karl")]
+    items.append((22, "Ada has 5 pens and buys 5 more and 5 again before she counts all the pens"))
+    docs = []
+    for d in range(60):
+        text = [part() for _ in range(rng.randrange(12))]
+        for _ in range(rng.randrange(3)):
+            t = rng.choice(items)[1] or ""
+            if rng.random() < 0.6:
+                for a, b in (("Tom", "Ruth"), ("Ann", "Ida"), ("5", str(rng.randrange(9))), ("km", "m"), ("3", "7")):
+                    t = t.replace(a, b) if rng.random() < 0.5 else t
+            cut = t.split()
+            if cut and rng.random() < 0.4:
+                cut.insert(rng.randrange(len(cut)), "extra")
+            text += cut + [part() for _ in range(rng.randrange(4))]
+        docs.append((rng.randrange(50), " ".join(text)))
+    docs += [(60, None), (61, ""), (62, "Ada has 5 pens and buys 6 more and 8 again before she counts all the pens"), (63, docs[0][1] * 40)]
+    want = plain_contaminated([(d, t) for d, t in docs if t is not None], items)
+    d = spark.createDataFrame([(*x, "s") for x in docs], "doc_id long, text string, slots string")
+    b = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, share int")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_matched) for r in decontaminate.contaminated(d, b).collect()}
+    assert got == want and (62, 22) in got and len(got) > 20
+
+
 # ---------------------------------------------------------------- chat, formatted text
 
 
