@@ -1,27 +1,32 @@
-"""Exact removal of repeated byte strings: a difference-cover sample, then one suffix bucket at a time.
+"""Exact removal of repeated byte strings: blockwise suffix sorting with a difference-cover sample.
 
 Documents are dealt into groups of a few megabytes. Four passes exchange only
-digests between groups and buckets, never a row for each suffix:
+digests and strings that repeat between groups and buckets, never a row for
+each suffix:
 
 1. Cover sample. In a document, the places p with p mod 31 in a difference
    cover are sampled. Of two equal windows of 50 bytes, wherever they start,
    some place less than 31 bytes in is sampled in both, and the 20 bytes there
    lie in both windows. A group names its sampled strings and sends each
    bucket of names one sorted list.
-2. Ranks. A bucket sees which names more than one group has, and answers each
+2. Repeats. A bucket sees which names more than one group has, and answers each
    group with one bit a name. Only windows over a sample that repeats can
    repeat themselves; all others are settled.
 3. Suffix buckets. The windows left go to the bucket of their least 12-byte
    string, so equal windows meet. Neighbouring windows of one bucket travel as
    one string, and a string that a group holds many times travels once, with
-   its least document. A bucket sorts its windows (by a 64-bit name of all 50
-   bytes) and finds the least document of each.
+   its least document. A bucket ranks the cover sample of its strings, then
+   sorts its suffixes one block of leading bytes at a time: by their first 32
+   bytes, and where these tie by the ranks of the sampled places that two
+   suffixes have at one distance. Neighbours that agree in 50 bytes, compared
+   byte by byte, are one string, and the least document of each is found.
 4. Back in its group, each window whose least document is smaller than its own
    marks its bytes, and marked bytes go.
 
-Where classic blockwise construction compares suffixes and settles long ties
-by sample ranks, names settle all ties here, as only equality is asked for,
-not the order. Memory is bounded by a group or a bucket, whatever the corpus.
+Names only shut out windows that cannot repeat and pair up runs inside a
+group, where equal names are compared byte by byte as well; what repeats is
+decided by sorting. Tables are built for a piece of a few megabytes at a time,
+so memory is bounded by a bucket, or by a group's or a long text's own bytes.
 """
 
 from __future__ import annotations
@@ -44,6 +49,10 @@ NO_DOC = (1 << 63) - 1
 LONGEST_RUN = 4096
 #: Bytes of the strings whose least name deals a window to its bucket.
 DEAL = 12
+#: Bytes of a group whose tables are held at a time; a longer text is cut, at a multiple of MODULUS.
+PIECE = MODULUS * 200_000
+#: Suffixes of a bucket that are sorted at a time.
+BLOCK = 1 << 19
 
 _M = (1 << 64) - 1
 _R = 0x9E3779B97F4A7C15
@@ -93,18 +102,52 @@ def _bytes_of(tbl: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Tab
     return ids[order].astype(np.int64), buf, offs, tbl.take(pa.array(order, pa.int64()))
 
 
+def _pieces(offs: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """Batches of pieces (document, start, end) of about PIECE bytes at most; pieces of one text overlap by WIDTH - 1, so each window lies in one."""
+    batches, held = [[]], 0
+    for k, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+        for at in range(a, max(a + 1, b - WIDTH + 1), PIECE):
+            end = min(b, at + PIECE + WIDTH - 1)
+            if held and held + end - at > PIECE + WIDTH:
+                batches.append([])
+                held = 0
+            batches[-1].append((k, at, end))
+            held += end - at
+    return batches
+
+
+class Batch:
+    """Some pieces of a group's documents side by side, with the names of their strings."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, pieces: list[tuple[int, int, int]]):
+        at = np.array([(a, b) for _, a, b in pieces], np.int64).reshape(-1, 2)
+        self.buf = np.concatenate([buf[a:b] for a, b in at]) if len(at) else np.zeros(0, np.uint8)
+        size = at[:, 1] - at[:, 0]
+        ends = np.cumsum(size)
+        self.shift = at[:, 0] - (ends - size)  # from a place here to the place in the group
+        self.piece = np.repeat(np.arange(len(at), dtype=np.int32), size)
+        doc = np.array([k for k, _, _ in pieces], np.int64)
+        self.doc_of = doc
+        place = np.arange(len(self.buf)) - np.repeat(ends - size, size)
+        self.room = (np.repeat(size, size) - place).astype(np.int32)
+        long = np.repeat(np.diff(offs)[doc] >= WIDTH, size)
+        # pieces of a text start at multiples of MODULUS, so places in a piece and in the text have one residue
+        self.sampled = np.flatnonzero(_IN_COVER[place % MODULUS] & (self.room >= SEED) & long)
+        self.names = Names(self.buf)
+
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        return self.doc_of[self.piece[at]]
+
+    def in_group(self, at: np.ndarray) -> np.ndarray:
+        return at + self.shift[self.piece[at]]
+
+
 class Group:
     """The sampled names of a group, sorted by bucket."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, names: Names, buckets: int):
-        n = len(buf)
-        size = np.diff(offs)
-        doc = np.repeat(np.arange(len(size)), size)
-        place = np.arange(n) - np.repeat(offs[:-1], size)
-        room = np.repeat(size, size) - place
-        self.room, self.doc = room, doc
-        self.at = np.flatnonzero(_IN_COVER[place % MODULUS] & (room >= SEED) & (np.repeat(size, size) >= WIDTH))
-        h = names.at(self.at, SEED)
+    def __init__(self, batches: list[Batch], buckets: int):
+        h = np.concatenate([b.names.at(b.sampled, SEED) for b in batches])
+        doc = np.concatenate([b.doc(b.sampled) for b in batches])
         key = ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
         order = np.argsort(key, kind="stable")
         k = key[order]
@@ -112,7 +155,7 @@ class Group:
         new[1:] = k[1:] != k[:-1]
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(k)) - 1
-        d = doc[self.at[order]]
+        d = doc[order]
         self.unique = k[first]
         self.local = d[first] != d[last] if len(k) else np.zeros(0, bool)
         self.rank = np.empty(len(k), np.int64)
@@ -163,7 +206,7 @@ def _send_names(buckets: int):
     def run(tbl: pa.Table) -> pa.Table:
         grp = tbl.column("grp")[0].as_py()
         _, buf, offs, _ = _bytes_of(tbl.select(["doc_id", "raw"]))
-        g = Group(buf, offs, Names(buf), buckets)
+        g = Group([Batch(buf, offs, x) for x in _pieces(offs)], buckets)
         low = (g.unique & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         return _rows(_SENT, [(int(b), grp, _packed(low[i:j])) for b, i, j in zip(g.bucket, g.start, g.stop)])
 
@@ -199,6 +242,45 @@ def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def _runs(batch: Batch, hit: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows near a repeated sample: start in the group, bytes, bucket, document and name of each."""
+    none = np.zeros(0, np.int64)
+    n = len(batch.buf) - WIDTH + 1
+    if n < 1 or not len(hit):
+        return none, none, none, none, none.astype(np.uint64)
+    marked = np.zeros(len(batch.buf) + MODULUS + 1, np.int32)
+    marked[hit + 1] = 1
+    np.cumsum(marked, out=marked)
+    w = np.flatnonzero((marked[MODULUS : MODULUS + n] > marked[:n]) & (batch.room[:n] >= WIDTH))
+    if not len(w):
+        return none, none, none, none, none.astype(np.uint64)
+    low = _sliding_least(batch.names.all(DEAL), WIDTH - DEAL + 1)[w]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1] + 1) | (low[1:] != low[:-1]) | (batch.piece[w[1:]] != batch.piece[w[:-1]])
+    head = np.flatnonzero(new)
+    run_no = np.cumsum(new) - 1
+    new |= (np.arange(len(w)) - head[run_no]) % LONGEST_RUN == 0
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(w))) + WIDTH - 1
+    start = w[head]
+    return batch.in_group(start), size, (low[head] % np.uint64(buckets)).astype(np.int64), ids[batch.doc(start)], batch.names.at(start, size)
+
+
+def _same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether buf[a : a + size] and buf[b : b + size] agree, for each of many pairs; some megabytes at a time."""
+    out = np.ones(len(a), bool)
+    ends = np.cumsum(size)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PIECE, "right")))
+        n = size[i:j]
+        pair = np.repeat(np.arange(i, j), n)
+        inside = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        out[pair[buf[a[pair] + inside] != buf[b[pair] + inside]]] = False
+        i = j
+    return out
+
+
 def _send_strings(names_buckets: int, buckets: int):
     def run(tbl: pa.Table, bits: pa.Table) -> pa.Table:
         if not tbl.num_rows:
@@ -207,37 +289,29 @@ def _send_strings(names_buckets: int, buckets: int):
         ids, buf, offs, _ = _bytes_of(tbl.select(["doc_id", "raw"]))
         if len(buf) < WIDTH:
             return _rows(_STRINGS, [])
-        names = Names(buf)
-        g = Group(buf, offs, names, names_buckets)
+        cut = _pieces(offs)
+        g = Group([Batch(buf, offs, x) for x in cut], names_buckets)
         twice = g.local.copy()
         at = {int(b): (i, j) for b, i, j in zip(g.bucket, g.start, g.stop)}
         for b, x in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist()):
             i, j = at[b]
             twice[i:j] |= np.unpackbits(np.frombuffer(x, np.uint8))[: j - i].astype(bool)
-        marked = np.zeros(len(buf) + 1, np.int32)
-        marked[g.at[twice[g.rank]] + 1] = 1
-        np.cumsum(marked, out=marked)
-        n = len(buf) - WIDTH + 1
-        left = (marked[MODULUS : MODULUS + n] > marked[:n]) & (g.room[:n] >= WIDTH)
-        w = np.flatnonzero(left)
-        if not len(w):
+        runs, seen = [], 0
+        for x in cut:
+            batch = Batch(buf, offs, x)
+            hit = batch.sampled[twice[g.rank[seen : seen + len(batch.sampled)]]]
+            seen += len(batch.sampled)
+            runs.append(_runs(batch, hit, ids, buckets))
+        start, size, bucket, owner, name = (np.concatenate(v) for v in zip(*runs))
+        if not len(start):
             return _rows(_STRINGS, [])
-        low = _sliding_least(names.all(DEAL), WIDTH - DEAL + 1)[w]
-        new = np.ones(len(w), bool)
-        new[1:] = (w[1:] != w[:-1] + 1) | (low[1:] != low[:-1]) | (g.doc[w[1:]] != g.doc[w[:-1]])
-        head = np.flatnonzero(new)
-        run_no = np.cumsum(new) - 1
-        new |= (np.arange(len(w)) - head[run_no]) % LONGEST_RUN == 0
-        head = np.flatnonzero(new)
-        count = np.diff(np.append(head, len(w)))
-        start, size, bucket = w[head], count + WIDTH - 1, (low[head] % np.uint64(buckets)).astype(np.int64)
-        owner = ids[g.doc[start]]
         # equal strings of a group travel once, in the order of bucket, name and size
-        name = names.at(start, size)
         order = np.lexsort((owner, size, name, bucket))
         first = np.ones(len(order), bool)
         a, b = order[1:], order[:-1]
         first[1:] = (name[a] != name[b]) | (size[a] != size[b]) | (bucket[a] != bucket[b])
+        like = np.flatnonzero(~first)
+        first[like] = ~_same_bytes(buf, start[order[like]], start[order[like - 1]], size[order[like]])
         heads = np.flatnonzero(first)
         last = np.append(heads[1:], len(order)) - 1
         pick = order[heads]
@@ -257,6 +331,90 @@ def _send_strings(names_buckets: int, buckets: int):
     return run
 
 
+#: The least distance at which places of two residues are both sampled, and a residue's place in the cover.
+_MEET = np.array([[next(d for d in range(MODULUS) if _IN_COVER[(a + d) % MODULUS] and _IN_COVER[(b + d) % MODULUS]) for b in range(MODULUS)] for a in range(MODULUS)], np.int64)
+_COVER_NO = np.cumsum(_IN_COVER) - 1
+
+
+class Suffixes:
+    """Suffixes of a buffer, each told apart by its first bytes, in order."""
+
+    def __init__(self, buf: np.ndarray):
+        padded = np.concatenate((buf, np.zeros(2 * WIDTH + MODULUS + 8, np.uint8)))
+        n = len(padded) - 7
+        self.word = np.zeros(n, np.uint64)  # eight bytes from each place
+        for k in range(8):
+            self.word |= padded[k : k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
+        sampled = np.flatnonzero(_IN_COVER[np.arange(len(buf) + MODULUS) % MODULUS])
+        order = np.lexsort(self.words(sampled, 0)[::-1])
+        new = np.zeros(len(order), bool)
+        for w in self.words(sampled[order], 0):
+            new[1:] |= w[1:] != w[:-1]
+        self.rank = np.empty(len(order), np.int64)  # of each sampled place, by WIDTH bytes
+        self.rank[order] = np.cumsum(new)
+
+    def words(self, at: np.ndarray, skip: int) -> list[np.ndarray]:
+        """Bytes skip to WIDTH from each place, eight at a time."""
+        out = [self.word[at + k] for k in range(skip, WIDTH - WIDTH % 8, 8)]
+        return [*out, self.word[at + WIDTH - WIDTH % 8] >> np.uint64(64 - 8 * (WIDTH % 8))]
+
+    def rank_at(self, at: np.ndarray) -> np.ndarray:
+        return self.rank[at // MODULUS * len(COVER) + _COVER_NO[at % MODULUS]]
+
+    def blocks(self, at: np.ndarray):
+        """Indexes of `at` in blocks of about BLOCK, ascending by their first eight bytes."""
+        first = self.word[at]
+        if len(at) <= BLOCK:
+            yield np.arange(len(at))
+            return
+        some = np.sort(first[:: max(1, len(at) // 4096)])
+        cuts = np.unique(some[:: max(1, len(some) * BLOCK // (2 * len(at)))])
+        block = np.searchsorted(cuts, first, "right")
+        order = np.argsort(block, kind="stable")
+        edges = np.flatnonzero(np.diff(block[order])) + 1
+        yield from np.split(order, edges)
+
+    def sort(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order of the suffixes at `at`, whether each differs from the one before in WIDTH bytes).
+
+        First by 32 bytes. What ties is split around one suffix of each tie,
+        again and again: two suffixes are compared by the ranks at the least
+        distance at which both have a sampled place.
+        """
+        keys = [self.word[at + k] for k in range(0, 32, 8)]
+        order = np.lexsort(keys[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = False
+        for k in keys:
+            s = k[order]
+            new[1:] |= s[1:] != s[:-1]
+        byte_edge = new.copy()
+        ends = np.append(np.flatnonzero(new)[1:], len(new)) if len(new) else np.zeros(0, np.int64)
+        start, size = np.flatnonzero(new), ends - np.flatnonzero(new)
+        start, size = start[size > 1], size[size > 1]
+        while len(start):
+            place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            mine, pivot = at[order[place]], np.repeat(at[order[start + size // 2]], size)
+            far = _MEET[mine % MODULUS, pivot % MODULUS]
+            side = np.sign(self.rank_at(mine + far) - self.rank_at(pivot + far)) + 1
+            tie = np.repeat(np.arange(len(start)), size)
+            key = tie * 3 + side
+            by = np.argsort(key, kind="stable")
+            order[place] = order[place[by]]
+            many = np.bincount(key, minlength=3 * len(start)).reshape(-1, 3)
+            begins = start[:, None] + np.cumsum(many, axis=1) - many
+            new[begins[many > 0]] = True
+            left = (many > 1) & np.array([True, False, True])  # what equals the pivot is done
+            start, size = begins[left], many[left]
+        # ranks look past WIDTH bytes: neighbours that they tell apart may still agree so far
+        check = np.flatnonzero(new & ~byte_edge)
+        differ = np.zeros(len(check), bool)
+        for a, b in zip(self.words(at[order[check]], 32), self.words(at[order[check - 1]], 32)):
+            differ |= a != b
+        new[check] = differ
+        return order, new
+
+
 def _least_documents(tbl: pa.Table) -> pa.Table:
     """Least document of every window of a bucket, sent back for windows that some document of a group may lose."""
     if tbl.column("bucket")[0].as_py() < 0:
@@ -274,14 +432,14 @@ def _least_documents(tbl: pa.Table) -> pa.Table:
     first = np.cumsum(n) - n
     string = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(string)) - first[string]
-    name = Names(buf).at(begin[string] + inside, WIDTH)
-    order = np.argsort(name, kind="stable")
-    s = name[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    low = np.minimum.reduceat(least[string][order], np.flatnonzero(new))
-    least_of = np.empty(len(s), np.int64)
-    least_of[order] = low[np.cumsum(new) - 1]
+    at = begin[string] + inside
+    suffixes = Suffixes(buf)
+    least_of = np.empty(len(at), np.int64)
+    for block in suffixes.blocks(at):
+        order, new = suffixes.sort(at[block])
+        mine = block[order]
+        low = np.minimum.reduceat(least[string[mine]], np.flatnonzero(new))
+        least_of[mine] = low[np.cumsum(new) - 1]
     # runs of windows of a string with one least document
     lose = least_of < most[string]
     edge = np.ones(len(lose), bool)
@@ -309,7 +467,6 @@ def _remove(with_bytes: bool):
         if not tbl.num_rows:
             return _rows(_RESULT, [])
         ids, buf, offs, tbl = _bytes_of(tbl.select(["doc_id", "raw"]))
-        mark = np.zeros(len(buf) + 1, np.int32)
         own = None
         entries = []
         for r in found.to_pylist():
@@ -332,40 +489,59 @@ def _remove(with_bytes: bool):
             doc = np.searchsorted(offs, start, "right") - 1
             ok = e_least[entry] < ids[doc[occ]]
             a = start[occ[ok]] + e_in[entry[ok]]
-            np.add.at(mark, a, 1)
-            np.add.at(mark, a + e_count[entry[ok]] + WIDTH - 1, -1)
-        gone = np.cumsum(mark[:-1]) > 0
+            b = a + e_count[entry[ok]] + WIDTH - 1
+            by = np.argsort(a, kind="stable")
+            a, b = a[by], np.maximum.accumulate(b[by])
+            fresh = np.ones(len(a), bool)
+            # texts stand side by side, so a run that starts where the text before ends is a run of its own
+            fresh[1:] = (a[1:] > b[:-1]) | np.isin(a[1:], offs)
+            starts, ends = a[fresh], b[np.append(np.flatnonzero(fresh)[1:], len(a)) - 1] if len(a) else a
+        else:
+            starts = ends = np.zeros(0, np.int64)
         rows = []
         given = tbl.column("doc_id").to_pylist()
+        edges = np.searchsorted(starts, offs)
+        whole = memoryview(buf)
         for k in range(len(ids)):
-            x = gone[offs[k] : offs[k + 1]]
-            step = np.diff(np.concatenate(([0], x.astype(np.int8), [0])))
-            left = buf[offs[k] : offs[k + 1]][~x].tobytes()
-            rows.append((given[k], len(x), np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), left if with_bytes else None, hashlib.sha256(left).hexdigest()))
+            base, mine = int(offs[k]), slice(edges[k], edges[k + 1])
+            s, e = (starts[mine] - base).tolist(), (ends[mine] - base).tolist()
+            digest, kept = hashlib.sha256(), []
+            for a, b in zip([0, *e], [*s, int(offs[k + 1]) - base]):
+                digest.update(whole[base + a : base + b])
+                if with_bytes:
+                    kept.append(whole[base + a : base + b])
+            rows.append((given[k], int(offs[k + 1]) - base, s, e, b"".join(kept) if with_bytes else None, digest.hexdigest()))
         return _rows(_RESULT, rows)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, with_bytes: bool = False, text_col: str = "text", group_bytes: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_bytes: bool = False, text_col: str = "text", group_bytes: int | None = None, buckets: int | None = None) -> DataFrame:
     """docs -> doc_id, n_bytes, starts, ends (of removed runs, in bytes), kept (bytes left, if asked for), kept_sha256.
 
     Each byte covered by a 50-byte string that also starts in a document with a
     smaller doc_id goes. Strings are judged on the input. Every row gives one
     row; null texts are empty, texts under 50 bytes lose nothing. Rows with the
-    same doc_id do not remove from each other; a null doc_id stands above all
-    others. Other columns are ignored. An empty table gives an empty table.
+    same doc_id do not remove from each other, repeated rows neither; a null
+    doc_id stands above all others. Other columns are ignored, whatever their
+    names. An empty table gives an empty table.
+
+    Rows are dealt to groups by id and text, so no id, null or repeated, fills
+    a group; a very long text is alone with its bytes, and its tables are built
+    for a piece at a time. There are as many tasks as groups or buckets, so a
+    task does not grow with the input.
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     group_bytes = group_bytes or int(min(6e6, max(1e6, 136 * math.sqrt(total))))
     groups = max(1, math.ceil(total / group_bytes))
-    names_buckets, buckets = max(1, math.ceil(total / 16e6)), max(1, math.ceil(total / 4e6))
-    g = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("long").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"))
+    names_buckets, buckets = buckets or max(1, math.ceil(total / 16e6)), buckets or max(1, math.ceil(total / 4e6))
+    g = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text_col), F.lit(groups)).cast("long").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"))
+    g = g.repartition(groups, "grp")
     sent = g.groupBy("grp").applyInArrow(_send_names(names_buckets), _ddl(_SENT))
-    bits = sent.groupBy("bucket").applyInArrow(_rank_names, _ddl(_BITS))
+    bits = sent.repartition(names_buckets, "bucket").groupBy("bucket").applyInArrow(_rank_names, _ddl(_BITS)).repartition(groups, "grp")
     strings = g.groupBy("grp").cogroup(bits.groupBy("grp")).applyInArrow(_send_strings(names_buckets, buckets), _ddl(_STRINGS))
-    found = strings.groupBy("bucket").applyInArrow(_least_documents, _ddl(_FOUND))
+    found = strings.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_least_documents, _ddl(_FOUND)).repartition(groups, "grp")
     return g.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_remove(with_bytes), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary, kept_sha256 string")
 
 
