@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -145,9 +146,8 @@ class Batch:
 class Group:
     """The sampled names of a group, sorted by bucket."""
 
-    def __init__(self, batches: list[Batch], buckets: int):
-        h = np.concatenate([b.names.at(b.sampled, SEED) for b in batches])
-        doc = np.concatenate([b.doc(b.sampled) for b in batches])
+    def __init__(self, batches: Iterable[Batch], buckets: int):
+        h, doc = (np.concatenate(x) for x in zip(*((b.names.at(b.sampled, SEED), b.doc(b.sampled)) for b in batches)))
         key = ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
         order = np.argsort(key, kind="stable")
         k = key[order]
@@ -206,7 +206,7 @@ def _send_names(buckets: int):
     def run(tbl: pa.Table) -> pa.Table:
         grp = tbl.column("grp")[0].as_py()
         _, buf, offs, _ = _bytes_of(tbl.select(["doc_id", "raw"]))
-        g = Group([Batch(buf, offs, x) for x in _pieces(offs)], buckets)
+        g = Group((Batch(buf, offs, x) for x in _pieces(offs)), buckets)
         low = (g.unique & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         return _rows(_SENT, [(int(b), grp, _packed(low[i:j])) for b, i, j in zip(g.bucket, g.start, g.stop)])
 
@@ -290,15 +290,16 @@ def _send_strings(names_buckets: int, buckets: int):
         if len(buf) < WIDTH:
             return _rows(_STRINGS, [])
         cut = _pieces(offs)
-        g = Group([Batch(buf, offs, x) for x in cut], names_buckets)
+        batches = [Batch(buf, offs, x) for x in cut] if len(cut) == 1 else (Batch(buf, offs, x) for x in cut)
+        g = Group(batches, names_buckets)
         twice = g.local.copy()
         at = {int(b): (i, j) for b, i, j in zip(g.bucket, g.start, g.stop)}
         for b, x in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist()):
             i, j = at[b]
             twice[i:j] |= np.unpackbits(np.frombuffer(x, np.uint8))[: j - i].astype(bool)
         runs, seen = [], 0
-        for x in cut:
-            batch = Batch(buf, offs, x)
+        # a group of several pieces builds their tables again rather than hold them all
+        for batch in batches if len(cut) == 1 else (Batch(buf, offs, x) for x in cut):
             hit = batch.sampled[twice[g.rank[seen : seen + len(batch.sampled)]]]
             seen += len(batch.sampled)
             runs.append(_runs(batch, hit, ids, buckets))
@@ -377,28 +378,32 @@ class Suffixes:
     def sort(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(order of the suffixes at `at`, whether each differs from the one before in WIDTH bytes).
 
-        First by 32 bytes. What ties is split around one suffix of each tie,
-        again and again: two suffixes are compared by the ranks at the least
-        distance at which both have a sampled place.
+        First by eight bytes. What ties is split around one suffix of each tie,
+        again and again, by the bytes up to the 32nd and then by rank: two
+        suffixes have their ranks compared at the least distance at which both
+        have a sampled place.
         """
-        keys = [self.word[at + k] for k in range(0, 32, 8)]
-        order = np.lexsort(keys[::-1])
+        first = self.word[at]
+        order = np.argsort(first)
         new = np.ones(len(order), bool)
-        new[1:] = False
-        for k in keys:
-            s = k[order]
-            new[1:] |= s[1:] != s[:-1]
+        new[1:] = first[order][1:] != first[order][:-1]
         byte_edge = new.copy()
-        ends = np.append(np.flatnonzero(new)[1:], len(new)) if len(new) else np.zeros(0, np.int64)
-        start, size = np.flatnonzero(new), ends - np.flatnonzero(new)
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(new)))
         start, size = start[size > 1], size[size > 1]
         while len(start):
             place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
             mine, pivot = at[order[place]], np.repeat(at[order[start + size // 2]], size)
-            far = _MEET[mine % MODULUS, pivot % MODULUS]
-            side = np.sign(self.rank_at(mine + far) - self.rank_at(pivot + far)) + 1
+            side = np.zeros(len(mine), np.int8)
+            for k in (8, 16, 24):
+                x, y = self.word[mine + k], self.word[pivot + k]
+                np.copyto(side, (x > y).view(np.int8) - (x < y).view(np.int8), where=side == 0)
+            tied = np.flatnonzero(side == 0)
+            x, y = mine[tied], pivot[tied]
+            far = _MEET[x % MODULUS, y % MODULUS]
+            side[tied] = np.sign(self.rank_at(x + far) - self.rank_at(y + far))
             tie = np.repeat(np.arange(len(start)), size)
-            key = tie * 3 + side
+            key = tie * 3 + side + 1
             by = np.argsort(key, kind="stable")
             order[place] = order[place[by]]
             many = np.bincount(key, minlength=3 * len(start)).reshape(-1, 3)
@@ -406,10 +411,10 @@ class Suffixes:
             new[begins[many > 0]] = True
             left = (many > 1) & np.array([True, False, True])  # what equals the pivot is done
             start, size = begins[left], many[left]
-        # ranks look past WIDTH bytes: neighbours that they tell apart may still agree so far
+        # ranks look past WIDTH bytes: neighbours that a split tells apart may still agree so far
         check = np.flatnonzero(new & ~byte_edge)
         differ = np.zeros(len(check), bool)
-        for a, b in zip(self.words(at[order[check]], 32), self.words(at[order[check - 1]], 32)):
+        for a, b in zip(self.words(at[order[check]], 8), self.words(at[order[check - 1]], 8)):
             differ |= a != b
         new[check] = differ
         return order, new
@@ -423,10 +428,18 @@ def _least_documents(tbl: pa.Table) -> pa.Table:
     grps = tbl.column("grp").to_pylist()
     sizes = [np.frombuffer(x, "<i4").astype(np.int64) for x in tbl.column("sizes").to_pylist()]
     per = np.array([len(x) for x in sizes])
-    size = np.concatenate(sizes)
+    given = np.concatenate(sizes)
     least = np.concatenate([np.frombuffer(x, "<i8") for x in tbl.column("least").to_pylist()])
     most = np.concatenate([np.frombuffer(x, "<i8") for x in tbl.column("most").to_pylist()])
-    buf = np.frombuffer(b"".join(map(_unsqueezed, tbl.column("data").to_pylist())), np.uint8)
+    data = b"".join(map(_unsqueezed, tbl.column("data").to_pylist()))
+    ends = np.cumsum(given).tolist()
+    # a string that several groups sent is sorted once
+    known: dict[bytes, int] = {}
+    number = np.fromiter((known.setdefault(data[a:b], len(known)) for a, b in zip([0, *ends], ends)), np.int64, len(ends))
+    size = np.fromiter(map(len, known), np.int64, len(known))
+    buf = np.frombuffer(b"".join(known), np.uint8)
+    first_owner = np.full(len(size), NO_DOC)
+    np.minimum.at(first_owner, number, least)
     begin = np.cumsum(size) - size
     n = size - WIDTH + 1
     first = np.cumsum(n) - n
@@ -438,24 +451,27 @@ def _least_documents(tbl: pa.Table) -> pa.Table:
     for block in suffixes.blocks(at):
         order, new = suffixes.sort(at[block])
         mine = block[order]
-        low = np.minimum.reduceat(least[string[mine]], np.flatnonzero(new))
+        low = np.minimum.reduceat(first_owner[string[mine]], np.flatnonzero(new))
         least_of[mine] = low[np.cumsum(new) - 1]
     # runs of windows of a string with one least document
-    lose = least_of < most[string]
-    edge = np.ones(len(lose), bool)
-    edge[1:] = (string[1:] != string[:-1]) | (least_of[1:] != least_of[:-1]) | (lose[1:] != lose[:-1])
+    edge = np.ones(len(least_of), bool)
+    edge[1:] = (string[1:] != string[:-1]) | (least_of[1:] != least_of[:-1])
     heads = np.flatnonzero(edge)
-    count = np.diff(np.append(heads, len(lose)))
-    keep = lose[heads]
-    heads, count = heads[keep], count[keep]
+    count = np.diff(np.append(heads, len(edge)))
+    run_first = np.searchsorted(string[heads], np.arange(len(size) + 1))
+    # each string as it was sent gets the runs of its like that its last document may lose
+    many = run_first[number + 1] - run_first[number]
+    sent = np.repeat(np.arange(len(number)), many)
+    run = np.arange(len(sent)) - np.repeat(np.cumsum(many) - many, many) + run_first[number[sent]]
+    lost = least_of[heads[run]] < most[sent]
+    sent, run = sent[lost], run[lost]
+    count, inside, low = count[run], inside[heads[run]], least_of[heads[run]]
     base = np.cumsum(per) - per
-    owner = np.searchsorted(base, string[heads], "right") - 1
+    for_group = np.searchsorted(sent, np.append(base, len(number)))
     out = []
-    for k, grp in enumerate(grps):
-        i, j = np.searchsorted(owner, [k, k + 1])
+    for grp, at_first, i, j in zip(grps, base.tolist(), for_group[:-1].tolist(), for_group[1:].tolist()):
         if j > i:
-            h = heads[i:j]
-            out.append((grp, bucket, (string[h] - base[k]).astype("<i4").tobytes(), inside[h].astype("<i4").tobytes(), count[i:j].astype("<i4").tobytes(), least_of[h].astype("<i8").tobytes()))
+            out.append((grp, bucket, (sent[i:j] - at_first).astype("<i4").tobytes(), inside[i:j].astype("<i4").tobytes(), count[i:j].astype("<i4").tobytes(), low[i:j].astype("<i8").tobytes()))
     return _rows(_FOUND, out)
 
 
