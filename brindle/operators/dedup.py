@@ -21,21 +21,42 @@ def survivors(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+#: Sets that hold one front word and meet in one cell.
+BLOCK = 1024
+MANY_TEXTS = 64
+
+
 def jaccard_links(rows: DataFrame, key: str, words: str, least: float) -> DataFrame:
     """Pairs (a, b, similarity) of rows whose word sets reach the similarity, by prefix filtering.
 
-    Words are ordered from rare to common; two sets of similarity t share a
-    word among the first n - ceil(t n) + 1 of each. Only these prefixes are
-    joined, sizes must agree within t, and candidates are verified whole.
+    Words are ordered from rare to common; of two sets of similarity t, a word
+    is shared among the first n - ceil(t n) + 1 of the longer and the first
+    n - ceil(2t / (1 + t) n) + 1 of the shorter. Only these are joined, as
+    small rows that carry place and size: a pair is kept if what can still be
+    shared behind the first common word reaches the bound. A word that many
+    sets have in front is dealt out in blocks. Candidates are verified whole.
     Equal sets are one node and must be grouped before.
     """
     w = rows.select(F.col(key).alias("key"), F.explode(words).alias("w"))
     df = w.groupBy("w").agg(F.count("*").alias("df"))
     sets = w.join(df, "w").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
     sets = written(sets.select("key", F.transform("s", lambda x: x["w"]).alias("s"), F.size("s").alias("n")), "sets")
-    pre = sets.select("key", "n", F.explode(F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)).alias("w"))
-    a, b = pre.select(F.col("key").alias("a"), F.col("n").alias("na"), "w"), pre.select(F.col("key").alias("b"), F.col("n").alias("nb"), "w")
-    cand = a.join(b, "w").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)).select("a", "b").distinct()
+    front = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-6).cast("int") + 1
+    pre = sets.select("key", "n", front(2 * least / (1 + least)).alias("short"), F.posexplode(F.slice("s", F.lit(1), front(least))).alias("at", "w"))
+    first = pre.where(F.col("at") < F.col("short"))
+    blocks = lambda side, name: side.groupBy("w").agg(F.ceil(F.count("*") / BLOCK).alias(name), F.count("*").alias(name + "_n"))
+    cells = blocks(pre, "lb").join(blocks(first, "rb"), "w").where("lb_n > 1").select("w", "lb", "rb")
+    every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    own = lambda name: F.pmod(F.xxhash64("key"), F.col(name))
+    x = pre.join(cells, "w").select("w", F.col("key").alias("kx"), F.col("n").alias("nx"), F.col("at").alias("px"), own("lb").alias("i"), every("rb").alias("j"))
+    y = first.join(cells, "w").select("w", F.col("key").alias("ky"), F.col("n").alias("ny"), F.col("at").alias("py"), own("rb").alias("j"), every("lb").alias("i"))
+    longer = F.struct(F.col("nx").alias("n"), F.col("kx").alias("k")) > F.struct(F.col("ny").alias("n"), F.col("ky").alias("k"))
+    bound = F.ceil((F.col("nx") + F.col("ny")) * (least / (1 + least)) - 1e-6)
+    cand = x.join(y, ["w", "i", "j"]).where(longer & (F.col("ny") >= F.col("nx") * least - 1e-6))
+    # the first common word of a pair leaves at most what stands behind it in either set
+    cand = cand.groupBy("kx", "ky", "nx", "ny").agg(F.min(F.struct("px", "py")).alias("p"), F.count("*").alias("c"))
+    cand = cand.where(F.least(F.col("nx") - F.col("p.px"), F.col("ny") - F.col("p.py")) >= bound)
+    cand = cand.select(F.least("kx", "ky").alias("a"), F.greatest("kx", "ky").alias("b"))
     cand = cand.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     sim = both / (F.size("sa") + F.size("sb") - both)
@@ -43,7 +64,13 @@ def jaccard_links(rows: DataFrame, key: str, words: str, least: float) -> DataFr
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges(a, b) -> (node, root): the least node reachable, by rounds of least-neighbour stars that are each written out."""
+    """edges(a, b) -> (node, root): the least node reachable.
+
+    Every round links each node to the least neighbour (alternating stars:
+    Kiveris et al., "Connected Components in MapReduce and Beyond", 2014) and
+    is written out. Self-loops and repeated edges are harmless; nodes without
+    an edge to another are absent.
+    """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(most_rounds):
@@ -55,21 +82,38 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         e = written(e.select("e.*").where("a <> b").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def donors(chunks: DataFrame, parent: str, text: str, age: str) -> DataFrame:
     """Relational division: for each parent, the oldest other parent that holds every one of its texts.
 
-    Texts meet by digest and are then compared whole. A parent's distinct texts
-    are counted once, and a donor qualifies when it matches that count.
+    A parent of one text takes the oldest other holder of it: the two oldest
+    of each text are kept. A parent of more texts meets others by its two
+    rarest texts at once, and what meets is compared whole, so neither a common
+    text nor a common pair makes all its holders meet. Parents of more than
+    MANY_TEXTS texts do not list all their pairs; they are met by the rarest
+    text alone.
     """
-    t = chunks.select(F.col(parent).alias("p"), F.col(text).alias("t"), F.md5(F.col(text).cast("string")).alias("d"), F.col(age).alias("age"))
-    born = t.groupBy("p").agg(F.min("age").alias("age"), F.count_distinct("t").alias("need"))
-    one = t.select("p", "t", "d").distinct()
-    other = one.select(F.col("p").alias("donor"), F.col("t").alias("t2"), F.col("d").alias("d2"))
-    m = one.join(other, (F.col("d") == F.col("d2")) & (F.col("t") == F.col("t2")) & (F.col("p") != F.col("donor"))).groupBy("p", "donor").agg(F.count("*").alias("have"))
-    m = m.join(born.select("p", "need"), "p").where("have = need").join(born.select(F.col("p").alias("donor"), F.col("age").alias("donor_age")), "donor")
-    return m.groupBy("p").agg(F.min(F.struct("donor_age", "donor")).alias("first")).select(F.col("p").alias("parent"), F.col("first.donor").alias("donor"))
+    t = chunks.select(F.col(parent).alias("p"), F.col(text).alias("t"), F.col(age).alias("age"))
+    born = t.groupBy("p").agg(F.min("age").alias("age"))
+    one = t.select("p", "t").distinct()
+    df = one.groupBy("t").agg(F.count("*").alias("df"))
+    sets = one.join(df, "t").groupBy("p").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("s")).join(born, "p")
+    sets = written(sets.select("p", "age", F.transform("s", lambda x: x["t"]).alias("s"), F.size("s").alias("n")), "parents")
+    # one text: the first two holders of each text serve all that hold nothing else
+    holder = sets.select(F.explode("s").alias("t"), F.struct("age", "p").alias("h"))
+    w = Window.partitionBy("t").orderBy("h")
+    first = holder.withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("t", "h")
+    single = sets.where("n = 1").select("p", F.element_at("s", 1).alias("t")).join(first, "t").where("h.p <> p").groupBy("p").agg(F.min("h").alias("first"))
+    more = sets.where("n > 1").select("p", "s", F.element_at("s", 1).alias("t1"), F.element_at("s", 2).alias("t2"))
+    held = sets.where("n > 1").select(F.struct("age", "p").alias("h"), F.col("s").alias("ds"), "n")
+    pair = lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    pairs = F.flatten(F.transform("ds", lambda x, i: F.transform(F.slice("ds", i + 2, F.col("n")), lambda y: pair(x, y))))
+    by_pair = more.withColumn("k", pair(F.col("t1"), F.col("t2"))).join(held.where(F.col("n") <= MANY_TEXTS).withColumn("k", F.explode(pairs)), "k")
+    by_one = more.join(held.where(F.col("n") > MANY_TEXTS).withColumn("t1", F.explode("ds")), "t1")
+    both = by_pair.select("p", "s", "h", "ds").unionByName(by_one.select("p", "s", "h", "ds"))
+    both = both.where((F.col("h.p") != F.col("p")) & (F.size(F.array_except("s", "ds")) == 0)).groupBy("p").agg(F.min("h").alias("first"))
+    return single.unionByName(both).select(F.col("p").alias("parent"), F.col("first.p").alias("donor"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,18 +58,39 @@ def _by_score(scored: DataFrame) -> DataFrame:
     return scored.groupBy("score").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
 
 
+def running_totals(rows: DataFrame, order: str, columns: list[str], descending: bool = False, ranges: int = 256) -> DataFrame:
+    """rows with before_<column>: the sum of a column over all rows before, in the order of a number.
+
+    Rows are dealt into equal ranges of the number; sums inside a range meet the
+    totals of the ranges before it (a row a range), so no task sees all rows.
+    Values of `order` must be distinct.
+    """
+    edge = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    lo, width = float(edge.lo or 0), max(float((edge.hi or 0) - (edge.lo or 0)), 1e-12)
+    at = F.least(F.floor((F.col(order) - lo) / width * ranges), F.lit(ranges - 1))
+    r = rows.withColumn("_range", -at if descending else at)
+    key = F.col(order).desc() if descending else F.col(order)
+    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = r.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_t_{c}").over(over), F.lit(0)).alias(f"_b_{c}") for c in columns])
+    r = r.join(F.broadcast(totals), "_range")  # at most `ranges` rows
+    for c in columns:
+        r = r.withColumn(f"before_{c}", F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_b_{c}"))
+    return r.drop("_range", *[f"_b_{c}" for c in columns])
+
+
 def roc_auc(scored: DataFrame) -> DataFrame:
     """Mann-Whitney area with ties halved; null without both classes."""
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    s = _by_score(scored).withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    return s.agg(F.try_divide(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2.0)), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
+    s = running_totals(_by_score(scored), "score", ["neg"])
+    return s.agg(F.try_divide(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0)), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def pr_auc(scored: DataFrame) -> DataFrame:
     """Step area under precision and recall, ties as one step; null without a positive."""
-    upto = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    s = _by_score(scored).withColumn("tp", F.sum("pos").over(upto)).withColumn("n", F.sum(F.col("pos") + F.col("neg")).over(upto))
-    return s.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("n")), F.sum("pos")).alias("pr_auc"))
+    s = running_totals(_by_score(scored), "score", ["pos", "neg"], descending=True)
+    tp = F.col("before_pos") + F.col("pos")
+    return s.agg(F.try_divide(F.sum(F.col("pos") * tp / (tp + F.col("before_neg") + F.col("neg"))), F.sum("pos")).alias("pr_auc"))
 
 
 def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
@@ -100,26 +120,24 @@ def kendall_tau(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return s.select(*by, F.try_divide(F.col("net"), F.sqrt((pairs_n - F.col("ta")) / 2.0 * ((pairs_n - F.col("tb")) / 2.0))).alias("kendall_tau"))
 
 
-def bootstrap_interval(values: DataFrame, column: str, rounds: int = 500, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Percentile interval of a mean by the Poisson bootstrap: one pass, no resampled copies of the rows.
+#: Distribution of a Poisson variable of mean 1: the chance of at most 0, 1, 2 ... draws.
+POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885)
 
-    Each row takes part in round r with a Poisson(1) weight drawn from its own
-    hash, so rounds are sums that combine before the shuffle and reruns agree.
-    """
-    rows = values.select(F.col(column).cast("double").alias("v"), F.xxhash64(F.lit(seed), column, F.monotonically_increasing_id()).alias("h"))
-
-    def run(batches):
-        import pandas as pd
 
-        total, weight = np.zeros(rounds), np.zeros(rounds)
-        for pdf in batches:
-            for v, h in zip(pdf["v"].to_numpy(), pdf["h"].to_numpy()):
-                draw = np.random.default_rng(h & 0xFFFFFFFF).poisson(1.0, rounds)
-                total += v * draw
-                weight += draw
-        yield pd.DataFrame({"round": np.arange(rounds), "total": total, "weight": weight})
+def bootstrap_interval(values: DataFrame, key: str, column: str, rounds: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Percentile interval of a mean by the Poisson bootstrap: one pass, no resampled copies of the rows.
 
-    sums = rows.where(F.col("v").isNotNull()).mapInPandas(run, "round int, total double, weight double").groupBy("round").agg((F.sum("total") / F.sum("weight")).alias("mean"))
+    A row's digest gives a start and a step; round r takes the row as often as
+    Poisson(1) says at start + (2r + 1) steps, modulo 1. So rounds are sums that
+    combine before the shuffle, and reruns agree however rows are dealt.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    number = lambda a: F.conv(F.substring(digest, a, 8), 16, 10).cast("long")
+    rows = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"), number(1).alias("step"), number(9).alias("start"))
+    rows = rows.select("v", "step", "start", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    u = F.pmod(F.col("start") + F.col("step") * (2 * F.col("round") + 1), F.lit(1 << 32)).cast("double") / float(1 << 32)
+    drawn = sum(((u >= t).cast("int") for t in POISSON), F.lit(0))
+    sums = rows.select("round", "v", drawn.alias("w")).groupBy("round").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"))
     tail = (1 - level) / 2
     return sums.agg(F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"), F.avg("mean").alias("centre"))
 

@@ -7,8 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.vectors import hamming, sign_words
-from brindle.session import small_enough
+from brindle.functions.vectors import cosine
 
 #: Rows of a slab of vectors and of a block of queries: what one task multiplies at a time.
 SLAB_ROWS, BLOCK_ROWS = 50_000, 2_000
@@ -59,17 +58,80 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, tag: str | None
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def signbit_shortlist(queries: DataFrame, vectors: DataFrame, dim: int, shortlist: int) -> DataFrame:
-    """For each of at most BLOCK_ROWS queries (more are refused): the nearest ids by Hamming distance of sign bits, ties by id."""
-    if not small_enough(queries, BLOCK_ROWS):
-        raise ValueError(f"more than {BLOCK_ROWS} queries")
-    v = vectors.select("id", sign_words(F.col("embedding"), dim).alias("bits"))
-    q = F.broadcast(queries.select("query", sign_words(F.col("embedding"), dim).alias("qbits")))
-    d = v.join(q, F.col("id") != F.col("query")).select("query", "id", hamming(F.col("bits"), F.col("qbits")).alias("distance"))
+def _dealt(queries: DataFrame, vectors: DataFrame, *extra: str) -> tuple[DataFrame, DataFrame]:
+    """Queries in blocks and vectors in slabs, each block repeated for each slab and the other way round."""
+    slabs, blocks = max(1, -(-vectors.count() // SLAB_ROWS)), max(1, -(-queries.count() // BLOCK_ROWS))
+    own = lambda key, n, name: F.pmod(F.xxhash64(key), F.lit(n)).alias(name)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")).alias(name)
+    q = queries.select("query", "embedding", own("query", blocks, "block"), every(slabs, "slab"))
+    return q, vectors.select("id", "embedding", *extra, own("id", slabs, "slab"), every(blocks, "block"))
+
+
+def signbit_shortlist(queries: DataFrame, vectors: DataFrame, shortlist: int) -> DataFrame:
+    """For each query the nearest ids by Hamming distance of sign bits, ties by id, itself left out -> query, id, distance.
+
+    Queries and vectors meet in blocks, as many as there are; a task keeps the
+    shortlist of its slab, and a final top-k merges them.
+    """
+    q, v = _dealt(queries, vectors)
+
+    def bits(column: pd.Series) -> np.ndarray:
+        m = np.stack(column.to_numpy()) if len(column) else np.zeros((0, 8))
+        return np.packbits(m > 0, axis=1)
+
+    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("id")
+        ids, theirs, qs = right["id"].to_numpy(), bits(right["embedding"]), left["query"].to_numpy()
+        out = [pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="int32")})]
+        if len(ids) and len(qs):
+            for k, own in enumerate(bits(left["embedding"])):
+                far = np.bitwise_count(theirs ^ own).sum(axis=1).astype(np.int16)
+                far[ids == qs[k]] = np.iinfo(np.int16).max
+                best = np.argsort(far, kind="stable")[:shortlist]
+                best = best[far[best] < np.iinfo(np.int16).max]
+                out.append(pd.DataFrame({"query": qs[k], "id": ids[best], "distance": far[best].astype(np.int32)}))
+        return pd.concat(out)
+
+    d = q.groupBy("slab", "block").cogroup(v.groupBy("slab", "block")).applyInPandas(near, "query long, id long, distance int")
     w = Window.partitionBy("query").orderBy("distance", "id")
     return d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= shortlist).select("query", "id", "distance")
 
 
+def two_stage_topk(queries: DataFrame, vectors: DataFrame, k: int, least_shortlist: int = 2000) -> DataFrame:
+    """query, id, score, rank: a sign-bit shortlist of max(least_shortlist, 4k), ranked anew by exact cosine."""
+    short = signbit_shortlist(queries, vectors, max(least_shortlist, 4 * k))
+    both = short.join(vectors.select("id", F.col("embedding").alias("_v")), "id").join(queries.select("query", F.col("embedding").alias("_q")), "query")
+    scored = both.select("query", "id", F.round(cosine(F.col("_q"), F.col("_v")), 6).alias("score"))
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def best_per_group(queries: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
+    """query, group, id, score: the vector of each group that is nearest to each query, ties to the smaller id."""
+    q, v = _dealt(queries, vectors, group)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query": pd.Series(dtype="int64"), group: pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        if left.empty or right.empty:
+            return empty
+        right = right.sort_values([group, "id"])
+        ids, groups = right["id"].to_numpy(), right[group].to_numpy()
+        starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+        s = np.round(np.clip(_matrix(left["embedding"]) @ _matrix(right["embedding"]).T, 0, 1), 6)
+        out = [empty]
+        for qid, row in zip(left["query"], s):
+            row = np.where(ids == qid, -1.0, row)
+            top = np.maximum.reduceat(row, starts)
+            at = np.array([a + int(np.argmax(row[a:b])) for a, b in zip(starts, np.r_[starts[1:], len(row)])])
+            keep = top >= 0
+            out.append(pd.DataFrame({"query": qid, group: groups[starts][keep], "id": ids[at][keep], "score": top[keep]}))
+        return pd.concat(out)
+
+    near = q.groupBy("slab", "block").cogroup(v.groupBy("slab", "block")).applyInPandas(best, f"query long, {group} long, id long, score double")
+    top = near.groupBy("query", group).agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("t"))
+    return top.select("query", group, F.col("t.id").alias("id"), (-F.col("t.s")).alias("score"))
+
+
 def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of exact (query, id) that approximate holds."""
     hit = exact.select("query", "id").join(approximate.select("query", "id").withColumn("hit", F.lit(1)), ["query", "id"], "left")

@@ -10,7 +10,7 @@ from brindle.operators import corpus
 from brindle.operators.dedup import exact_groups, jaccard_links
 from brindle.operators.ranking import fuse, fuse_neutral, interleave, ranked
 from brindle.plans.registry import query
-from brindle.session import table
+from brindle.session import table, written
 
 _JOIN = "regexp_replace({}, '([0-9]),([0-9]{{3}})([^0-9]|$)', '\\1\\2\\3', 'g')"
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -58,27 +58,31 @@ SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_
 )
 def tfidf_topterms(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    idf = corpus.with_idf(corpus.document_frequencies(docs, "doc_id", "text"), corpus.non_blank(docs, "text"))
-    w = corpus.tf_idf(corpus.terms(docs, "doc_id", "text"), idf).withColumn("weight", F.round("weight", 6))
+    t = corpus.term_table(docs, "doc_id", "text")
+    idf = corpus.with_idf(corpus.frequencies(t), corpus.non_blank(docs, "text"))
+    w = corpus.tf_idf(t.select(F.col("doc").alias("key"), "term", "tf"), idf).withColumn("weight", F.round("weight", 6))
     rn = F.row_number().over(Window.partitionBy("key").orderBy(F.col("weight").desc(), "term"))
     return w.withColumn("rn", rn).where("rn <= 5").select(F.col("key").alias("doc_id"), "term", "weight")
 
 
-@query(
-    "bm25_topk",
-    f"""WITH {_TOK}, {_DF}, {_N}, q0 AS (SELECT item_id, {_tokens_sql('text')} AS t FROM benchmark),
+#: CTEs up to s(item_id, doc_id, score), the BM25 score of every pair that shares a term.
+BM25_SCORES = f"""{_TOK}, {_DF}, {_N}, q0 AS (SELECT item_id, {_tokens_sql('text')} AS t FROM benchmark),
 q1 AS (SELECT item_id, term, min(place) AS place FROM (SELECT item_id, unnest(t) AS term, generate_subscripts(t, 1) AS place FROM q0) GROUP BY 1, 2),
 q2 AS (SELECT item_id, term, coalesce(df, 0) AS df, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(df, 0), place) AS rn FROM q1 LEFT JOIN df USING (term), n WHERE n < 50 OR coalesce(df, 0) <= 0.3::DOUBLE * n),
 q AS (SELECT * FROM q2 WHERE rn <= 8), m AS (SELECT avg(len(t))::DOUBLE AS mean FROM tok),
 tf AS (SELECT doc_id, len(any_value(t)) AS len, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM tok) GROUP BY doc_id, term),
-s AS (SELECT item_id, doc_id, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score FROM q JOIN tf USING (term), n, m GROUP BY 1, 2)
-SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s) WHERE rn <= 10""",
+s AS (SELECT item_id, doc_id, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score FROM q JOIN tf USING (term), n, m GROUP BY 1, 2)"""
+
+
+@query(
+    "bm25_topk",
+    f"""WITH {BM25_SCORES} SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s) WHERE rn <= 10""",
 )
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    n = corpus.non_blank(docs, "text")
-    wanted = corpus.query_terms(table(spark, d, "benchmark"), "item_id", "text", corpus.document_frequencies(docs, "doc_id", "text"), n)
-    s = corpus.bm25(docs, "doc_id", "text", wanted, n).withColumn("score", F.round("score", 6))
+    t, n = corpus.term_table(docs, "doc_id", "text"), corpus.non_blank(docs, "text")
+    wanted = corpus.query_terms(table(spark, d, "benchmark"), "item_id", "text", corpus.frequencies(t), n)
+    s = corpus.bm25(t, docs.count(), wanted, n).withColumn("score", F.round("score", 6))
     rn = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "doc"))
     return s.withColumn("rn", rn).where("rn <= 10").select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score")
 
@@ -117,14 +121,20 @@ def exact_dup_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "jaccard_near_dups",
-    f"""WITH {_TOK}, g AS (SELECT list_sort(list_distinct(t)) AS s, min(doc_id) AS doc_id FROM tok WHERE len(t) > 0 GROUP BY 1), w AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM g),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) + any_value(b.n) AS n FROM w a JOIN w b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a, b, round(c / (n - c)::DOUBLE, 6) AS similarity FROM p WHERE c / (n - c)::DOUBLE >= 0.9""",
+    f"""WITH {_TOK}, d AS (SELECT doc_id, list_sort(list_distinct(t)) AS s FROM tok WHERE len(t) > 0), g AS (SELECT s, min(doc_id) AS doc_id FROM d GROUP BY 1), w AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) + any_value(b.n) AS n FROM w a JOIN w b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p WHERE c / (n - c)::DOUBLE >= 0.9), l AS (SELECT k, count(*) AS links FROM (SELECT a AS k FROM e UNION ALL SELECT b FROM e) GROUP BY 1)
+SELECT d.doc_id, g.doc_id AS class, coalesce(links, 0)::BIGINT AS links FROM d JOIN g ON d.s = g.s LEFT JOIN l ON l.k = g.doc_id""",
 )
 def jaccard_near_dups(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with its class (the least document of an equal word set) and the number of other classes at 0.9 or more."""
     sets = _docs(spark, d).select("doc_id", F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("words")).where(F.size("words") > 0)
-    one = sets.groupBy("words").agg(F.min("doc_id").alias("doc_id"))
-    return jaccard_links(one, "doc_id", "words", 0.9).withColumn("similarity", F.round("similarity", 6))
+    sets = written(sets.withColumn("digest", F.sha2(F.array_join("words", " "), 256)), "word_sets")
+    one = sets.groupBy("digest").agg(F.min("doc_id").alias("class"), F.first("words").alias("words"))
+    links = jaccard_links(one.select("class", "words"), "class", "words", 0.9)
+    many = links.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("links"))
+    member = sets.select("doc_id", "digest").join(one.select("digest", "class"), "digest")
+    return member.join(many, F.col("class") == F.col("k"), "left").select("doc_id", "class", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 @query("distinct_bodies", r"SELECT count(*) AS n, count(DISTINCT md5(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0B]+', ' ', 'g')))) AS bodies FROM documents")

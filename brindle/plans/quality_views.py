@@ -91,16 +91,24 @@ SELECT CASE WHEN len(kept) >= 10 THEN kept[len(kept) // 10 + 1] END AS threshold
 )
 def calibration_p10(spark: SparkSession, d: str) -> DataFrame:
     # the score of a given place comes from counts of distinct scores, so no list of all scores is gathered
-    from pyspark.sql import Window
-
     s = _scored(spark, d)
     kept = s.where("label = 1").groupBy("score").agg(F.count("*").alias("n"))
-    upto = kept.withColumn("upto", F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(1))))
+    upto = metrics.running_totals(kept, "score", ["n"]).withColumn("upto", F.col("before_n") + F.col("n"))
+    upto = upto.crossJoin(F.broadcast(kept.agg(F.sum("n").alias("all"))))  # one row
     place = upto.agg(F.min(F.when((F.col("all") >= 10) & (F.col("upto") > F.floor(F.col("all") / 10)), F.col("score"))).alias("threshold"))
     means = s.agg(F.round(F.avg(F.when(F.col("label") == 1, F.col("score"))), 6).alias("kept_mean"), F.round(F.avg(F.when(F.col("label") == 0, F.col("score"))), 6).alias("skipped_mean"))
     return place.join(F.broadcast(means))  # one row each
 
 
-@query("bootstrap_interval")
+_DRAWN = " + ".join(f"(u >= {t}::DOUBLE)::INT" for t in metrics.POISSON)
+
+
+@query(
+    "bootstrap_interval",
+    f"""WITH {_S}, r AS (SELECT label::DOUBLE AS v, ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT AS step, ('0x' || substr(md5('42:' || doc_id), 9, 8))::BIGINT AS start, unnest(range(200)) AS round FROM s WHERE label IS NOT NULL),
+w AS (SELECT round, v, {_DRAWN} AS w FROM (SELECT round, v, ((start + step * (2 * round + 1)) % 4294967296)::DOUBLE / 4294967296.0::DOUBLE AS u FROM r)), m AS (SELECT sum(v * w) / sum(w) AS mean FROM w GROUP BY round)
+SELECT round(quantile_cont(mean, 0.025::DOUBLE), 6) AS low, round(quantile_cont(mean, 0.975::DOUBLE), 6) AS high, round(avg(mean), 6) AS centre FROM m""",
+)
 def bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.bootstrap_interval(_scored(spark, d), "label")
+    out = metrics.bootstrap_interval(_scored(spark, d), "doc_id", "label")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.text import rung
 from brindle.operators.dedup import donors
 from brindle.operators.filters import adjusted, and3, collapsed, reasons, weighted_rubric
 from brindle.operators.ranking import held_out, stable_order, top_per_group
@@ -84,13 +83,14 @@ def disjoint_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "two_hop_overlap",
     """
-WITH a AS (SELECT DISTINCT s_suppkey AS project, l_partkey AS skill FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_suppkey <= 5),
+WITH a AS (SELECT DISTINCT s_suppkey AS project, l_partkey AS skill FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_nationkey = 6),
 b AS (SELECT DISTINCT l_orderkey AS posting, l_partkey AS skill FROM lineitem WHERE l_returnflag = 'R')
 SELECT project, posting, count(*) AS shared, array_to_string(list_sort(list(skill)), ',') AS skills FROM a JOIN b USING (skill) GROUP BY 1, 2""",
 )
 def two_hop(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
-    mine = li.where("l_suppkey <= 5").select(F.col("l_suppkey").alias("project"), F.col("l_partkey").alias("skill")).distinct()
+    here = table(spark, d, "supplier").where("s_nationkey = 6").select(F.col("s_suppkey").alias("l_suppkey"))
+    mine = li.join(here, "l_suppkey", "left_semi").select(F.col("l_suppkey").alias("project"), F.col("l_partkey").alias("skill")).distinct()
     need = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("posting"), F.col("l_partkey").alias("skill")).distinct()
     g = mine.join(need, "skill").groupBy("project", "posting").agg(F.count("*").alias("shared"), F.array_sort(F.collect_list("skill")).alias("s"))
     return g.select("project", "posting", "shared", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("skills"))
@@ -99,14 +99,13 @@ def two_hop(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "skill_gap_demand",
     """
-SELECT p_brand AS skill, count(*) FILTER (WHERE l_returnflag = 'R') AS required, count(*) FILTER (WHERE l_returnflag = 'A') AS preferred, count(*) AS named FROM lineitem JOIN part ON l_partkey = p_partkey
-WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey <= 3) GROUP BY 1""",
+SELECT l_partkey AS skill, count(*) FILTER (WHERE l_returnflag = 'R') AS required, count(*) FILTER (WHERE l_returnflag = 'A') AS preferred, count(*) AS named FROM lineitem
+WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 10) GROUP BY 1""",
 )
 def skill_gap(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", "p_brand")
-    have = p.where("p_partkey <= 3").select("p_brand").distinct()
-    x = table(spark, d, "lineitem").select("l_partkey", "l_returnflag").join(p.join(have, "p_brand", "left_anti"), F.col("l_partkey") == F.col("p_partkey"))
-    return x.groupBy(F.col("p_brand").alias("skill")).agg(F.count_if(F.col("l_returnflag") == "R").alias("required"), F.count_if(F.col("l_returnflag") == "A").alias("preferred"), F.count("*").alias("named"))
+    have = table(spark, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("l_partkey"))
+    x = table(spark, d, "lineitem").select("l_partkey", "l_returnflag").join(have, "l_partkey", "left_anti")
+    return x.groupBy(F.col("l_partkey").alias("skill")).agg(F.count_if(F.col("l_returnflag") == "R").alias("required"), F.count_if(F.col("l_returnflag") == "A").alias("preferred"), F.count("*").alias("named"))
 
 
 @query(
@@ -155,15 +154,6 @@ def stable_shuffle(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", stable_order("v1", k).alias("place"), held_out("v1", 20, k).alias("held_out"))
 
 
-@query(
-    "seniority_rungs",
-    """
-SELECT 'none' AS rung, count(*) AS n FROM part""",
-)
-def seniority_rungs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").groupBy(F.coalesce(rung(F.col("p_type")).cast("string"), F.lit("none")).alias("rung")).agg(F.count("*").alias("n"))
-
-
 @query(
     "tier_split_caps",
     """SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn <= 3""",
