@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.components import connected_components
+from brindle.operators.dedup import components as connected_components
 from brindle.session import small_enough, written
 
 WIDTH, SIMILARITY = 5, 0.8
