@@ -62,19 +62,27 @@ _TABLE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) *
 _IN_COVER = np.isin(np.arange(MODULUS), COVER)
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse up to n at least, kept by the task for its next buffer."""
+    if len(_POWERS[0]) <= n:
+        for k, base in enumerate((_R, _RINV)):
+            x = np.full(n + 1, np.uint64(base))
+            x[0] = 1
+            _POWERS[k] = np.multiply.accumulate(x)
+    return _POWERS
+
+
 class Names:
     """64-bit names of byte strings of one buffer, from prefix sums of a polynomial."""
 
     def __init__(self, buf: np.ndarray):
         n = len(buf)
-        up = np.full(n + 1, np.uint64(_R))
-        up[0] = 1
-        up = np.multiply.accumulate(up)
+        up, self.down = _powers(n)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[buf] * up[:-1], out=self.prefix[1:])
-        down = np.full(n + 1, np.uint64(_RINV))
-        down[0] = 1
-        self.down = np.multiply.accumulate(down)
+        np.cumsum(_TABLE[buf] * up[:n], out=self.prefix[1:])
 
     def at(self, start: np.ndarray, size) -> np.ndarray:
         h = (self.prefix[start + size] - self.prefix[start]) * self.down[start]
@@ -149,15 +157,14 @@ class Group:
     def __init__(self, batches: Iterable[Batch], buckets: int):
         h, doc = (np.concatenate(x) for x in zip(*((b.names.at(b.sampled, SEED), b.doc(b.sampled)) for b in batches)))
         key = ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(k)) - 1
         d = doc[order]
         self.unique = k[first]
-        self.local = d[first] != d[last] if len(k) else np.zeros(0, bool)
+        self.local = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(k) else np.zeros(0, bool)
         self.rank = np.empty(len(k), np.int64)
         self.rank[order] = np.cumsum(new) - 1
         bucket = (self.unique >> np.uint64(32)).astype(np.int64)
@@ -347,13 +354,50 @@ class Suffixes:
         for k in range(8):
             self.word |= padded[k : k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
         sampled = np.flatnonzero(_IN_COVER[np.arange(len(buf) + MODULUS) % MODULUS])
-        order = np.lexsort(self.words(sampled, 0)[::-1])
-        new = np.zeros(len(order), bool)
-        for w in self.words(sampled[order], 0):
-            new[1:] |= w[1:] != w[:-1]
-        self.rank = np.empty(len(order), np.int64)  # of each sampled place, by WIDTH bytes
+        order, new = self._split(sampled, lambda x, y, side: self._by_words(x, y, side, zip(self.words(x, 8), self.words(y, 8))))
+        self.rank = np.empty(len(order), np.int32)  # of each sampled place, by WIDTH bytes
         self.rank[order] = np.cumsum(new)
 
+    @staticmethod
+    def _by_words(x: np.ndarray, y: np.ndarray, side: np.ndarray, words) -> None:
+        for a, b in words:
+            np.copyto(side, (a > b).view(np.int8) - (a < b).view(np.int8), where=side == 0)
+
+    def _by_rank(self, x: np.ndarray, y: np.ndarray, side: np.ndarray) -> None:
+        self._by_words(x, y, side, ((self.word[x + k], self.word[y + k]) for k in (8, 16, 24)))
+        tied = np.flatnonzero(side == 0)
+        x, y = x[tied], y[tied]
+        far = _MEET[x % MODULUS, y % MODULUS]
+        side[tied] = np.sign(self.rank_at(x + far) - self.rank_at(y + far))
+
+    def _split(self, at: np.ndarray, compare) -> tuple[np.ndarray, np.ndarray]:
+        """(order of the suffixes at `at`, whether each differs from the one before).
+
+        First by eight bytes; what ties is split around one suffix of each tie,
+        again and again: compare(suffixes, pivots, side) sets side to -1, 0 or 1.
+        """
+        first = self.word[at]
+        order = np.argsort(first)
+        new = np.ones(len(order), bool)
+        new[1:] = first[order][1:] != first[order][:-1]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(new)))
+        start, size = start[size > 1], size[size > 1]
+        while len(start):
+            place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            mine, pivot = at[order[place]], np.repeat(at[order[start + size // 2]], size)
+            side = np.zeros(len(mine), np.int8)
+            compare(mine, pivot, side)
+            key = np.repeat(np.arange(len(start)), size) * 3 + side + 1
+            if (key[1:] < key[:-1]).any():
+                order[place] = order[place[np.argsort(key, kind="stable")]]
+            many = np.bincount(key, minlength=3 * len(start)).reshape(-1, 3)
+            begins = start[:, None] + np.cumsum(many, axis=1) - many
+            new[begins[many > 0]] = True
+            left = (many > 1) & np.array([True, False, True])  # what equals the pivot is done
+            start, size = begins[left], many[left]
+        return order, new
+
     def words(self, at: np.ndarray, skip: int) -> list[np.ndarray]:
         """Bytes skip to WIDTH from each place, eight at a time."""
         out = [self.word[at + k] for k in range(skip, WIDTH - WIDTH % 8, 8)]
@@ -378,43 +422,15 @@ class Suffixes:
     def sort(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(order of the suffixes at `at`, whether each differs from the one before in WIDTH bytes).
 
-        First by eight bytes. What ties is split around one suffix of each tie,
-        again and again, by the bytes up to the 32nd and then by rank: two
-        suffixes have their ranks compared at the least distance at which both
-        have a sampled place.
+        By 32 bytes, then by rank: two suffixes have their ranks compared at
+        the least distance at which both have a sampled place.
         """
-        first = self.word[at]
-        order = np.argsort(first)
-        new = np.ones(len(order), bool)
-        new[1:] = first[order][1:] != first[order][:-1]
-        byte_edge = new.copy()
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(new)))
-        start, size = start[size > 1], size[size > 1]
-        while len(start):
-            place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            mine, pivot = at[order[place]], np.repeat(at[order[start + size // 2]], size)
-            side = np.zeros(len(mine), np.int8)
-            for k in (8, 16, 24):
-                x, y = self.word[mine + k], self.word[pivot + k]
-                np.copyto(side, (x > y).view(np.int8) - (x < y).view(np.int8), where=side == 0)
-            tied = np.flatnonzero(side == 0)
-            x, y = mine[tied], pivot[tied]
-            far = _MEET[x % MODULUS, y % MODULUS]
-            side[tied] = np.sign(self.rank_at(x + far) - self.rank_at(y + far))
-            tie = np.repeat(np.arange(len(start)), size)
-            key = tie * 3 + side + 1
-            by = np.argsort(key, kind="stable")
-            order[place] = order[place[by]]
-            many = np.bincount(key, minlength=3 * len(start)).reshape(-1, 3)
-            begins = start[:, None] + np.cumsum(many, axis=1) - many
-            new[begins[many > 0]] = True
-            left = (many > 1) & np.array([True, False, True])  # what equals the pivot is done
-            start, size = begins[left], many[left]
+        order, new = self._split(at, self._by_rank)
         # ranks look past WIDTH bytes: neighbours that a split tells apart may still agree so far
-        check = np.flatnonzero(new & ~byte_edge)
-        differ = np.zeros(len(check), bool)
-        for a, b in zip(self.words(at[order[check]], 8), self.words(at[order[check - 1]], 8)):
+        check = np.flatnonzero(new)[1:]
+        x, y = at[order[check]], at[order[check - 1]]
+        differ = self.word[x] != self.word[y]
+        for a, b in zip(self.words(x, 8), self.words(y, 8)):
             differ |= a != b
         new[check] = differ
         return order, new
