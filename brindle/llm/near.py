@@ -33,8 +33,9 @@ POSITIONS, PER_LIST = 30, 3
 LEAST_SHARED = 15
 #: A list up to this size has all its pairs tallied; texts of longer ones are joined exactly.
 SHORT_LIST = 32
-#: Texts that hold one front shingle and meet in one cell.
-BLOCK = 512
+#: Up to so many texts that hold one shingle in front give candidate pairs; more are compared in cells of blocks of these sizes.
+FEW = 64
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 MOST_BROADCAST = 200_000
 
 _RANDOM = np.random.default_rng(64)
@@ -134,7 +135,7 @@ def candidate_lists(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A short list has all its pairs tallied. In a long one each member is paired
     with the list's most typical text only, which links most copies of one text
-    to it; `missing_pairs` finds what that leaves apart. Typical is the member
+    to it; `missing_links` finds what that leaves apart. Typical is the member
     with the largest weight: its lists have the most members, so its positions
     have the values that most members have. Rows of a long list are never dealt
     out by the list's key: sizes and typical texts are sums and maxima, joined
@@ -159,23 +160,14 @@ def candidate_lists(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _meetings(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left, right (w, node, n, root) -> pairs (a, b) of nodes that hold one w, of other roots; left is at least as long as right.
-
-    A word that many hold is dealt out in blocks: each cell of a block of left
-    and a block of right is a join key of its own.
-    """
-    blocks = lambda side, name: side.groupBy("w").agg(F.ceil(F.count("*") / BLOCK).alias(name))
-    cells = blocks(left, "lb").join(blocks(right, "rb"), "w")
-    all_of = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
-    one_of = lambda name: F.pmod(F.xxhash64("node"), F.col(name))
-    x = left.join(cells, "w").select("w", "node", "n", "root", one_of("lb").alias("i"), all_of("rb").alias("j"))
-    y = right.join(cells, "w").select("w", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"), one_of("rb").alias("j"), all_of("lb").alias("i"))
-    met = x.join(y, ["w", "i", "j"]).where((F.col("root") != F.col("root2")) & (F.struct("n", "node") > F.struct("n2", "node2")))
+    """left, right (w, node, n, root), at most FEW for a word -> pairs (a, b) of nodes that hold one w, of other roots; left is at least as long as right."""
+    y = right.select("w", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    met = left.select("w", "node", "n", "root").join(y, "w").where((F.col("root") != F.col("root2")) & (F.struct("n", "node") > F.struct("n2", "node2")))
     return met.select("n", "n2", F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
-def missing_pairs(sets: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """sets(node, shingles), nodes(node) of long lists, roots(node, root) so far -> every pair (a, b) still to check.
+def missing_links(sets: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """sets(node, shingles), nodes(node) of long lists, roots(node, root) so far -> the links (a, b) that are missing to connect all that are similar.
 
     Exact: two sets of at least that similarity share a shingle among the
     first few of each when all are ordered from rare to common: in the longer
@@ -183,8 +175,9 @@ def missing_pairs(sets: DataFrame, nodes: DataFrame, roots: DataFrame, similarit
     n - ceil(2 similarity / (1 + similarity) n) + 1. What very many texts share
     stands last and brings nobody together. Pairs of one root need no check;
     of the texts that hold a shingle in front, those of its most frequent root
-    are not paired with each other, so a large group of copies that is linked
-    already costs its size, not its square.
+    are not compared with each other, so a large group of copies that is linked
+    already costs its size, not its square. A shingle that few hold in front
+    gives candidate pairs, one that many hold is worked through in cells.
     """
     s = sets.join(nodes, "node", "left_semi")
     words = s.select("node", F.explode("shingles").alias("w"))
@@ -194,11 +187,80 @@ def missing_pairs(sets: DataFrame, nodes: DataFrame, roots: DataFrame, similarit
     front = ordered.select("node", "n", F.posexplode(F.slice("s", F.lit(1), kept(similarity))).alias("at", "e"), kept(2 * similarity / (1 + similarity)).alias("short"))
     front = front.where("e.df > 1").join(roots, "node", "left")
     front = written(front.select("node", "n", F.coalesce("root", "node").alias("root"), F.col("e.w").alias("w"), (F.col("at") < F.col("short")).alias("first")), "fronts")
-    main = front.groupBy("w", "root").agg(F.count("*").alias("size")).groupBy("w").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots"))
-    front = written(front.join(main.where("roots > 1").select("w", F.col("m.root").alias("main")), "w"), "open_fronts")
+    main = front.groupBy("w", "root").agg(F.count("*").alias("size")).groupBy("w").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots"), F.sum("size").alias("held"))
+    front = written(front.join(main.where("roots > 1").select("w", F.col("m.root").alias("main"), "held"), "w"), "open_fronts")
+    stray, few = F.col("root") != F.col("main"), front.where(F.col("held") <= FEW)
+    pairs = _meetings(few.where(stray), few.where("first")).unionByName(_meetings(few.where(~stray), few.where(stray & F.col("first"))))
+    pairs = pairs.where(F.least("n", "n2") >= F.greatest("n", "n2") * similarity - 1e-6).select("a", "b").distinct()
+    return _checked(pairs, sets, similarity).unionByName(_cell_links(front.where(F.col("held") > FEW), sets, similarity))
+
+
+def _cell_links(front: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """front(w, node, n, root, main) of shingles that many hold -> links (a, b) of nodes that are not of the main root with all others.
+
+    Both sides are dealt into blocks, and a task compares one block of each. A
+    pair that also shares an earlier such shingle is left to that one's cells.
+    """
     stray = F.col("root") != F.col("main")
-    every = _meetings(front.where(stray), front.where("first")).unionByName(_meetings(front.where(~stray), front.where(stray & F.col("first"))))
-    return every.where(F.least("n", "n2") >= F.greatest("n", "n2") * similarity - 1e-6).select("a", "b").distinct()
+    size = lambda name: F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).alias(name)
+    blocks = front.where(stray).groupBy("w").agg(size("lb")).join(front.groupBy("w").agg(size("rb")), "w")
+    hot = front.groupBy("node").agg(F.sort_array(F.collect_list("w")).alias("hot"))
+    full = sets.join(hot, "node")
+    all_of = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    one_of = lambda name: F.pmod(F.xxhash64("node"), F.col(name))
+    dealt = front.join(blocks, "w")
+    x = dealt.where(stray).select("w", one_of("lb").alias("i"), all_of("rb").alias("j"), F.lit(True).alias("asks"), "node", "root")
+    y = dealt.select("w", one_of("rb").alias("j"), all_of("lb").alias("i"), F.lit(False).alias("asks"), "node", "root")
+    rows = x.unionByName(y).join(full, "node")
+    cells = rows.groupBy("w", "i", "j").agg(F.collect_list(F.struct("asks", "node", "root", "hot", "shingles")).alias("members"))
+
+    def run(batches):
+        for batch in batches:
+            for w, x in zip(batch.column("w").to_pylist(), batch.column("members")):
+                a, b = _compare(w, x.values, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return cells.select("w", "members").mapInArrow(run, "a long, b long")
+
+
+def _compare(w: int, members: pa.StructArray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links of the members that ask with those that do not, of other roots, in the cell of shingle w; one link to each other root does."""
+    field = lambda k: members.field(k).to_numpy(zero_copy_only=False)
+    asks, nodes, roots = field("asks"), field("node"), field("root")
+    sets = [y.values.to_numpy() for y in members.field("shingles")]
+    earlier = [y.values.to_numpy() for y in members.field("hot")]
+    earlier = [y[: np.searchsorted(y, w)] for y in earlier]
+    told = np.flatnonzero(~asks)
+    a: list[int] = []
+    b: list[int] = []
+    if not len(told) or not asks.any():
+        return a, b
+
+    def shared_with(values: list[np.ndarray]):
+        """For a set, how many of its values each told member has."""
+        flat = np.concatenate([values[m] for m in told])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(told)), [len(values[m]) for m in told])[order]
+
+        def count(own: np.ndarray) -> np.ndarray:
+            lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            many = hi - lo
+            return np.bincount(owner[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())], minlength=len(told))
+
+        return count
+
+    size = np.array([len(sets[m]) for m in told])
+    common, before = shared_with(sets), shared_with(earlier)
+    for i in np.flatnonzero(asks):
+        open_ = (before(earlier[i]) == 0) & (roots[told] != roots[i])
+        if not open_.any():
+            continue
+        shared = common(sets[i])
+        linked = told[open_ & (shared >= similarity * (size + len(sets[i]) - shared) - 1e-9)]
+        for j in linked[np.unique(roots[linked], return_index=True)[1]]:
+            a.append(int(nodes[i]))
+            b.append(int(nodes[j]))
+    return a, b
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -249,7 +311,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", width: int = WIDTH, sim
     links = written(_checked(pairs, sets, similarity), "links")
     roots = connected_components(links)
     if not long.isEmpty():
-        more = written(_checked(missing_pairs(sets, long, roots, similarity), sets, similarity), "more_links")
+        more = written(missing_links(sets, long, roots, similarity), "more_links")
         if not more.isEmpty():
             roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     placed = reps.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))

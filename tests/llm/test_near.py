@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from brindle.llm import near, simhash
 
@@ -53,8 +54,10 @@ def test_near_copies_agree_with_brute_force(spark):
     assert kept == set(want.values())
 
 
-def test_long_lists_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("few", [3, 1000])
+def test_long_lists_lose_no_link(spark, monkeypatch, few):
     monkeypatch.setattr(near, "SHORT_LIST", 3)
+    monkeypatch.setattr(near, "FEW", few)
     monkeypatch.setattr(near, "BLOCK", 4)
     t = texts()
     df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
@@ -79,7 +82,7 @@ def test_chains_in_one_long_list_lose_no_link(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
     # every text stands in one list, all of them too long
     monkeypatch.setattr(near, "list_keys", lambda prints: np.zeros((len(prints), 10), np.int64) + np.arange(10))
-    for name, most in (("SHORT_LIST", 4), ("BLOCK", 7)):
+    for name, most in (("SHORT_LIST", 4), ("FEW", 5), ("BLOCK", 7)):
         monkeypatch.setattr(near, name, most)
     assert 6 <= len(set(want.values())) < len(t)
     assert {r.doc_id: r.component_id for r in near.near_copies(df).collect()} == want
