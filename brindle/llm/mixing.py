@@ -79,25 +79,25 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     """
     tie = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     plain = [F.col(f"`{k}`") for k in keep if not isinstance(docs.schema[k].dataType, MapType)]
-    rows = docs.select(F.struct(*[F.col(f"`{k}`") for k in keep]).alias("_row"), F.xxhash64(*plain).alias("_other"), F.col("source").alias("_s"), word_count(F.col(text_col)).alias("size"), tie.alias("_tie"))
+    rows = docs.select(F.struct(*[F.col(f"`{k}`") for k in keep]).alias("_row"), F.xxhash64(*plain).alias("_other"), F.col("source").alias("_s"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_k"), word_count(F.col(text_col)).alias("size"), tie.alias("_tie"))
     rows = rows.withColumn("_class", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
     if set(keep) <= {"doc_id", "source"}:
         rows = written(rows, "sizes")
     slots = max(1, -(-docs.count() // CELL))
     rows = rows.withColumn("_slot", F.floor(F.conv(F.substring("_tie", 1, 8), 16, 10).cast("double") / 4294967296.0 * slots))
-    cells = rows.groupBy("_s", "_class", "_slot").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
+    cells = rows.groupBy("_s", "_k", "_class", "_slot").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
     cells = written(cells, "cells")
     sizes = cells.groupBy("_s").agg(F.sum("_words").alias("source_size"), F.sum("_n").alias("n")).withColumnRenamed("_s", "source")
     targets = source_targets(sizes, weights, most)
     before = Window.partitionBy("_s").orderBy("_class", "_slot").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     cells = cells.join(targets.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).select(
-        F.col("_s").alias("_cs"), F.col("_class").alias("_cc"), F.col("_slot").alias("_cl"), "_before", "source_size", "target"
+        "_k", "_class", "_slot", "_before", "source_size", "target"
     )
-    inside = Window.partitionBy("_s", "_class", "_slot").orderBy("_tie", "_other")
+    inside = Window.partitionBy("_k", "_class", "_slot").orderBy("_tie", "_other")
     ranked = rows.withColumn("_in", F.row_number().over(inside) - 1)
-    same = F.col("_s").eqNullSafe(F.col("_cs")) & (F.col("_class") == F.col("_cc")) & (F.col("_slot") == F.col("_cl"))
-    ranked = ranked.join(cells, same)
+    # the rank has dealt rows out by this key already, so they are not dealt out again
+    ranked = ranked.join(cells, ["_k", "_class", "_slot"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = (F.col("_before") + F.col("_in")).cast("double")
     copies = F.floor(rate * (rank + 1) + _offset(F.col("_s"))) - F.floor(rate * rank + _offset(F.col("_s")))
