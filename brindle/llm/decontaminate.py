@@ -32,6 +32,8 @@ FUNCTION_WORDS = (
 ).split()
 
 NUMBER, NAME, UNIT = "\u0001n", "\u0001p", "\u0001u"
+#: Tokens that a window begins with and that are looked up among the benchmark's before it is built, while these are so few.
+FIRST, MOST_FIRST = 3, 50_000
 #: Stands between a value of an item and its place.
 PLACE = "\u0002"
 
@@ -72,7 +74,33 @@ def literal(token: Column) -> Column:
     return F.when(token.startswith(NAME), F.substring(token, 3, 1 << 20)).otherwise(token)
 
 
-def windows(docs: DataFrame, key: list[str | Column], text: Column, lengths: list[int], placed: bool = False) -> DataFrame:
+def form(tok: Column, reading) -> Column:
+    """Hashes of the tokens as they are read."""
+    return F.transform(tok, lambda x: F.xxhash64(reading(x)))
+
+
+def places_of(hashes: Column, size: int) -> Column:
+    """Places, from 1, where so many tokens stand in a row; an empty slice gives none."""
+    n = F.size(hashes) - (size - 1)
+    return F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), 1, F.greatest(n, F.lit(0)))
+
+
+def beginning(hashes: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(*[F.get(hashes, at + (k - 1)) for k in range(size)])
+
+
+def beginnings(items: DataFrame, size: int, most: int = MOST_FIRST) -> tuple[int, list[int]] | None:
+    """Hashes of all runs of `size` tokens of the items, names read both ways; None if there are more than `most`."""
+
+    def of(tok: Column) -> Column:
+        both = (form(tok, kind), form(tok, lambda x: kind(literal(x))))
+        return F.concat(*[let(h, lambda hh: F.transform(places_of(hh, size), lambda i: beginning(hh, i, size))) for h in both])
+
+    got = items.select(F.explode(let(tokens(F.col("text")), of)).alias("b")).distinct().limit(most + 1).collect()
+    return (size, [r.b for r in got]) if len(got) <= most else None
+
+
+def windows(docs: DataFrame, key: list[str | Column], text: Column, lengths: list[int], placed: bool = False, begins: tuple[int, list[int]] | None = None) -> DataFrame:
     """docs -> key, at (place of the window, from 1), w (hash of the template), h (hash of a form of it), slots (values of that form's placeholders).
 
     One row for each window of each of the lengths, and a second for a window
@@ -82,14 +110,21 @@ def windows(docs: DataFrame, key: list[str | Column], text: Column, lengths: lis
     words, as it would match by its length only. A window's hash is taken over
     the hashes of its tokens, so every token is hashed once for each form. With
     placed, a number or unit among the slots has its place in the text behind it.
+    With begins (a number of tokens and the hashes of all beginnings that can
+    match), windows that begin otherwise are not built.
     """
 
     def of(tok: Column) -> Column:
-        hashes = F.transform(tok, lambda x: F.xxhash64(kind(x)))
-        plain = F.transform(tok, lambda x: F.xxhash64(kind(literal(x))))
-        return let(hashes, lambda hk: let(plain, lambda hl: F.concat(*[at(tok, hk, hl, n) for n in lengths])))
+        return let(form(tok, kind), lambda hk: let(form(tok, lambda x: kind(literal(x))), lambda hl: let(places(hk, hl), lambda at_: F.concat(*[at(tok, hk, hl, at_, n) for n in lengths]))))
+
+    def places(hk: Column, hl: Column) -> Column:
+        size = begins[0] if begins else 1
+        every = places_of(hk, size)
+        if begins is None:
+            return every
+        return F.filter(every, lambda i: beginning(hl, i, size).isin(begins[1]) | beginning(hk, i, size).isin(begins[1]))
 
-    def at(tok: Column, hk: Column, hl: Column, n: int) -> Column:
+    def at(tok: Column, hk: Column, hl: Column, places: Column, n: int) -> Column:
         def win(i: Column) -> Column:
             of_window = F.slice(tok, i, n)
             if placed:
@@ -106,9 +141,7 @@ def windows(docs: DataFrame, key: list[str | Column], text: Column, lengths: lis
             first = F.when(names > 0, F.xxhash64(F.slice(hl, i, n))).otherwise(template)
             return F.when(second, F.array(one(first, plain), one(template, slots))).otherwise(F.array(one(first, plain)))
 
-        some = F.size(hk) >= n
-        # an empty slice gives no window
-        return F.flatten(F.transform(F.slice(F.sequence(F.lit(1), F.greatest(F.size(hk) - (n - 1), F.lit(1))), 1, F.when(some, F.size(hk)).otherwise(0)), win))
+        return F.flatten(F.transform(F.filter(places, lambda i: i <= F.size(hk) - (n - 1)), win))
 
     # lambda variables hold the tokens and their hashes: outside of one, the optimiser
     # would put the expressions themselves into the lambda and repeat them for each window
@@ -122,6 +155,7 @@ def contaminated(
     window: int = WINDOW,
     least_share: float = LEAST_SHARE,
     most_broadcast: int = MOST_BROADCAST,
+    most_begins: int = MOST_FIRST,
 ) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, n_windows (of the item), n_matched, share, slots, consistent.
 
@@ -152,7 +186,8 @@ def contaminated(
     total = own.groupBy(F.col("item_id").alias("_item")).agg(F.count_distinct("w").alias("n_windows"))
     own = own.distinct()
     text = F.col("text")
-    found = windows(docs.select("doc_id", "text").where(text.isNotNull()), ["doc_id", F.xxhash64("text").alias("body")], text, lengths).drop("w")
+    begins = beginnings(items, min([FIRST, *lengths]), most_begins)
+    found = windows(docs.select("doc_id", "text").where(text.isNotNull()), ["doc_id", F.xxhash64("text").alias("body")], text, lengths, begins=begins).drop("w")
     fits = small_enough(own, most_broadcast)
     hit = found.join(F.broadcast(own) if fits else own, "h")
     hit = hit.join(F.broadcast(total) if fits else total, F.col("item_id").eqNullSafe(F.col("_item")))

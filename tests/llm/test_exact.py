@@ -324,6 +324,8 @@ def test_decontamination_agrees_with_plain_windows(spark):
     b = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, share int")
     got = {(r.doc_id, r.item_id): (r.n_windows, r.n_matched) for r in decontaminate.contaminated(d, b).collect()}
     assert got == want and (62, 22) in got and len(got) > 20
+    unfiltered = {(r.doc_id, r.item_id): (r.n_windows, r.n_matched) for r in decontaminate.contaminated(d, b, most_begins=0).collect()}
+    assert unfiltered == want
 
 
 # ---------------------------------------------------------------- chat, formatted text
