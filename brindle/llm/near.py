@@ -20,7 +20,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.dedup import components as connected_components
@@ -180,9 +180,9 @@ def missing_links(sets: DataFrame, nodes: DataFrame, roots: DataFrame, similarit
     gives candidate pairs, one that many hold is worked through in cells.
     """
     s = sets.join(nodes, "node", "left_semi")
-    words = s.select("node", F.explode("shingles").alias("w"))
-    df = words.groupBy("w").agg(F.count("*").alias("df"))
-    ordered = words.join(df, "w").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("s")).withColumn("n", F.size("s"))
+    # a shingle stands once in a text, so even one that all texts hold is one row in n of those dealt out here
+    words = s.select("node", F.explode("shingles").alias("w")).withColumn("df", F.count("*").over(Window.partitionBy("w")))
+    ordered = words.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("s")).withColumn("n", F.size("s"))
     kept = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-6).cast("int") + 1
     front = ordered.select("node", "n", F.posexplode(F.slice("s", F.lit(1), kept(similarity))).alias("at", "e"), kept(2 * similarity / (1 + similarity)).alias("short"))
     front = front.where("e.df > 1").join(roots, "node", "left")
