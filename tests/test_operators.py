@@ -96,3 +96,46 @@ def test_json_ld(spark):
     html = '<script type="application/ld+json">{"@graph": [{"@type": "JobPosting", "title": "A"}]}</script><script type="application/ld+json">{bad</script>'
     got = json_ld_postings(spark.createDataFrame([(1, html)], "page_id long, html string"))
     assert [r.t for r in got.select(F.try_variant_get("posting", "$.title", "string").alias("t")).collect()] == ["A"]
+
+
+def test_places_titles_and_contacts(spark):
+    from pyspark.sql import functions as F
+
+    from brindle.functions import places, readers
+
+    where = {"San José, CA": "bay_area", "Toronto, ON, CA": "elsewhere", "Newark, NJ": "united_states", "Remote": "unknown", "Minsk": "unplaced", "Remote - US or Canada": "united_states", "Fresno, CA": "california", "": "unknown"}
+    df = spark.createDataFrame(list(where.items()), "location string, want string")
+    assert df.where(places.locality(F.col("location")) != F.col("want")).count() == 0
+    said = spark.createDataFrame([("a@b.org then xa@b.org, +49 30 1234567 and a@b.org",), (None,)], "t string")
+    out, contacts = readers.masked(F.col("t"))
+    rows = said.select(out.alias("o"), contacts.alias("c")).select("o", readers.unmasked(F.col("o"), F.col("c")).alias("back")).collect()
+    assert rows[0].back == "a@b.org then xa@b.org, +49 30 1234567 and a@b.org" and "@" not in rows[0].o and "<PHONE_0>" in rows[0].o
+    assert rows[1].back == ""
+    titles = spark.createDataFrame([("Senior Software Engineer II (Remote) - Platform", "software"), ("Sr. ML Engineer", "machine_learning"), ("Nurse", None)], "t string, want string")
+    assert titles.where(~readers.role_of(F.col("t")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_donors_of_parents_with_many_texts(spark, monkeypatch):
+    import random
+
+    from brindle.operators import dedup
+
+    monkeypatch.setattr(dedup, "MANY_TEXTS", 4)
+    rng = random.Random(1)
+    sets = {p: {rng.randrange(9) for _ in range(rng.choice([1, 2, 3, 7]))} for p in range(60)}
+    df = spark.createDataFrame([(p, t, p % 11) for p, s in sets.items() for t in s for _ in range(2)], "p long, t long, age long")
+    want = {}
+    for p, s in sets.items():
+        fit = [(q % 11, q) for q, o in sets.items() if q != p and s <= o]
+        if fit:
+            want[p] = min(fit)[1]
+    assert {r.parent: r.donor for r in dedup.donors(df, "p", "t", "age").collect()} == want
+
+
+def test_topic_entropies_are_entropies(spark, sf):
+    import math
+
+    from brindle.plans import registry
+
+    got = registry.queries()["topic_entropy"](spark, sf).collect()
+    assert got and all(0 <= r.entropy <= math.log(8) + 1e-6 for r in got)
