@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -78,6 +78,13 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_files(path: str, write: Callable[[str], None]) -> str:
+    """path, once write(path) has filled it; it goes when its `scratch` ends, as tables do."""
+    write(path)
+    _WRITTEN.append(path)
+    return path
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that `written` makes inside are removed at the end; what is computed from them must be written elsewhere by then."""

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import email
+import email.policy
+from email.utils import parsedate_to_datetime
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,9 +29,9 @@ def company_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """df as CSV with a header; arrays become [a,b,...] text."""
+    """df as CSV with a header, white space kept; arrays become [a,b,...] text."""
     flat = [F.concat(F.lit("["), F.array_join(F.transform(F.col(f.name), lambda x: x.cast("string")), ","), F.lit("]")).alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in df.schema]
-    df.select(*flat).write.csv(path, header=True, escape='"')
+    df.select(*flat).write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def journal(spark: SparkSession, path: str) -> DataFrame:
@@ -35,20 +40,41 @@ def journal(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record").withColumn("at", F.try_to_timestamp("at"))
 
 
+MESSAGE = "message_id string, sender string, subject string, body string, sent_at timestamp"
+
+
+def _mime(raw: pd.Series) -> pd.DataFrame:
+    """Messages with encoded headers and parts decoded; the first plain part is the body, else the first HTML part."""
+
+    def one(text: str) -> tuple:
+        m = email.message_from_bytes(text.encode(), policy=email.policy.default)
+        part = m.get_body(("plain", "html"))
+        body = part.get_content() if part is not None else ""
+        try:
+            # not the policy's own header: it throws on dates that are none
+            sent = pd.Timestamp(parsedate_to_datetime(str(m["date"])))
+            sent = sent.tz_convert("UTC").tz_localize(None) if sent.tzinfo else sent
+        except (TypeError, ValueError):
+            sent = pd.NaT
+        head = [str(m[k]).strip() if m[k] else None for k in ("message-id", "from", "subject")]
+        return (*head, body.strip(), sent)
+
+    return pd.DataFrame([one(t) for t in raw], columns=["message_id", "sender", "subject", "body", "sent_at"]).astype({"sent_at": "datetime64[ns]"})
+
+
 def messages(spark: SparkSession, path: str) -> DataFrame:
     """Mail files (eml, or mbox with several messages) -> path, message_id, sender, subject, body, sent_at.
 
-    Messages of an mbox are cut at its From lines; headers and body come from
-    the text, headers unfolded. Rows without a message id take the body's digest.
+    An mbox is cut at its From lines as it is read, so a large one is never
+    held whole. Rows without a message id take the body's digest.
     """
-    raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("t"))
-    one = raw.select("path", F.explode(F.split(F.concat(F.lit("\n"), F.regexp_replace("t", "\r\n", "\n")), r"\n(?=From [^\n]*@)")).alias("m")).where(F.trim("m") != "")
-    head = F.regexp_replace(F.regexp_extract("m", r"(?s)^\s*(.*?)(?:\n\n|$)", 1), r"\n[ \t]+", " ")
-    body = F.regexp_extract("m", r"(?s)\n\n(.*)$", 1)
-    field = lambda name: F.nullif(F.trim(F.regexp_extract(head, rf"(?im)^{name}:\s*(.*)$", 1)), F.lit(""))
-    ident = F.coalesce(field("message-id"), F.sha2(body, 256))
-    sent = F.try_to_timestamp(F.regexp_extract(field("date"), r"([0-9]{1,2} \w{3} [0-9]{4} [0-9:]{8})", 1), F.lit("d MMM yyyy HH:mm:ss"))
-    return one.select("path", ident.alias("message_id"), field("from").alias("sender"), field("subject").alias("subject"), F.trim(body).alias("body"), sent.alias("sent_at"))
+    raw = spark.read.text(path, lineSep="\nFrom ").select(F.col("_metadata.file_path").alias("path"), "value")
+    # the envelope line goes; inside a text it was escaped by one >
+    text = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), r"^(From )?\S+@[^\n]*\n", "")
+    text = F.regexp_replace(text, r"(?m)^>(>*From )", "$1")
+    read = F.pandas_udf(_mime, MESSAGE)
+    m = raw.where(F.trim("value") != "").select("path", read(text).alias("m")).select("path", "m.*")
+    return m.withColumn("message_id", F.coalesce("message_id", F.sha2("body", 256)))
 
 
 def import_vectors(chunks: DataFrame, exported: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
