@@ -37,3 +37,15 @@ def hamming(a: Column, b: Column) -> Column:
 def hash_bucket(token: Column, dim: int) -> Column:
     """First four bytes of sha256, big-endian, modulo dim."""
     return (F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long") % dim).cast("int")
+
+
+def half(x: Column) -> Column:
+    """x rounded to half precision: eleven significant bits, ties to even, in steps of 2^-24 below 2^-14, infinite from 65520 on."""
+    power = F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-14))
+    step = F.pow(F.lit(2.0), power - 10)
+    return F.when(x == 0, 0.0).when(F.abs(x) >= 65520, F.signum(x) * float("inf")).otherwise(F.rint(x / step) * step)
+
+
+def halved(vector: Column) -> Column:
+    """Every component of a vector in half precision."""
+    return F.transform(vector, lambda x: half(x.cast("double")))

@@ -6,6 +6,8 @@ alike, so that every reader has something to read in every row.
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ PICKS = {
     "visa": ["We will not sponsor visas", "Visa sponsorship available", "", "We can sponsor, case by case, but cannot always sponsor", "unable to sponsor"],
 }
 LINES = ("intro", "head", "first", "second", "under", "third", "pay", "school", "visa")
-#: Each list is walked at a pace of its own, so that all combinations turn up.
-PACE = {name: 1 + 2 * i for i, name in enumerate(PICKS)}
+#: Each list is walked at an odd pace of its own that shares no factor with its length, so that all of it turns up.
+PACE = {name: next(p for p in range(1 + 2 * i, 99, 2) if gcd(p, len(values)) == 1) for i, (name, values) in enumerate(PICKS.items())}
 
 
 def _pick(name: str, key: Column) -> Column:

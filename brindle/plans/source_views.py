@@ -250,7 +250,7 @@ def metrics_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "calendar_text",
-    "SELECT o_orderkey AS id, md5('BEGIN:VEVENT' || e || 'UID:' || o_orderkey || e || 'DTSTART:' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || e || 'SUMMARY:' || replace(o_orderpriority, '-', '\\,') || '\; due' || e || 'END:VEVENT') AS digest FROM orders, (SELECT chr(13) || chr(10) AS e)",
+    "SELECT o_orderkey AS id, md5('BEGIN:VEVENT' || e || 'UID:' || o_orderkey || e || 'DTSTART:' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || e || 'SUMMARY:' || replace(o_orderpriority, '-', '\\,') || '\\; due' || e || 'END:VEVENT') AS digest FROM orders, (SELECT chr(13) || chr(10) AS e)",
 )
 def calendar_text(spark: SparkSession, d: str) -> DataFrame:
     """Due orders as calendar events; commas and semicolons are escaped."""
