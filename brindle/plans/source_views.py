@@ -16,16 +16,44 @@ from brindle.session import shared_dir, table, written_files
 from brindle.sources import boards, files
 
 PAGE = 50
-ID, TITLE, PLACE, BODY = F.col("posting_id"), F.col("title"), F.col("location"), F.col("body")
-HTML = F.concat(F.lit("<div>"), F.replace(BODY, F.lit("\n"), F.lit("<br>")), F.lit("</div><!-- end -->"))
-#: Every posting dates from a day of its own within 400 days.
-DAY = F.date_add(F.lit("2024-01-01").cast("date"), (ID % 400).cast("int"))
-REMOTE = F.array(F.struct(F.lit("Remote").alias("name")))
+
+
+def _id() -> Column:
+    return F.col("posting_id")
+
+
+def _key() -> Column:
+    return _id().cast("string")
+
+
+def _title() -> Column:
+    return F.col("title")
+
+
+def _place() -> Column:
+    return F.col("location")
+
+
+def _body() -> Column:
+    return F.col("body")
+
+
+def _html() -> Column:
+    return F.concat(F.lit("<div>"), F.replace(_body(), F.lit("\n"), F.lit("<br>")), F.lit("</div><!-- end -->"))
+
+
+def _day() -> Column:
+    """Every posting dates from a day of its own within 400 days."""
+    return F.date_add(F.lit("2024-01-01").cast("date"), (_id() % 400).cast("int"))
+
+
+def _remote() -> Column:
+    return F.array(F.struct(F.lit("Remote").alias("name")))
 
 
 def _pages(spark: SparkSession, d: str, job: Column, wrap) -> DataFrame:
     """company, body: a page of jobs as JSON, wrapped as a board wraps it."""
-    p = postings(spark, d).withColumn("page", F.floor(ID / PAGE)).select("company", "page", job.alias("job"))
+    p = postings(spark, d).withColumn("page", F.floor(_id() / PAGE)).select("company", "page", job.alias("job"))
     g = p.groupBy("company", "page").agg(F.sort_array(F.collect_list("job")).alias("jobs"))
     return g.select("company", wrap(F.col("jobs")).alias("body"))
 
@@ -46,20 +74,24 @@ def _millis(day: Column) -> Column:
     return F.unix_timestamp(day.cast("timestamp")) * 1000
 
 
-_KEY = ID.cast("string")
-#: reader, a job as the board writes it, how a page wraps its jobs, what it tells: more places, body, date
-SHAPES = {
-    "greenhouse": (boards.greenhouse, _fields(id=ID, title=TITLE, location=F.struct(PLACE.alias("name")), content=HTML, first_published=_text(DAY)), _under("jobs"), "bd"),
-    "lever": (boards.lever, _fields(id=_KEY, text=TITLE, categories=F.struct(PLACE.alias("location"), F.array(F.lit("Remote")).alias("allLocations")), description=HTML, createdAt=_millis(DAY)), F.to_json, "mbd"),
-    "ashby": (boards.ashby, _fields(id=_KEY, title=TITLE, location=PLACE, secondaryLocations=F.array(F.struct(F.lit("Remote").alias("location"))), descriptionHtml=HTML, publishedAt=_text(DAY)), _under("jobs"), "mbd"),
-    "workable": (boards.workable, _fields(shortcode=_KEY, title=TITLE, city=PLACE, description=HTML, published_on=_text(DAY)), _under("jobs"), "bd"),
-    "breezy": (boards.breezy, _fields(id=_KEY, name=TITLE, location=F.struct(PLACE.alias("name")), locations=REMOTE, published_date=_text(DAY)), F.to_json, "md"),
-    "oracle": (boards.oracle, _fields(Id=_KEY, Title=TITLE, PostedDate=_text(DAY), PrimaryLocation=PLACE, secondaryLocations=F.array(F.struct(F.lit("Remote").alias("Name")))), lambda jobs: F.to_json(F.struct(F.array(F.struct(F.size(jobs).alias("TotalJobsCount"), jobs.alias("requisitionList"))).alias("items"))), "md"),
-    "icims": (boards.icims, _fields(data=F.struct(_KEY.alias("req_id"), TITLE.alias("title"), HTML.alias("description"), PLACE.alias("full_location"), _text(DAY).alias("posted_date"))), _under("jobs"), "bd"),
-    "remotive": (boards.remotive, _fields(id=ID, title=TITLE, company_name=F.col("company"), candidate_required_location=PLACE, description=HTML, publication_date=_text(DAY)), _under("jobs"), "bd"),
-    "arbeitnow": (boards.arbeitnow, _fields(slug=_KEY, title=TITLE, company_name=F.col("company"), location=PLACE, description=HTML, created_at=F.unix_timestamp(DAY.cast("timestamp"))), _under("data"), "bd"),
-    "remoteok": (boards.remoteok, _fields(id=_KEY, position=TITLE, company=F.col("company"), location=PLACE, description=HTML), lambda jobs: F.concat(F.lit('[{"legal":"terms"},'), F.substring(F.to_json(jobs), 2, 2**30)), "b"),
-}
+#: What a board tells beside title and place: more places, body, date.
+TELLS = {"greenhouse": "bd", "lever": "mbd", "ashby": "mbd", "workable": "bd", "breezy": "md", "oracle": "md", "icims": "bd", "remotive": "bd", "arbeitnow": "bd", "remoteok": "b"}
+
+
+def _shapes() -> dict:
+    """Each board's reader, a job as it writes it, and how a page wraps its jobs."""
+    return {
+        "greenhouse": (boards.greenhouse, _fields(id=_id(), title=_title(), location=F.struct(_place().alias("name")), content=_html(), first_published=_text(_day())), _under("jobs")),
+        "lever": (boards.lever, _fields(id=_key(), text=_title(), categories=F.struct(_place().alias("location"), F.array(F.lit("Remote")).alias("allLocations")), description=_html(), createdAt=_millis(_day())), F.to_json),
+        "ashby": (boards.ashby, _fields(id=_key(), title=_title(), location=_place(), secondaryLocations=F.array(F.struct(F.lit("Remote").alias("location"))), descriptionHtml=_html(), publishedAt=_text(_day())), _under("jobs")),
+        "workable": (boards.workable, _fields(shortcode=_key(), title=_title(), city=_place(), description=_html(), published_on=_text(_day())), _under("jobs")),
+        "breezy": (boards.breezy, _fields(id=_key(), name=_title(), location=F.struct(_place().alias("name")), locations=_remote(), published_date=_text(_day())), F.to_json),
+        "oracle": (boards.oracle, _fields(Id=_key(), Title=_title(), PostedDate=_text(_day()), PrimaryLocation=_place(), secondaryLocations=F.array(F.struct(F.lit("Remote").alias("Name")))), lambda jobs: F.to_json(F.struct(F.array(F.struct(F.size(jobs).alias("TotalJobsCount"), jobs.alias("requisitionList"))).alias("items")))),
+        "icims": (boards.icims, _fields(data=F.struct(_key().alias("req_id"), _title().alias("title"), _html().alias("description"), _place().alias("full_location"), _text(_day()).alias("posted_date"))), _under("jobs")),
+        "remotive": (boards.remotive, _fields(id=_id(), title=_title(), company_name=F.col("company"), candidate_required_location=_place(), description=_html(), publication_date=_text(_day())), _under("jobs")),
+        "arbeitnow": (boards.arbeitnow, _fields(slug=_key(), title=_title(), company_name=F.col("company"), location=_place(), description=_html(), created_at=F.unix_timestamp(_day().cast("timestamp"))), _under("data")),
+        "remoteok": (boards.remoteok, _fields(id=_key(), position=_title(), company=F.col("company"), location=_place(), description=_html()), lambda jobs: F.concat(F.lit('[{"legal":"terms"},'), F.substring(F.to_json(jobs), 2, 2**30))),
+    }
 
 
 def _sql(tells: str) -> str:
@@ -70,29 +102,30 @@ def _sql(tells: str) -> str:
 
 
 def _board(name: str) -> None:
-    reader, job, wrap, tells = SHAPES[name]
-
-    @query(f"board_{name}", _sql(tells))
+    @query(f"board_{name}", _sql(TELLS[name]))
     def run(spark: SparkSession, d: str) -> DataFrame:
+        reader, job, wrap = _shapes()[name]
         got = reader(_pages(spark, d, job, wrap))
         return got.select("company", "external_id", "title", "location", "body", _text(F.col("published_at")).alias("published"))
 
 
-for _name in SHAPES:
+for _name in TELLS:
     _board(_name)
 
 
 # ------------------------------------------------- paged boards
 
-_POSTED = F.when(ID % 3 == 0, "Posted Today").when(ID % 3 == 1, F.concat(F.lit("Posted "), (ID % 30).cast("string"), F.lit(" Days Ago"))).otherwise("Posted 30+ Days Ago")
+def _posted() -> Column:
+    return F.when(_id() % 3 == 0, "Posted Today").when(_id() % 3 == 1, F.concat(F.lit("Posted "), (_id() % 30).cast("string"), F.lit(" Days Ago"))).otherwise("Posted 30+ Days Ago")
+
 
 
 def _workday_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages that repeat their first job on a page of its own; every page says how many jobs the company has."""
     p = postings(spark, d)
     total = p.groupBy("company").agg(F.count("*").alias("total"))
-    job = _fields(externalPath=F.concat(F.lit("/job/"), _KEY), title=TITLE, locationsText=PLACE, postedOn=_POSTED)
-    g = p.withColumn("page", F.floor(ID / PAGE)).groupBy("company", "page").agg(F.sort_array(F.collect_list(job)).alias("jobs")).join(total, "company")
+    job = _fields(externalPath=F.concat(F.lit("/job/"), _key()), title=_title(), locationsText=_place(), postedOn=_posted())
+    g = p.withColumn("page", F.floor(_id() / PAGE)).groupBy("company", "page").agg(F.sort_array(F.collect_list(job)).alias("jobs")).join(total, "company")
     one = F.array(F.col("jobs"), F.slice("jobs", 1, 1))
     return g.select("company", "page", "total", F.explode(one).alias("jobPostings")).select("company", "page", F.to_json(F.struct("total", "jobPostings")).alias("body"))
 
@@ -114,10 +147,10 @@ def incomplete_boards(spark: SparkSession, d: str) -> DataFrame:
 
 def _rippling_pages(spark: SparkSession, d: str) -> DataFrame:
     """A job stands in a page once for each place of two."""
-    kind = F.when(ID % 2 == 0, "REMOTE").otherwise("ON_SITE")
-    rows = F.explode(F.array(F.struct(PLACE.alias("name"), kind.alias("workplaceType")), F.struct(F.lit("Lyon").alias("name"), F.lit("ON_SITE").alias("workplaceType"))))
-    p = postings(spark, d).withColumn("page", F.floor(ID / PAGE)).select("company", "page", ID, TITLE, rows.alias("l"))
-    item = F.struct(_KEY.alias("id"), TITLE.alias("name"), F.array("l").alias("locations"))
+    kind = F.when(_id() % 2 == 0, "REMOTE").otherwise("ON_SITE")
+    rows = F.explode(F.array(F.struct(_place().alias("name"), kind.alias("workplaceType")), F.struct(F.lit("Lyon").alias("name"), F.lit("ON_SITE").alias("workplaceType"))))
+    p = postings(spark, d).withColumn("page", F.floor(_id() / PAGE)).select("company", "page", _id(), _title(), rows.alias("l"))
+    item = F.struct(_key().alias("id"), _title().alias("name"), F.array("l").alias("locations"))
     g = p.groupBy("company", "page").agg(F.sort_array(F.collect_list(item)).alias("items"))
     data = F.struct(F.struct(F.size("items").alias("totalItems"), F.col("items")).alias("data"))
     asked = F.struct(F.array(F.lit("board"), F.lit("x"), F.lit("job-posts")).alias("queryKey"), data.alias("state"))
@@ -137,9 +170,9 @@ def board_rippling(spark: SparkSession, d: str) -> DataFrame:
 @query("json_ld_jobs", f"WITH {POSTINGS} SELECT posting_id, title, nullif(trim(location), '') AS location FROM p WHERE posting_id % 5 <> 4")
 def json_ld_jobs(spark: SparkSession, d: str) -> DataFrame:
     """schema.org postings at several depths; every fifth page's block is broken."""
-    job = F.struct(F.lit("JobPosting").alias("@type"), TITLE.alias("title"), F.struct(PLACE.alias("name")).alias("jobLocation"))
+    job = F.struct(F.lit("JobPosting").alias("@type"), _title().alias("title"), F.struct(_place().alias("name")).alias("jobLocation"))
     plain, graph, item = F.to_json(job), F.to_json(F.struct(F.array(job).alias("@graph"))), F.to_json(F.struct(F.array(F.struct(job.alias("item"))).alias("itemListElement")))
-    k = ID % 5
+    k = _id() % 5
     text = F.when(k == 0, plain).when(k == 1, graph).when(k == 2, item).when(k == 3, F.concat(F.lit("["), plain, F.lit("]"))).otherwise(F.lit('{"@type": '))
     pages = postings(spark, d).select("posting_id", F.concat(F.lit("<p><script type='application/ld+json'>"), text, F.lit("</script>")).alias("html"))
     got = boards.json_ld_postings(pages)
@@ -149,9 +182,9 @@ def json_ld_jobs(spark: SparkSession, d: str) -> DataFrame:
 @query("breezy_details", f"WITH {POSTINGS} SELECT posting_id::VARCHAR AS external_id, CASE WHEN posting_id % 3 <> 0 THEN trim(regexp_replace(body, '\\n+', chr(10), 'g'), chr(10)) END AS body FROM p")
 def breezy_details(spark: SparkSession, d: str) -> DataFrame:
     """A listed posting takes its text from its own page; two of three pages are there."""
-    _, job, wrap, _ = SHAPES["breezy"]
-    block = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.replace(HTML, F.lit("<!-- end -->"), F.lit("")).alias("description")))
-    own = postings(spark, d).where(ID % 3 != 0).select("company", _KEY.alias("external_id"), F.concat(F.lit('<script type="application/ld+json">'), block, F.lit("</script>")).alias("html"))
+    _, job, wrap = _shapes()["breezy"]
+    block = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.replace(_html(), F.lit("<!-- end -->"), F.lit("")).alias("description")))
+    own = postings(spark, d).where(_id() % 3 != 0).select("company", _key().alias("external_id"), F.concat(F.lit('<script type="application/ld+json">'), block, F.lit("</script>")).alias("html"))
     return boards.breezy(_pages(spark, d, job, wrap), details=own).select("external_id", "body")
 
 
@@ -184,8 +217,8 @@ def company_sheet(spark: SparkSession, d: str) -> DataFrame:
 )
 def posting_export(spark: SparkSession, d: str) -> DataFrame:
     """Every posting with its derived columns as CSV, several lines in a field, read back."""
-    kind = F.when(PLACE == "", "unknown").when(F.lower(PLACE).contains("remote"), "remote").otherwise("placed")
-    out = postings(spark, d).select("posting_id", "title", "body", F.array(ID, F.col("size").cast("long")).alias("vector"), kind.alias("kind"), _text(F.date_add(DAY, 60)).alias("expires"), (ID % 400 + 60 < 200).alias("expired"))
+    kind = F.when(_place() == "", "unknown").when(F.lower(_place()).contains("remote"), "remote").otherwise("placed")
+    out = postings(spark, d).select("posting_id", "title", "body", F.array(_id(), F.col("size").cast("long")).alias("vector"), kind.alias("kind"), _text(F.date_add(_day(), 60)).alias("expires"), (_id() % 400 + 60 < 200).alias("expired"))
     path = written_files(_folder(spark, "export"), lambda p: files.write_csv(out, p))
     return spark.read.csv(path, header=True, multiLine=True, escape='"', schema="posting_id long, title string, body string, vector string, kind string, expires string, expired boolean")
 
