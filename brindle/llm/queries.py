@@ -16,6 +16,7 @@ _ALL = (
     ("op8_language", "language", "op8", None),
     ("op9_suffix_dedup", "suffixes", "op9", None),
     ("op10_mixing", "mixing", "op10", "OP10_SQL"),
+    ("op11_runs", "runs", "op11", None),
 )
 
 

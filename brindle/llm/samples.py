@@ -22,6 +22,21 @@ def unused(name: str, taken: list[str]) -> str:
     return name
 
 
+def kept_as(keep: tuple[str, ...]) -> list[Column]:
+    """Kept columns under the names _k0, _k1, ...: mapInArrow takes no dotted names, and results cannot clash with these."""
+    return [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keep)]
+
+
+def kept_schema(rows: DataFrame, keep: tuple[str, ...]) -> str:
+    """Schema text of kept_as, each type with a comma behind."""
+    return "".join(f"_k{i} {rows.schema[f'_k{i}'].dataType.simpleString()}, " for i in range(len(keep)))
+
+
+def named_back(df: DataFrame, keep: tuple[str, ...], results: tuple[str, ...]) -> DataFrame:
+    """kept_as columns under their own names, then the results; a result whose name is kept gets an underscore more."""
+    return df.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)], *[F.col(r).alias(unused(r, list(keep))) for r in results])
+
+
 def thinned(rows: DataFrame, key: str, most: int) -> DataFrame:
     """About `most` of rows by a hash of their key under a threshold that follows from their count: no sort, the same rows on every run."""
     n = rows.count()
