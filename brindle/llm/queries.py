@@ -17,6 +17,8 @@ _ALL = (
     ("op9_suffix_dedup", "suffixes", "op9", None),
     ("op10_mixing", "mixing", "op10", "OP10_SQL"),
     ("op11_runs", "runs", "op11", None),
+    ("op12_rules", "rules", "op12", None),
+    ("op13_repair", "repair", "op13", None),
 )
 
 
