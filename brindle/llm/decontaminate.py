@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm.samples import unused
 from brindle.session import small_enough, table, written
 
 WINDOW = 8
@@ -209,11 +210,12 @@ def contaminated(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without those that hold a benchmark item; rows without a doc_id stay."""
-    bad = contaminated(docs, benchmark, **how).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_bad")).distinct()
+    """docs without those that hold a benchmark item; rows without a doc_id stay, and all columns, whatever their names."""
+    name = unused("_bad", docs.columns)
+    bad = contaminated(docs, benchmark, **how).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(name)).distinct()
     bad = written(bad, "contaminated")
     # beyond the checked size, documents are dealt out by doc_id once
-    return docs.join(F.broadcast(bad) if small_enough(bad, MOST_BROADCAST) else bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    return docs.join(F.broadcast(bad) if small_enough(bad, MOST_BROADCAST) else bad, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

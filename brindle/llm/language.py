@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import crf
 from brindle.llm.buffers import byte_slices, segment_sums
-from brindle.llm.samples import bounded, fold_of, thinned
+from brindle.llm.samples import bounded, fold_of, kept_as, kept_schema, named_back, thinned
 from brindle.session import table
 
 #: Documents, and bytes of their texts, that a field is fitted on.
@@ -213,9 +213,11 @@ def identify(docs: DataFrame, field: WordField, keep: tuple[str, ...] = ("doc_id
     """docs -> kept columns, lang_pred, score (its probability) of every whole text.
 
     Null texts and texts without a letter are `und` with score 0. Every row
-    gives one row; other columns are ignored.
+    gives one row, repeated rows and rows without an id too; an empty table
+    gives an empty one. Other columns are ignored; a kept column may have any
+    name, and a result of that name gets an underscore more.
     """
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    rows = docs.select(*kept_as(keep), F.col("text").alias("_text"))
 
     def run(batches):
         names = np.array([*field.langs, UNKNOWN], object)
@@ -235,10 +237,10 @@ def identify(docs: DataFrame, field: WordField, keep: tuple[str, ...] = ("doc_id
                 score.append(np.where(has, share.max(axis=1) if share.shape[1] else 0.0, 0.0))
             pred = np.concatenate(pred) if pred else np.zeros(0, int)
             score = np.concatenate(score) if score else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(names[pred].tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[pred].tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    kept = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    out = rows.mapInArrow(run, f"{kept_schema(rows, keep)}lang_pred string, score double")
+    return named_back(out, keep, ("lang_pred", "score"))
 
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> WordField:

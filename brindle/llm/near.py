@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.llm.samples import unused
 from brindle.operators.dedup import components as connected_components
 from brindle.session import small_enough, written
 
@@ -330,10 +331,11 @@ def one_of_each(docs: DataFrame, text_col: str = "text", width: int = WIDTH, sim
     named = found.where(F.col("doc_id").isNotNull())
     per_id = named.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count("*").alias("n"))
     per_id = written(per_id, "decisions")
-    gone = per_id.where("first = 0").select(F.col("doc_id").alias("_gone"))
+    name = unused("_gone", docs.columns)
+    gone = per_id.where("first = 0").select(F.col("doc_id").alias(name))
     # beyond the checked size, documents are dealt out by doc_id once
-    kept = docs.join(_broadcast_if_few(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = docs.join(_broadcast_if_few(gone), F.col("doc_id") == F.col(name), "left_anti")
     if per_id.where("n > 1").isEmpty():
         return kept
     again = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", text_col])
-    return again.unionByName(kept.where(F.col("doc_id").isNull()))
+    return again.union(kept.where(F.col("doc_id").isNull()))

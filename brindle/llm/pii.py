@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.samples import bounded, thinned
+from brindle.llm.samples import bounded, kept_as, named_back, thinned
 from brindle.session import table
 
 #: Documents, and bytes of their texts, that the trees are fitted on, and planted texts beside them.
@@ -394,17 +394,22 @@ def all_spans(text: Column, base: Column, trees: Trees | None) -> Column:
     return F.array_sort(F.concat(base, more))
 
 
+def _found(docs: DataFrame, trees: Trees | None, keep: tuple[str, ...], text_col: str) -> DataFrame:
+    """Kept columns as kept_as names them, _pii_text, _pii_base, _pii_spans."""
+    rows = docs.select(*kept_as(keep), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_pii_text"))
+    t, kept = F.col("_pii_text"), [f"_k{i}" for i in range(len(keep))]
+    both = let(base_spans(t), lambda b: F.struct(b.alias("base"), F.when(t.rlike(r"[0-9@]|[\[(]at[\])]"), all_spans(t, b, trees)).otherwise(b).alias("spans")))
+    return rows.withColumn("_pii", both).select(*kept, "_pii_text", F.col("_pii.base").alias("_pii_base"), F.col("_pii.spans").alias("_pii_spans"))
+
+
 def find_pii(docs: DataFrame, trees: Trees | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """docs -> kept columns, _pii_text, _pii_base and _pii_spans (arrays of start, end, kind number, value).
 
     Every row gives one row; null texts are empty and have no span. Nothing is
-    shuffled. Other columns pass if named in keep.
+    shuffled. Other columns pass if named in keep; where a kept column has a
+    result's name, the result's name gets an underscore more.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*[F.col(k) for k in keep], text.alias("_pii_text"))
-    t = F.col("_pii_text")
-    both = let(base_spans(t), lambda b: F.struct(b.alias("base"), F.when(t.rlike(r"[0-9@]|[\[(]at[\])]"), all_spans(t, b, trees)).otherwise(b).alias("spans")))
-    return rows.withColumn("_pii", both).select(*[F.col(k) for k in keep], "_pii_text", F.col("_pii.base").alias("_pii_base"), F.col("_pii.spans").alias("_pii_spans"))
+    return named_back(_found(docs, trees, keep, text_col), keep, ("_pii_text", "_pii_base", "_pii_spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -438,13 +443,15 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def without_pii(docs: DataFrame, trees: Trees | None) -> DataFrame:
-    """docs with personal data in texts replaced, and n_chars (if there) counted anew; null texts stay null."""
-    found = find_pii(docs, trees, tuple(docs.columns))
-    text = F.when(F.col("text").isNotNull(), redacted(F.col("_pii_text"), F.col("_pii_spans")))
-    found = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    """docs with personal data in texts replaced, and n_chars (if there) counted anew; null texts stay null, other columns as they are, whatever their names."""
+    own = {k: F.col(f"_k{i}") for i, k in enumerate(docs.columns)}
+    found = _found(docs, trees, tuple(docs.columns), "text")
+    text = F.when(own["text"].isNotNull(), redacted(F.col("_pii_text"), F.col("_pii_spans")))
+    found = found.withColumn("_new", text)
+    own["text"] = F.col("_new")
+    if "n_chars" in own:
+        own["n_chars"] = F.length("_new").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[c.alias(k) for k, c in own.items()])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

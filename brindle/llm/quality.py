@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm import crf
 from brindle.llm.buffers import byte_slices, segment_sums, words_of
-from brindle.llm.samples import fold_of, labelled_texts
+from brindle.llm.samples import fold_of, kept_as, kept_schema, labelled_texts, named_back
 from brindle.session import table
 
 #: Labelled documents, and bytes of their texts, that a field is fitted on.
@@ -143,18 +143,18 @@ def score_quality(docs: DataFrame, field: LineField, keep: tuple[str, ...] = ("d
     Null texts, empty texts and texts of newlines have no line and score the
     share of good documents in the fitting sample. Every row gives one row,
     repeated rows too; an empty table gives an empty one. Columns that are not
-    kept are ignored, whatever their names.
+    kept are ignored, whatever their names; if one is kept that is named score,
+    the result is score_.
     """
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    rows = docs.select(*kept_as(keep), F.col("text").alias("_text"))
 
     def run(batches):
         for batch in batches:
             out = [field.score(buf, offs) for _, _, buf, offs in byte_slices(batch, "_text")]
             score = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(score)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], "score"])
 
-    kept = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(run, f"{kept}, score double")
+    return named_back(rows.mapInArrow(run, f"{kept_schema(rows, keep)}score double"), keep, ("score",))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField:

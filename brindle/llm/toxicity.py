@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.samples import fold_of, labelled_texts, unused
+from brindle.llm.samples import fold_of, kept_as, kept_schema, labelled_texts, named_back, unused
 from brindle.session import table
 
 #: Labelled documents, and bytes of their texts, that a lexicon is fitted on.
@@ -153,20 +153,19 @@ def score_texts(docs: DataFrame, lex: Lexicon, keep: tuple[str, ...] = ("doc_id"
     one. Columns that are not kept are ignored. Where a kept column has the
     name of a result, the result's name gets an underscore more.
     """
-    weight_name, score_name, text_name = unused("tox_weight", keep), unused("tox_score", keep), unused("_text", keep)
-    rows = docs.select(*[F.col(f"`{k}`") for k in keep], F.col("text").alias(text_name))
+    rows = docs.select(*kept_as(keep), F.col("text").alias("_text"))
 
     def run(batches):
         auto = lex.automaton()
         for batch in batches:
-            texts = batch.column(text_name).to_pylist()
+            texts = batch.column("_text").to_pylist()
             weight = np.array([found(fold(t), auto) if t else 0.0 for t in texts], float)
             words = np.array([len(t.split()) if t and w else 1 for t, w in zip(texts, weight)], float)
             score = 1 / (1 + np.exp(-_shape(weight, words) @ np.array([lex.bias, lex.total, lex.density]))) if len(texts) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(weight), pa.array(score)], names=[*keep, weight_name, score_name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weight), pa.array(score)], names=[*batch.schema.names[:-1], "tox_weight", "tox_score"])
 
-    kept = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keep)
-    return rows.mapInArrow(run, f"{kept}`{weight_name}` double, `{score_name}` double")
+    out = rows.mapInArrow(run, f"{kept_schema(rows, keep)}tox_weight double, tox_score double")
+    return named_back(out, keep, ("tox_weight", "tox_score"))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
@@ -177,7 +176,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
 def without_toxic(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """docs without the rows whose score reaches the threshold; all columns stay, whatever their names."""
     score = unused("tox_score", docs.columns)
-    return score_texts(docs, lex, tuple(docs.columns)).where(F.col(score) < THRESHOLD).select(*[F.col(f"`{k}`") for k in docs.columns])
+    return score_texts(docs, lex, tuple(docs.columns)).where(F.col(f"`{score}`") < THRESHOLD).select(*[F.col(f"`{k}`") for k in docs.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
