@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators.metrics import spearman
-from brindle.operators.vectors import best_per_group, cosine_topk, recall_at_k, signbit_shortlist, two_stage_topk
+from brindle.operators.vectors import best_per_group, bounded_topk, cosine_topk, recall_at_k, shortlist_size, signbit_shortlist, two_stage_topk
 from brindle.plans.registry import query
 from brindle.session import table
 
 #: Every row whose id is divisible by this asks, against all rows.
 EVERY, K = 50, 10
-SHORT = max(2000, 4 * K)
+_SHORT = f"(SELECT greatest({4 * K}, ceil(3.2::DOUBLE * pow(count(*), 2.0::DOUBLE / 3))) FROM embeddings)"
 _PAIRS = f"p AS (SELECT a.vec_id AS query, b.vec_id AS id, a.label AS la, b.label AS lb, a.embedding AS ea, b.embedding AS eb FROM embeddings a JOIN embeddings b ON a.vec_id % {EVERY} = 0 AND a.vec_id <> b.vec_id)"
 _SCORE = "round(greatest(0, least(1, list_cosine_similarity(ea::DOUBLE[], eb::DOUBLE[]))), 6)"
 _TOP = f"SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT query, id, la, lb, {_SCORE} AS score FROM p)"
@@ -34,23 +34,29 @@ def topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return cosine_topk(*_sides(spark, d), K, tag="label").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("signbit_shortlist", f"WITH {_PAIRS} SELECT query, id, distance::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rn FROM (SELECT query, id, {_HAMMING} AS distance FROM p)) WHERE rn <= {SHORT}")
+@query("signbit_shortlist", f"WITH {_PAIRS} SELECT query, id, distance::INT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rn FROM (SELECT query, id, {_HAMMING} AS distance FROM p)) WHERE rn <= {_SHORT}")
 def shortlist(spark: SparkSession, d: str) -> DataFrame:
-    return signbit_shortlist(*_sides(spark, d), SHORT)
+    q, v = _sides(spark, d)
+    return signbit_shortlist(q, v, shortlist_size(v.count(), K))
 
 
-_STAGED = f"h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rn FROM (SELECT *, {_HAMMING} AS distance FROM p)) WHERE rn <= {SHORT}), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT query, id, {_SCORE} AS score FROM h))"
+_STAGED = f"h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rn FROM (SELECT *, {_HAMMING} AS distance FROM p)) WHERE rn <= {_SHORT}), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT query, id, {_SCORE} AS score FROM h))"
 
 
 @query("two_stage_topk", f"WITH {_PAIRS}, {_STAGED} SELECT query, id, score, rank FROM t WHERE rank <= {K}")
 def staged(spark: SparkSession, d: str) -> DataFrame:
-    return two_stage_topk(*_sides(spark, d), K, SHORT).withColumn("rank", F.col("rank").cast("long"))
+    return two_stage_topk(*_sides(spark, d), K).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("bounded_topk", f"WITH {_PAIRS} SELECT query, id, score, rank FROM ({_TOP}) WHERE rank <= {K}")
+def bounded(spark: SparkSession, d: str) -> DataFrame:
+    return bounded_topk(*_sides(spark, d), K).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("signbit_recall10", f"WITH {_PAIRS}, {_STAGED}, e AS (SELECT query, id FROM ({_TOP}) WHERE rank <= {K}) SELECT round(count(t.id)::DOUBLE / count(*), 6) AS recall FROM e LEFT JOIN (SELECT * FROM t WHERE rank <= {K}) t ON e.query = t.query AND e.id = t.id")
 def recall10(spark: SparkSession, d: str) -> DataFrame:
     q, v = _sides(spark, d)
-    return recall_at_k(two_stage_topk(q, v, K, SHORT), cosine_topk(q, v, K)).select(F.round("recall", 6).alias("recall"))
+    return recall_at_k(two_stage_topk(q, v, K), cosine_topk(q, v, K)).select(F.round("recall", 6).alias("recall"))
 
 
 @query("best_chunk_per_doc", f"WITH {_PAIRS} SELECT query, lb::BIGINT AS label, id, score FROM (SELECT query, lb, id, score, row_number() OVER (PARTITION BY query, lb ORDER BY score DESC, id) AS rn FROM ({_TOP})) WHERE rn = 1")
