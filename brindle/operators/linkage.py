@@ -1,11 +1,7 @@
-"""Names in free text, evidence that a board is a company's own, and differences between two texts."""
+"""Names in free text, and evidence that a board is a company's own."""
 
 from __future__ import annotations
 
-import difflib
-import html
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,34 +73,3 @@ def confirmed(candidates: DataFrame) -> DataFrame:
         .when((F.col("why") == "name") & _agrees(stem_of(domain), name), "website agrees with the name")
     )
     return candidates.withColumn("reason", reason)
-
-
-def _marked(old: str, new: str) -> str:
-    a, b, out = (old or "").split(), (new or "").split(), []
-    for tag, i, j, k, m in difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes():
-        gone, come = html.escape(" ".join(a[i:j])), html.escape(" ".join(b[k:m]))
-        out += [come] if tag == "equal" else [f"<{t}>{x}</{t}>" for t, x in (("del", gone), ("ins", come)) if x]
-    return " ".join(x for x in out if x)
-
-
-def word_diff(old: Column, new: Column) -> Column:
-    """Words of both texts in one, those that went in del and those that came in ins, escaped; null counts as empty."""
-
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_marked(x, y) for x, y in zip(a, b)])
-
-    return F.pandas_udf(run, "string")(old, new)
-
-
-def line_diff(old: Column, new: Column, context: int = 1) -> Column:
-    """A unified difference of lines; empty if the texts are equal."""
-
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), "old", "new", lineterm="", n=context)) for x, y in zip(a, b)])
-
-    return F.pandas_udf(run, "string")(old, new)
-
-
-def side_of(marked: Column, drop: str, keep: str) -> Column:
-    """One side of a word_diff: what `drop` marks is left out, what `keep` marks stays."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, f"<{drop}>[^<]*</{drop}>", ""), f"</?{keep}>", ""), " +", " "))

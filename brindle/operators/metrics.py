@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.ranking import average_ranks
+from brindle.session import written
 
 
 def ranking_metrics(judged: DataFrame, k: int = 10, by: str = "query") -> DataFrame:
@@ -106,18 +109,76 @@ def spearman(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return r.groupBy(*by).agg(F.corr("_ra", "_rb").alias("spearman"), F.count("*").alias("n"))
 
 
-def kendall_tau(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """Kendall's tau-b inside small groups, from pair counts of distinct (a, b) cells."""
-    c = pairs.groupBy(*by, a, b).agg(F.count("*").alias("n"))
-    left, right = c.select(*by, F.col(a).alias("a1"), F.col(b).alias("b1"), F.col("n").alias("n1")), c.select(*by, F.col(a).alias("a2"), F.col(b).alias("b2"), F.col("n").alias("n2"))
-    j = left.join(right, by)
-    sign = F.signum(F.col("a1") - F.col("a2")) * F.signum(F.col("b1") - F.col("b2"))
-    w = F.col("n1") * F.col("n2")
-    total = pairs.groupBy(*by).agg(F.count("*").alias("m"))
-    s = j.groupBy(*by).agg((F.sum(w * sign) / 2.0).alias("net"), F.sum(F.when(F.col("a1") == F.col("a2"), w).otherwise(0)).alias("ta"), F.sum(F.when(F.col("b1") == F.col("b2"), w).otherwise(0)).alias("tb"))
-    s = s.join(total, by)
-    pairs_n = F.col("m") * F.col("m")
-    return s.select(*by, F.try_divide(F.col("net"), F.sqrt((pairs_n - F.col("ta")) / 2.0 * ((pairs_n - F.col("tb")) / 2.0))).alias("kendall_tau"))
+#: Rows that one task counts inversions of, while there are so few.
+CHUNK = 200_000
+
+
+def _inversions(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> float:
+    """Weight of pairs with a rising and b falling: merge counting, all blocks of a level at once."""
+    order = np.lexsort((b, a))
+    b, n = b[order], n[order].astype(np.float64)
+    rising = np.argsort(b, kind="stable")
+    total, size = 0.0, 1
+    while size < len(b):
+        # pairs of neighbouring blocks, by b inside a pair
+        at = rising[np.argsort(rising // (2 * size), kind="stable")]
+        pair, left = at // (2 * size), (at // size) % 2 == 0
+        upto = np.cumsum(np.where(left, n[at], 0.0))
+        ends = np.r_[pair[1:] != pair[:-1], True]
+        alike_ends = ends | np.r_[b[at][1:] != b[at][:-1], True]
+        of_pair = np.flatnonzero(ends)[np.cumsum(np.r_[0, ends[:-1]])]
+        of_alike = np.flatnonzero(alike_ends)[np.cumsum(np.r_[0, alike_ends[:-1]])]
+        total += float((np.where(left, 0.0, n[at]) * (upto[of_pair] - upto[of_alike])).sum())
+        size *= 2
+    return total
+
+
+def inversions(cells: DataFrame, by: list[str], a: str, b: str, chunk: int = CHUNK) -> DataFrame:
+    """cells(by, a, b, n), each (a, b) once a group -> by, inversions: the weight of pairs of cells with a rising and b falling.
+
+    Cells are dealt into chunks of the order (a, b) and into buckets of the
+    order (b, a). A pair falls in one chunk, or in one bucket, or in neither;
+    pairs in neither are inversions of (chunk, bucket) counts, which are fewer
+    and are counted in the same way. Chunks and buckets are ranges over all
+    groups, so a large group, or many ties, are spread over tasks. n log n in all.
+    """
+    keys = [F.col(k) for k in by]
+    rows = cells.select(*by, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), F.col("n").cast("double").alias("n"))
+    shape = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in by)
+
+    def counted(rows: DataFrame, part: list[str]) -> DataFrame:
+        def run(x: pd.DataFrame) -> pd.DataFrame:
+            return x[by].iloc[:1].assign(d=_inversions(x["a"].to_numpy(), x["b"].to_numpy(), x["n"].to_numpy()))
+
+        return rows.groupBy(*by, *part).applyInPandas(run, f"{shape}, d double")
+
+    total = rows.count()
+    if total <= chunk:
+        parts = counted(rows, [])
+    else:
+        pieces = max(2, min(-(-total // chunk), int(total**0.5 / 4)))
+        rows = written(rows.repartitionByRange(pieces, *keys, "a", "b").withColumn("chunk", F.spark_partition_id()), "chunks")
+        rows = written(rows.repartitionByRange(pieces, *keys, "b", "a").withColumn("bucket", F.spark_partition_id()), "buckets")
+        inside = counted(rows, ["chunk"])
+        beside = counted(rows.select(*by, "bucket", F.col("chunk").cast("double").alias("a"), "b", "n"), ["bucket"])
+        far = written(rows.groupBy(*by, "chunk", "bucket").agg(F.sum("n").alias("n")), "far")
+        parts = inside.union(beside).union(inversions(far, by, "chunk", "bucket", chunk).withColumnRenamed("inversions", "d"))
+    return parts.groupBy(*by).agg(F.sum("d").alias("inversions"))
+
+
+def kendall_tau(pairs: DataFrame, by: list[str], a: str, b: str, chunk: int = CHUNK) -> DataFrame:
+    """Kendall's tau-b in each group, ties and all, from inversions of distinct (a, b) cells; null where a side has one value only.
+
+    Rows with a null on either side count for nothing.
+    """
+    c = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("n"))
+    c = written(c, "cells")
+    two = lambda name: F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias(name)
+    ties = lambda by_, name: c.groupBy(*by, by_).agg(F.sum("n").alias("n")).groupBy(*by).agg(two(name))
+    whole = c.groupBy(*by).agg((F.sum("n").cast("double") * (F.sum("n") - 1) / 2).alias("t"), two("tab"))
+    s = whole.join(ties("_a", "ta"), by).join(ties("_b", "tb"), by).join(inversions(c, by, "_a", "_b", chunk), by)
+    net = F.col("t") - F.col("ta") - F.col("tb") + F.col("tab") - 2 * F.col("inversions")
+    return s.select(*by, F.try_divide(net, F.sqrt(F.col("t") - F.col("ta")) * F.sqrt(F.col("t") - F.col("tb"))).alias("kendall_tau"))
 
 
 #: Distribution of a Poisson variable of mean 1: the chance of at most 0, 1, 2 ... draws.

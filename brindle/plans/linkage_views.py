@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import papers, readers, text
 from brindle.functions.vectors import halved
-from brindle.operators import linkage
+from brindle.operators import diff, linkage
 from brindle.plans.posting_views import _MENTIONS, POSTINGS, mentions, postings
 from brindle.plans.registry import query
 from brindle.session import table
@@ -182,12 +182,33 @@ def confirmed_boards(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------- differences, rounding, answers
 
 
-@query("turn_diffs")
-def turn_diffs(spark: SparkSession, d: str) -> DataFrame:
-    """How the words of each turn differ from the turn before; tests rebuild both sides from the difference."""
+def _turn_edits(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lag("text").over(w).alias("before")).where("before IS NOT NULL")
-    return t.select("conv_id", "turn", linkage.word_diff(F.col("before"), F.col("text")).alias("diff"))
+    return t.select("conv_id", "turn", diff.word_edits(F.col("before"), F.col("text")).alias("edits"))
+
+
+@query("turn_diffs")
+def turn_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """How the words of each turn differ from the turn before."""
+    return _turn_edits(spark, d).select("conv_id", "turn", diff.marked(F.col("edits")).alias("diff"))
+
+
+_SIDE = "regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "turn_diff_sides",
+    f"""WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, turn, len({_SIDE.format('before')})::BIGINT AS words_before, len({_SIDE.format('text')})::BIGINT AS words_after, sha256(array_to_string({_SIDE.format('before')}, ' ')) AS sha_before, sha256(array_to_string({_SIDE.format('text')}, ' ')) AS sha_after FROM t WHERE before IS NOT NULL""",
+)
+def turn_diff_sides(spark: SparkSession, d: str) -> DataFrame:
+    """Both sides of each turn's difference rebuilt from it, as digests."""
+    e, n = F.col("edits"), {k: diff.words_of(F.col("edits"), k) for k in (diff.KEPT, diff.GONE, diff.CAME)}
+    digest = lambda kind: F.sha2(diff.side(e, kind), 256)
+    return _turn_edits(spark, d).select(
+        "conv_id", "turn", (n[diff.KEPT] + n[diff.GONE]).alias("words_before"), (n[diff.KEPT] + n[diff.CAME]).alias("words_after"), digest(diff.GONE).alias("sha_before"), digest(diff.CAME).alias("sha_after"),
+    )
 
 
 @query(

@@ -1,5 +1,8 @@
 """Small cases of the reusable operators and column functions."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from brindle.functions.text import authorization, days_between, html_text, pay_range, tokens, years_demands
@@ -139,3 +142,22 @@ def test_topic_entropies_are_entropies(spark, sf):
 
     got = registry.queries()["topic_entropy"](spark, sf).collect()
     assert got and all(0 <= r.entropy <= math.log(8) + 1e-6 for r in got)
+
+
+def test_kendall_counts_inversions_in_chunks(spark):
+    """Ties on both sides, groups of one value, a group with most rows, and chunks far below a group, against all pairs."""
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(n), rng.choice([None, *range(m)])) for g, size, n, m in (("a", 300, 9, 40), ("b", 40, 40, 5), ("c", 10, 1, 3), ("d", 5, 9, 1), ("e", 1, 2, 2)) for _ in range(size)]
+    df = spark.createDataFrame(rows, "g string, x int, y int")
+    want = {}
+    for g in "abcde":
+        p = [(x, y) for k, x, y in rows if k == g and y is not None]
+        sign = lambda d: (d > 0) - (d < 0)
+        pairs = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for i, a in enumerate(p) for b in p[:i]]
+        size = math.sqrt(sum(x != 0 for x, _ in pairs) * sum(y != 0 for _, y in pairs))
+        if p:
+            want[g] = sum(x * y for x, y in pairs) / size if size else None
+    for chunk in (10, 60, 10_000):
+        got = {r.g: r.kendall_tau for r in metrics.kendall_tau(df, ["g"], "x", "y", chunk=chunk).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[g] == want[g] or math.isclose(got[g], want[g], abs_tol=1e-12) for g in want)

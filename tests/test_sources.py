@@ -1,11 +1,15 @@
 """Readers, résumés, linkage and differences on small and odd cases."""
 
+import html
+import random
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from brindle.functions import papers
 from brindle.functions.vectors import half
-from brindle.operators import linkage
+from brindle.operators import diff, linkage
 from brindle.sources import boards, files
 
 
@@ -95,12 +99,38 @@ def test_differences_rebuild_both_sides(spark):
     words = ["a", "b", "c", "d<e", "f&g"]
     text = lambda: " ".join(rng.choice(words, rng.integers(0, 12)))
     rows = [(text(), text()) for _ in range(200)] + [(None, "a"), ("a", None), (None, None), ("a b", "a b")]
-    d = spark.createDataFrame(rows, "old string, new string").select("old", "new", linkage.word_diff(F.col("old"), F.col("new")).alias("d"))
-    plain = lambda x: (x or "").replace("&", "&amp;").replace("<", "&lt;")
-    for r in d.select("*", linkage.side_of(F.col("d"), "ins", "del").alias("was"), linkage.side_of(F.col("d"), "del", "ins").alias("now")).collect():
-        assert (r.was, r.now) == (plain(r.old), plain(r.new))
-    assert one(spark, linkage.line_diff(F.lit("a\nb"), F.lit("a\nb"))) == ""
-    assert one(spark, linkage.line_diff(F.lit("a\nb"), F.lit("a\nc"))).split("\n")[-2:] == ["-b", "+c"]
+    d = spark.createDataFrame(rows, "old string, new string").select("old", "new", diff.word_edits(F.col("old"), F.col("new")).alias("e"))
+    for r in d.select("*", diff.side(F.col("e"), diff.GONE).alias("was"), diff.side(F.col("e"), diff.CAME).alias("now"), diff.marked(F.col("e")).alias("m")).collect():
+        assert (r.was, r.now) == (r.old or "", r.new or "")
+        plain = re.sub("<del>[^<]*</del>", "", r.m).replace("<ins>", "").replace("</ins>", "").split()
+        assert [html.unescape(x) for x in plain] == (r.new or "").split()
+    assert one(spark, diff.line_diff(F.lit("a\nb"), F.lit("a\nb"))) == ""
+    assert one(spark, diff.line_diff(F.lit("a\nb"), F.lit("a\nc"))).split("\n")[-2:] == ["-b", "+c"]
+    assert one(spark, diff.line_diff(F.lit("a\nb\nc\nd\ne\nf"), F.lit("x\nb\nc\nd\ne\ng\nf"))) == "@@ -1,2 +1,2 @@\n-a\n+x\n b\n@@ -5,2 +5,3 @@\n e\n+g\n f"
+
+
+def test_alignment_keeps_the_longest_run_of_words_that_stand_once():
+    rng = random.Random(8)
+    for _ in range(400):
+        a = rng.sample(range(12), rng.randrange(13))
+        b = rng.sample(range(14), rng.randrange(15))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = diff.aligned([str(x) for x in a], [str(y) for y in b])
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+
+
+def test_long_texts_are_aligned():
+    """A megabyte of words on each side, one in a thousand changed, and one of words that all repeat."""
+    rng = random.Random(1)
+    a = [f"w{rng.randrange(60_000)}" for _ in range(200_000)]
+    b = [w if rng.random() > 0.001 else "new" for w in a]
+    assert len(diff.aligned(a, b)) >= 0.99 * sum(x == y for x, y in zip(a, b))
+    few = [rng.choice("ab") for _ in range(200_000)]
+    assert len(diff.aligned(few, few[:100_000] + ["c"] + few[100_000:])) == 200_000
 
 
 def test_named_companies(spark):
