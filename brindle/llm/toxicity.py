@@ -153,16 +153,21 @@ def score_texts(docs: DataFrame, lex: Lexicon, keep: tuple[str, ...] = ("doc_id"
     one. Columns that are not kept are ignored. Where a kept column has the
     name of a result, the result's name gets an underscore more.
     """
-    rows = docs.select(*kept_as(keep), F.col("text").alias("_text"))
+    # a kept text goes to Python once, and is read one at a time there
+    rows = docs.select(*kept_as(keep), *([] if "text" in keep else [F.col("text").alias("_text")]))
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches):
         auto = lex.automaton()
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            weight = np.array([found(fold(t), auto) if t else 0.0 for t in texts], float)
-            words = np.array([len(t.split()) if t and w else 1 for t, w in zip(texts, weight)], float)
-            score = 1 / (1 + np.exp(-_shape(weight, words) @ np.array([lex.bias, lex.total, lex.density]))) if len(texts) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weight), pa.array(score)], names=[*batch.schema.names[:-1], "tox_weight", "tox_score"])
+            weight, words = np.zeros(batch.num_rows), np.ones(batch.num_rows)
+            for i, t in enumerate(batch.column(at)):
+                text = t.as_py()
+                weight[i] = found(fold(text), auto) if text else 0.0
+                if weight[i]:
+                    words[i] = len(text.split())
+            score = 1 / (1 + np.exp(-_shape(weight, words) @ np.array([lex.bias, lex.total, lex.density])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(weight), pa.array(score)], names=[*batch.schema.names[: len(keep)], "tox_weight", "tox_score"])
 
     out = rows.mapInArrow(run, f"{kept_schema(rows, keep)}tox_weight double, tox_score double")
     return named_back(out, keep, ("tox_weight", "tox_score"))
