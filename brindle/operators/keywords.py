@@ -128,23 +128,24 @@ def find_keywords(docs: DataFrame, key: str, fields: list[str], questions: DataF
     return in_context(index, hits)
 
 
-def top_passages(docs: DataFrame, key: str, text: str, questions: DataFrame, q_key: str, q_text: str) -> DataFrame:
-    """question, doc, held (different words of the question in the document), first, last: the shortest stretch of a document that holds all of them, the earliest of several.
-
-    The words that a document has of a question are taken in order of place; a
-    stretch is least if it ends at a hit and begins at the earliest of the last
-    places of all words so far. Those last places are running maxima, one for
-    each word, so two pointers walk the hits once.
+def top_passages(docs: DataFrame, key: str, text: str, pairs: DataFrame, terms: DataFrame) -> DataFrame:
+    """pairs(question, doc), terms(question, word) -> question, doc, held (different terms of the question in the document), first, last: the shortest stretch that holds all of them, the earliest of several.
+
+    The documents are those that a search has put in front, and the terms those
+    that it looked for, a few a question. Two pointers walk a document's hits
+    once: a stretch ends at a hit and begins at the earliest of the last places
+    of all terms so far, and these last places are running maxima. Pairs
+    without a hit give no row.
     """
-    index = positional_index(docs, key, [text])
-    words = parsed(questions, q_key, q_text).select("question", F.explode(F.array_distinct("words")).alias("word"))
-    hits = index.join(_few(words), "word").select("question", "doc", "word", "pos")
-    numbered = hits.withColumn("w", F.dense_rank().over(Window.partitionBy("question", "doc").orderBy("word")))
-    held = F.max("w").over(Window.partitionBy("question", "doc"))
-    # the last place of a word so far, for every word that is held: one row a hit and word
-    each = written(numbered.withColumn("held", held), "passage_hits")
-    lasts = each.select("question", "doc", "pos", "w", "held").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("held"))))
-    seen = F.max(F.when(F.col("w") == F.col("i"), F.col("pos"))).over(Window.partitionBy("question", "doc", "i").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    ends = lasts.withColumn("at", seen).groupBy("question", "doc", "held", "pos").agg(F.count("at").alias("n"), F.min("at").alias("first")).where("n = held")
+    asked = _few(pairs.select("question", "doc").distinct())
+    wanted = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(_few(pairs.select("doc").distinct()), "doc", "left_semi")
+    words = wanted.select("doc", F.posexplode(F.transform(said_words(F.col("text")), F.lower)).alias("pos", "word"))
+    hits = words.join(_few(terms.select("question", "word").distinct()), "word").join(asked, ["question", "doc"])
+    by_doc = Window.partitionBy("question", "doc")
+    hits = hits.withColumn("w", F.dense_rank().over(by_doc.orderBy("word"))).withColumn("held", F.max("w").over(by_doc))
+    each = hits.select("question", "doc", "pos", "w", "held", F.explode(F.sequence(F.lit(1), F.col("held"))).alias("i"))
+    so_far = Window.partitionBy("question", "doc", "i").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("at", F.max(F.when(F.col("w") == F.col("i"), F.col("pos"))).over(so_far))
+    ends = each.groupBy("question", "doc", "held", "pos").agg(F.count("at").alias("n"), F.min("at").alias("first")).where("n = held")
     best = ends.groupBy("question", "doc", "held").agg(F.min(F.struct((F.col("pos") - F.col("first")).alias("d"), "first", F.col("pos").alias("last"))).alias("b"))
     return best.select("question", "doc", F.col("held").cast("long").alias("held"), F.col("b.first").alias("first"), F.col("b.last").alias("last"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.keywords import find_keywords, said_words, top_passages
 from brindle.operators.vocabulary import runs, segmented, spans
 from brindle.plans.registry import query
-from brindle.session import table
+from brindle.session import small_enough, table, written
 
 _WORD = "'\\.?[A-Za-z0-9]+(?:\\.[A-Za-z0-9]+)*[+#]*'"
 #: Every document whose id is divisible by this asks: two words of its own that follow each other, or words of its beginning turned round.
@@ -59,17 +59,24 @@ def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "passage_windows",
-    f"""WITH q AS (SELECT item_id AS question, list_distinct(list_transform(regexp_extract_all(text, {_WORD}), lambda x: lower(x))) AS qw FROM benchmark WHERE item_id % 10 = 0),
+    f"""WITH q AS (SELECT item_id AS question, list_slice(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, {_WORD}), lambda x: lower(x)), lambda x: len(x) >= 6))), 1, 8) AS qw FROM benchmark),
 p AS (SELECT doc_id, lower(w) AS word, i - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, {_WORD}) AS ws FROM documents), LATERAL (SELECT unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i)),
-h AS (SELECT question, doc_id, word, pos FROM p JOIN (SELECT question, unnest(qw) AS word FROM q) USING (word)),
-k AS (SELECT question, doc_id, count(DISTINCT word) AS held FROM h GROUP BY 1, 2),
+h0 AS (SELECT question, doc_id, word, pos FROM p JOIN (SELECT question, unnest(qw) AS word FROM q) USING (word)),
+k AS (SELECT question, doc_id, count(DISTINCT word) AS held FROM h0 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY question ORDER BY held DESC, doc_id) <= 10),
+h AS (SELECT h0.* FROM h0 JOIN k USING (question, doc_id)),
 e AS (SELECT a.question, a.doc_id, a.pos AS last, min(z.at) AS first, count(*) AS n FROM h a, LATERAL (SELECT word, max(pos) AS at FROM h b WHERE b.question = a.question AND b.doc_id = a.doc_id AND b.pos <= a.pos GROUP BY 1) z GROUP BY 1, 2, 3)
 SELECT question, doc_id, held, first, last FROM e JOIN k USING (question, doc_id) WHERE n = held QUALIFY row_number() OVER (PARTITION BY question, doc_id ORDER BY last - first, first) = 1""",
 )
 def passage_windows(spark: SparkSession, d: str) -> DataFrame:
-    """The shortest stretch of every document that holds all words it shares with a benchmark item in ten."""
-    items = table(spark, d, "benchmark").where("item_id % 10 = 0")
-    got = top_passages(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "text").withColumnRenamed("doc", "doc_id")
+    """The shortest stretch that holds most of a benchmark item's longer words, in the ten documents that hold the most of them."""
+    words = lambda c: F.transform(said_words(F.col(c)), F.lower)
+    long = F.slice(F.array_sort(F.array_distinct(F.filter(words("text"), lambda x: F.length(x) >= 6))), 1, 8)
+    terms = table(spark, d, "benchmark").select(F.col("item_id").alias("question"), F.explode(long).alias("word"))
+    docs = table(spark, d, "documents")
+    held = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(words("text"))).alias("word")).join(F.broadcast(terms) if small_enough(terms, 100_000) else terms, "word")
+    counted = held.groupBy("question", "doc").agg(F.count("*").alias("n"))
+    best = counted.withColumn("rn", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("n"), "doc"))).where("rn <= 10")
+    got = top_passages(docs, "doc_id", "text", written(best.select("question", "doc"), "best"), terms).withColumnRenamed("doc", "doc_id")
     return got.select("question", "doc_id", "held", *[F.col(c).cast("long").alias(c) for c in ("first", "last")])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.operators import corpus, metrics
+from brindle.operators import corpus, metrics, topics
 from brindle.operators.ranking import fuse, ranked
 from brindle.operators.vectors import cosine_topk
 from brindle.plans.corpus_views import BM25_SCORES, _DF, _N, _TOK, _tokens_sql
@@ -253,17 +253,22 @@ def unsupported_claims(spark: SparkSession, d: str) -> DataFrame:
     return e.join(c.withColumn("has", F.lit(True)), "claim", "left").groupBy("item_id").agg(F.count("*").alias("claims"), F.count_if(F.col("has").isNull()).alias("unsupported"))
 
 
-@query("topic_entropy")
-def topic_entropy(spark: SparkSession, d: str) -> DataFrame:
-    """Entropy of each document's topics under a variational topic model; invariants are tested, as no two samplers agree."""
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import vector_to_array
+def _topic_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.terms(table(spark, d, "documents"), "doc_id", "text").select(F.col("key").alias("doc"), F.col("term").alias("word"), "tf")
 
-    from brindle.functions.text import tokens
 
-    docs = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
-    counted = CountVectorizer(inputCol="words", outputCol="features", minDF=3.0, vocabSize=5000).fit(docs).transform(docs)
-    model = LDA(k=8, maxIter=5, seed=42, optimizer="online").fit(counted)
-    p = model.transform(counted).select("doc_id", vector_to_array("topicDistribution").alias("p"))
-    return p.select("doc_id", F.round(-F.aggregate("p", F.lit(0.0), lambda s, x: s + F.when(x > 0, x * F.log(x)).otherwise(0.0)), 6).alias("entropy"))
+@query("topic_entropy")
+def topic_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """Entropy of each document's topics after four sweeps of the sampler; no other sampler draws alike, so invariants and held-out likelihood are tested."""
+    p = topics.Prior()
+    counts = topics.document_topics(topics.sampled(_topic_tokens(spark, d), p), p)
+    return counts.select(F.col("doc").alias("doc_id"), F.round(topics.entropy(F.col("n"), p.alpha, p.topics), 6).alias("entropy"))
+
+
+@query("topic_mass", f"WITH t AS (SELECT doc_id, unnest({_tokens_sql('text')}) AS term FROM documents) SELECT 'document' AS side, doc_id::VARCHAR AS key, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 'word', term, count(*) FROM t GROUP BY 2")
+def topic_mass(spark: SparkSession, d: str) -> DataFrame:
+    """What all topics hold of each document and of each word after a sweep: all of its words, none lost or cut."""
+    p = topics.Prior()
+    state = topics.sampled(_topic_tokens(spark, d), p, 1)
+    whole = lambda df, side, key: df.select(F.lit(side).alias("side"), F.col(key).cast("string").alias("key"), F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
+    return whole(topics.document_topics(state, p), "document", "doc").unionByName(whole(topics.topic_words(state, p), "word", "word"))

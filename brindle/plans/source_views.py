@@ -7,13 +7,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.plans.posting_views import POSTINGS, postings
 from brindle.plans.registry import query
 from brindle.session import shared_dir, table, written_files
-from brindle.sources import boards, files
+from brindle.sources import boards, files, paged
 
 PAGE = 50
 
@@ -145,6 +145,25 @@ def incomplete_boards(spark: SparkSession, d: str) -> DataFrame:
     return boards.incomplete(pages, boards.workday(pages), F.from_json("body", boards.WORKDAY)["total"], boards.WORKDAY).select("company", "announced", "read")
 
 
+@query(
+    "paged_boards",
+    f"""WITH {POSTINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY posting_id) - 1 AS spot, count(*) OVER (PARTITION BY company) AS announced FROM p),
+g AS (SELECT company, spot // {PAGE} AS page, max(announced) AS announced, count(*) AS jobs, max(posting_id) AS last FROM n GROUP BY 1, 2),
+b AS (SELECT company, announced, ceil(announced / {PAGE}.0::DOUBLE)::INT AS pages, count(*) FILTER (NOT (company LIKE '%3' AND page % 4 = 1)) AS have FROM g GROUP BY 1, 2)
+SELECT company, announced::BIGINT AS announced, (pages - have)::INT AS missing, CASE WHEN pages = have THEN announced ELSE 0 END::BIGINT AS jobs FROM b WHERE have > 0""",
+)
+def paged_boards(spark: SparkSession, d: str) -> DataFrame:
+    """Boards written a file a page, of which some lack pages, and read through the data source: whole boards with their postings, others refused."""
+    p = postings(spark, d).withColumn("at", F.row_number().over(Window.partitionBy("company").orderBy("posting_id")) - 1)
+    job = F.struct(_title().alias("title"), F.concat(F.lit("/job/"), _key()).alias("externalPath"), _place().alias("locationsText"), F.lit("Posted Today").alias("postedOn"))
+    total = p.groupBy("company").agg(F.count("*").alias("total"))
+    pages = p.withColumn("page", F.floor(F.col("at") / PAGE).cast("int")).groupBy("company", "page").agg(F.sort_array(F.collect_list(job)).alias("jobPostings")).join(total, "company")
+    pages = pages.where(~(F.col("company").endswith("3") & (F.col("page") % 4 == 1))).select("company", "page", F.to_json(F.struct("total", "jobPostings")).alias("body"))
+    read = paged.read_pages(spark, paged.pages_written(pages, f"pages-{uuid.uuid4().hex}"), PAGE)
+    jobs = F.size(F.from_json("body", boards.WORKDAY)["jobPostings"])
+    return read.groupBy("company").agg(F.max("announced").alias("announced"), F.max("missing").alias("missing"), F.sum(F.coalesce(jobs, F.lit(0))).cast("long").alias("jobs"))
+
+
 def _rippling_pages(spark: SparkSession, d: str) -> DataFrame:
     """A job stands in a page once for each place of two."""
     kind = F.when(_id() % 2 == 0, "REMOTE").otherwise("ON_SITE")

@@ -56,13 +56,15 @@ def test_passages(spark):
     rng = random.Random(9)
     docs = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(30)))) for k in range(60)]
     asks = [(0, "a b c"), (1, "h zz"), (2, "c c"), (3, "zz")]
-    got = {(r.question, r.doc): (r.held, r["first"], r["last"]) for r in kw.top_passages(spark.createDataFrame(docs, "id long, t string"), "id", "t", spark.createDataFrame(asks, "q long, ask string"), "q", "ask").collect()}
+    terms = spark.createDataFrame([(q, w) for q, ask in asks for w in ask.split()], "question long, word string")
+    pairs = spark.createDataFrame([(q, d) for q, _ in asks for d, _ in docs if (q + d) % 5], "question long, doc long")
+    got = {(r.question, r.doc): (r.held, r["first"], r["last"]) for r in kw.top_passages(spark.createDataFrame(docs, "id long, t string"), "id", "t", pairs, terms).collect()}
     want = {}
     for q, ask in asks:
         for d, t in docs:
             w = t.split()
             held = set(ask.split()) & set(w)
-            if held:
+            if held and (q + d) % 5:
                 m, i = min((m, i) for m in range(1, len(w) + 1) for i in range(len(w) - m + 1) if held <= set(w[i : i + m]))
                 want[q, d] = (len(held), i, i + m - 1)
     assert got == want
