@@ -90,30 +90,39 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def donors(chunks: DataFrame, parent: str, text: str, age: str) -> DataFrame:
     """Relational division: for each parent, the oldest other parent that holds every one of its texts.
 
-    A parent of one text takes the oldest other holder of it: the two oldest
-    of each text are kept. A parent of more texts meets others by its two
-    rarest texts at once, and what meets is compared whole, so neither a common
-    text nor a common pair makes all its holders meet. Parents of more than
-    MANY_TEXTS texts do not list all their pairs; they are met by the rarest
-    text alone.
+    Parents that hold the same texts are one set, of which the two oldest
+    stand for all: the oldest is everybody's but its own, and the second its
+    own. Between sets, one of one text takes the oldest other holder of it: the
+    two oldest sets of each text are kept. A set of more texts meets others by
+    its two rarest texts at once, and what meets is compared whole, so neither
+    a common text, a common pair nor many copies make all holders meet. Sets of
+    more than MANY_TEXTS texts do not list all their pairs; they are met by the
+    rarest text alone.
     """
     t = chunks.select(F.col(parent).alias("p"), F.col(text).alias("t"), F.col(age).alias("age"))
     born = t.groupBy("p").agg(F.min("age").alias("age"))
     one = t.select("p", "t").distinct()
     df = one.groupBy("t").agg(F.count("*").alias("df"))
-    sets = one.join(df, "t").groupBy("p").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("s")).join(born, "p")
-    sets = written(sets.select("p", "age", F.transform("s", lambda x: x["t"]).alias("s"), F.size("s").alias("n")), "parents")
+    held_by = one.join(df, "t").groupBy("p").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("s")).join(born, "p")
+    held_by = held_by.select(F.struct("age", "p").alias("h"), F.transform("s", lambda x: x["t"]).alias("s"))
+    parents = written(held_by.select("h", "s", F.sha2(F.to_json(F.struct("s")), 256).alias("c")), "parents")
+    oldest = parents.groupBy("c").agg(F.min("h").alias("h"), F.first("s").alias("s"))
+    second = parents.join(oldest.select("c", F.col("h").alias("h1")), "c").where("h <> h1").groupBy("c").agg(F.min("h").alias("h2"))
+    sets = written(oldest.join(second, "c", "left").select("c", "h", "h2", "s", F.size("s").alias("n")), "sets")
     # one text: the first two holders of each text serve all that hold nothing else
-    holder = sets.select(F.explode("s").alias("t"), F.struct("age", "p").alias("h"))
-    w = Window.partitionBy("t").orderBy("h")
-    first = holder.withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("t", "h")
-    single = sets.where("n = 1").select("p", F.element_at("s", 1).alias("t")).join(first, "t").where("h.p <> p").groupBy("p").agg(F.min("h").alias("first"))
-    more = sets.where("n > 1").select("p", "s", F.element_at("s", 1).alias("t1"), F.element_at("s", 2).alias("t2"))
-    held = sets.where("n > 1").select(F.struct("age", "p").alias("h"), F.col("s").alias("ds"), "n")
+    holder = sets.select(F.explode("s").alias("t"), F.struct("h", "c").alias("o"))
+    w = Window.partitionBy("t").orderBy("o")
+    first = holder.withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("t", "o")
+    single = sets.where("n = 1").select("c", F.element_at("s", 1).alias("t")).join(first, "t").where("o.c <> c").groupBy("c").agg(F.min("o.h").alias("other"))
+    more = sets.where("n > 1").select("c", "s", F.element_at("s", 1).alias("t1"), F.element_at("s", 2).alias("t2"))
+    held = sets.where("n > 1").select(F.col("h").alias("oh"), F.col("c").alias("oc"), F.col("s").alias("ds"), "n")
     pair = lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
     pairs = F.flatten(F.transform("ds", lambda x, i: F.transform(F.slice("ds", i + 2, F.col("n")), lambda y: pair(x, y))))
     by_pair = more.withColumn("k", pair(F.col("t1"), F.col("t2"))).join(held.where(F.col("n") <= MANY_TEXTS).withColumn("k", F.explode(pairs)), "k")
     by_one = more.join(held.where(F.col("n") > MANY_TEXTS).withColumn("t1", F.explode("ds")), "t1")
-    both = by_pair.select("p", "s", "h", "ds").unionByName(by_one.select("p", "s", "h", "ds"))
-    both = both.where((F.col("h.p") != F.col("p")) & (F.size(F.array_except("s", "ds")) == 0)).groupBy("p").agg(F.min("h").alias("first"))
-    return single.unionByName(both).select(F.col("p").alias("parent"), F.col("first.p").alias("donor"))
+    both = by_pair.select("c", "s", "oh", "oc", "ds").unionByName(by_one.select("c", "s", "oh", "oc", "ds"))
+    both = both.where((F.col("oc") != F.col("c")) & (F.size(F.array_except("s", "ds")) == 0)).groupBy("c").agg(F.min("oh").alias("other"))
+    best = sets.select("c", "h", "h2").join(single.unionByName(both), "c", "left").withColumnRenamed("h", "h1")
+    own = F.when(F.col("h") != F.col("h1"), F.col("h1")).otherwise(F.col("h2"))
+    out = parents.select("c", "h").join(best, "c").select(F.col("h.p").alias("parent"), F.least("other", own).alias("d"))
+    return out.where("d IS NOT NULL").select("parent", F.col("d.p").alias("donor"))

@@ -107,6 +107,14 @@ def _sample(z: list[list[int]], held: list[list[int]], u: list[float], totals: l
     return out
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    """A list column as lists, made from its flat values at once."""
+    offs = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]].tolist()
+    ends = (offs - offs[0]).tolist()
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def sweep(state: DataFrame, p: Prior, turn: int) -> DataFrame:
     """state with every topic drawn anew; written.
 
@@ -130,7 +138,8 @@ def sweep(state: DataFrame, p: Prior, turn: int) -> DataFrame:
 
         for b in batches:
             kind = b.schema.field("doc").type
-            for row in zip(*[c.to_pylist() for c in b.columns]):
+            lists = [_lists(b.column(c)) for c in ("z", "n")]
+            for row in zip(b.column("doc").to_pylist(), b.column("word").to_pylist(), *lists, b.column("h").to_pylist()):
                 if held and held[0][0] != row[0]:
                     yield done(kind)
                     held.clear()

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.text import tokens
+from brindle.functions.vectors import cosine
 from brindle.operators import corpus, metrics, topics
 from brindle.operators.ranking import fuse, ranked
 from brindle.operators.vectors import cosine_topk
 from brindle.plans.corpus_views import BM25_SCORES, _DF, _N, _TOK, _tokens_sql
 from brindle.plans.registry import query
-from brindle.session import table
+from brindle.session import small_enough, table, written
 
 POOL, SHOWN = 50, 10
 
@@ -27,9 +29,9 @@ u AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS part FROM kw WHERE ra
 fu AS (SELECT item_id, doc_id, round(sum(part), 9) AS score FROM u GROUP BY 1, 2)"""
 
 
-def _vectors(rows: DataFrame, key: str) -> DataFrame:
-    """key, embedding: the hashed bag of words of each row as an array of 64."""
-    cells = corpus.lexical_vectors(rows, key, "text", 64)
+def _vectors(counted: DataFrame) -> DataFrame:
+    """counted(key, term, tf) -> key, embedding: the hashed bag of words of each row as an array of 64."""
+    cells = corpus.lexical_cells(counted, 64)
     by = cells.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
     return by.select("key", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0))).alias("embedding"))
 
@@ -42,7 +44,8 @@ def pools(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     wanted = corpus.query_terms(items, "item_id", "text", corpus.frequencies(t), n)
     kw = corpus.bm25(t, docs.count(), wanted, n).withColumn("score", F.round("score", 6))
     kw = ranked(kw, ["query"], "score", "doc").where(F.col("rank") <= POOL).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "rank")
-    near = cosine_topk(_vectors(items, "item_id").withColumnRenamed("key", "query"), _vectors(docs, "doc_id").withColumnRenamed("key", "id"), POOL, include_self=True)
+    theirs = _vectors(t.select(F.col("doc").alias("key"), "term", "tf"))
+    near = cosine_topk(_vectors(corpus.terms(items, "item_id", "text")).withColumnRenamed("key", "query"), written(theirs.withColumnRenamed("key", "id"), "vectors"), POOL, include_self=True)
     return kw, near.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "rank")
 
 
@@ -140,8 +143,6 @@ SELECT vec_id, CASE WHEN label = 3 THEN 0 ELSE round(0.35::DOUBLE * CASE WHEN la
 )
 def profile_scores(spark: SparkSession, d: str) -> DataFrame:
     """0.35 title and 0.65 body likeness to a profile; a matching role lifts the title to 0.9; a filtered row scores 0."""
-    from brindle.functions.vectors import cosine
-
     e = table(spark, d, "embeddings")
     p = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e"))
     part = lambda a, b: F.coalesce(cosine(F.slice("embedding", a, b), F.slice("e", a, b)), F.lit(0.0))
@@ -199,9 +200,6 @@ r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY pos)
 )
 def keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
     """The first 20 different terms of a document that the questions share, in its order."""
-    from brindle.functions.text import tokens
-    from brindle.session import small_enough
-
     own = table(spark, d, "benchmark").select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
     t = table(spark, d, "documents").select("doc_id", F.posexplode(F.array_distinct(tokens(F.col("text")))).alias("at", "term"))
     t = t.join(F.broadcast(own) if small_enough(own, corpus.MOST_BROADCAST) else own, "term", "left_semi")
@@ -217,13 +215,10 @@ w AS (SELECT doc_id, term, round((1 + ln(tf)) * (ln((n + 1.0::DOUBLE) / (df + 1.
 SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rn FROM w) WHERE rn <= 12""",
 )
 def missing_terms(spark: SparkSession, d: str) -> DataFrame:
-    from brindle.functions.text import tokens
-
     docs = table(spark, d, "documents")
-    t = corpus.term_table(docs, "doc_id", "text")
-    idf = corpus.with_idf(corpus.frequencies(t), corpus.non_blank(docs, "text"))
+    idf = corpus.with_idf(corpus.document_frequencies(docs, "doc_id", "text"), corpus.non_blank(docs, "text"))
     own = table(spark, d, "benchmark").select(F.explode(tokens(F.col("text"))).alias("term"))
-    return corpus.missing_terms(t.select(F.col("doc").alias("key"), "term", "tf"), own, idf, places=6).select(F.col("key").alias("doc_id"), "term")
+    return corpus.missing_terms(corpus.terms(docs, "doc_id", "text"), own, idf, places=6).select(F.col("key").alias("doc_id"), "term")
 
 
 @query(

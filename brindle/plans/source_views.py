@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brindle.plans.posting_views import POSTINGS, postings
 from brindle.plans.registry import query
 from brindle.session import shared_dir, table, written_files
-from brindle.sources import boards, files, paged
+from brindle.sources import boards, files, mail, paged
 
 PAGE = 50
 
@@ -266,9 +266,9 @@ def mail_export(spark: SparkSession, d: str) -> DataFrame:
     plain = F.concat(F.lit("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n>"), text, F.lit("\n"))
     parts = F.concat(F.lit('Content-Type: multipart/alternative; boundary="cut"\n\n--cut\nContent-Type: text/html\n\n<p>other</p>\n--cut\n'), coded, F.lit("--cut--\n"))
     value = F.concat(head, F.when(k % 3 == 0, coded).when(k % 3 == 1, plain).otherwise(parts))
-    mail = table(spark, d, "part").select(value.alias("value"))
-    path = written_files(_folder(spark, "mail"), lambda p: mail.write.text(p))
-    return files.messages(spark, path).select("message_id", "sender", "subject", "body", F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss").alias("sent"))
+    sent = table(spark, d, "part").select(value.alias("value"))
+    path = written_files(_folder(spark, "mail"), lambda p: sent.write.text(p))
+    return mail.messages(spark, path).select("message_id", "sender", "subject", "body", F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss").alias("sent"))
 
 
 @query("vector_import", "SELECT doc_id % 7 <> 0 AS taken, count(*) AS n FROM documents GROUP BY 1")

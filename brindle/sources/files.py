@@ -1,12 +1,7 @@
-"""File sources and sinks: CSV sheets, JSON lines, mail exports, vectors, calendars and metrics text."""
+"""File sources and sinks: CSV sheets, JSON lines, vectors, calendars and metrics text."""
 
 from __future__ import annotations
 
-import email
-import email.policy
-from email.utils import parsedate_to_datetime
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,43 +35,6 @@ def journal(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record").withColumn("at", F.try_to_timestamp("at"))
 
 
-MESSAGE = "message_id string, sender string, subject string, body string, sent_at timestamp"
-
-
-def _mime(raw: pd.Series) -> pd.DataFrame:
-    """Messages with encoded headers and parts decoded; the first plain part is the body, else the first HTML part."""
-
-    def one(text: str) -> tuple:
-        m = email.message_from_bytes(text.encode(), policy=email.policy.default)
-        part = m.get_body(("plain", "html"))
-        body = part.get_content() if part is not None else ""
-        try:
-            # not the policy's own header: it throws on dates that are none
-            sent = pd.Timestamp(parsedate_to_datetime(str(m["date"])))
-            sent = sent.tz_convert("UTC").tz_localize(None) if sent.tzinfo else sent
-        except (TypeError, ValueError):
-            sent = pd.NaT
-        head = [str(m[k]).strip() if m[k] else None for k in ("message-id", "from", "subject")]
-        return (*head, body.strip(), sent)
-
-    return pd.DataFrame([one(t) for t in raw], columns=["message_id", "sender", "subject", "body", "sent_at"]).astype({"sent_at": "datetime64[ns]"})
-
-
-def messages(spark: SparkSession, path: str) -> DataFrame:
-    """Mail files (eml, or mbox with several messages) -> path, message_id, sender, subject, body, sent_at.
-
-    An mbox is cut at its From lines as it is read, so a large one is never
-    held whole. Rows without a message id take the body's digest.
-    """
-    raw = spark.read.text(path, lineSep="\nFrom ").select(F.col("_metadata.file_path").alias("path"), "value")
-    # the envelope line goes; inside a text it was escaped by one >
-    text = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), r"^(From )?\S+@[^\n]*\n", "")
-    text = F.regexp_replace(text, r"(?m)^>(>*From )", "$1")
-    read = F.pandas_udf(_mime, MESSAGE)
-    m = raw.where(F.trim("value") != "").select("path", read(text).alias("m")).select("path", "m.*")
-    return m.withColumn("message_id", F.coalesce("message_id", F.sha2("body", 256)))
-
-
 def import_vectors(chunks: DataFrame, exported: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused) exported vectors: only those whose text digest is that of today's chunk are taken."""
     now = chunks.select(*key, F.md5("text").alias("_now"))

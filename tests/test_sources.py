@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions import papers
 from brindle.functions.vectors import half
 from brindle.operators import diff, linkage
-from brindle.sources import boards, files
+from brindle.sources import boards, files, mail
 
 
 def one(spark, column):
@@ -44,7 +44,7 @@ def test_rippling_merges_a_job_and_tells_rows(spark):
 def test_mail_forms(spark, tmp_path):
     (tmp_path / "a.eml").write_bytes(b"Message-ID: <1@x>\r\nSubject: =?utf-8?q?caf=C3=A9?=\r\nFrom: A <a@x>\r\nContent-Transfer-Encoding: quoted-printable\r\nContent-Type: text/plain; charset=utf-8\r\n\r\nna=C3=AFve=\r\n line\r\n")
     (tmp_path / "b.mbox").write_text("From x@y Mon\nSubject: one\nDate: nonsense\n\n>From here\n\nFrom x@y Tue\nMessage-ID: <3@x>\n\ntwo\n")
-    got = {r.message_id: r for r in files.messages(spark, str(tmp_path)).collect()}
+    got = {r.message_id: r for r in mail.messages(spark, str(tmp_path)).collect()}
     assert len(got) == 3
     assert (got["<1@x>"].subject, got["<1@x>"].body) == ("café", "naïve line")
     assert got["<3@x>"].body == "two"
@@ -86,6 +86,20 @@ def test_packages(spark):
     assert got("readme.md", "x") == [] and got("package.json", None) == []
 
 
+def test_mail_headers_parts_and_dates(spark, tmp_path):
+    nested = (
+        "Message-ID: <n@x>\nSubject: =?ISO-8859-1?Q?Caf=E9_=3D?= =?utf-8?B?w6k=?= plain\n folded\nFrom: a@x\nDate: Tue, 3 Feb 2026 09:05 EST (note)\n"
+        'Content-Type: multipart/mixed; boundary="out"\n\npreamble\n--out\nContent-Type: multipart/alternative;\n boundary=out2\n\n--out2\nContent-Type: text/html\n\n<p>no</p>\n'
+        "--out2\nContent-Type: text/plain; charset=latin1\nContent-Transfer-Encoding: quoted-printable\n\nna=EFve =3D ye=\ns\n--out2--\n--out\nContent-Type: text/plain\nContent-Disposition: attachment\n\nattached\n--out--\nend\n"
+    )
+    for name, text in (("n.eml", nested), ("h.eml", "Message-ID: <h@x>\nContent-Type: text/html\nDate: 3 Feb 2026 09:05:07 +0530\n\n<b>x</b>\n"), ("e.eml", "Message-ID: <e@x>\nSubject: =?utf-8?b?!!?=\nContent-Transfer-Encoding: base64\n\n*not base 64*\n"), ("b.eml", "Message-ID: <b@x>\nContent-Type: application/pdf\n\n%PDF")):
+        (tmp_path / name).write_text(text)
+    got = {r.message_id: r for r in mail.messages(spark, str(tmp_path)).select("*", F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss").alias("at")).collect()}
+    assert (got["<n@x>"].subject, got["<n@x>"].body, got["<n@x>"].at) == ("Café =é plain folded", "naïve = yes", "2026-02-03 14:05:00")
+    assert (got["<h@x>"].body, got["<h@x>"].at, got["<h@x>"].subject) == ("<b>x</b>", "2026-02-03 03:35:07", None)
+    assert got["<b@x>"].body == "" and got["<e@x>"].sender is None and len(got) == 4
+
+
 def test_half_is_half(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(0, s, 500) for s in (1e-8, 1e-5, 1e-2, 1, 300)] + [[0.0, 1.0, -1.0, 2.0**-14, 2.0**-24, 2.0**-25, 65504.0, 65519.0, 65520.0, -70000.0]])
