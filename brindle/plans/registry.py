@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("pipeline_views", "search_views", "corpus_views", "vector_views", "quality_views", "upkeep_views", "event_views", "posting_views", "tracking_views", "retrieval_views", "source_views", "linkage_views", "keyword_views", "learned_views", "requirement_views")
+MODULES = ("pipeline_views", "search_views", "corpus_views", "vector_views", "quality_views", "upkeep_views", "event_views", "posting_views", "tracking_views", "retrieval_views", "source_views", "linkage_views", "keyword_views", "learned_views", "requirement_views", "set_views")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
