@@ -10,8 +10,8 @@ from brindle.session import table, written
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-#: Documents of a cell, if all documents were of one source and size class.
-CELL = 20_000
+#: Documents of a cell, if all documents were of one source and size class, and ranges of digests of a block of cells.
+CELL, BLOCK = 20_000, 1024
 
 
 def word_count(text: Column) -> Column:
@@ -89,8 +89,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     cells = written(cells, "cells")
     sizes = cells.groupBy("_s").agg(F.sum("_words").alias("source_size"), F.sum("_n").alias("n")).withColumnRenamed("_s", "source")
     targets = source_targets(sizes, weights, most)
-    before = Window.partitionBy("_s").orderBy("_class", "_slot").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # cells grow with the documents, so their running sum goes by blocks: few blocks a source, few cells a block
+    cells = cells.withColumn("_block", F.floor(F.col("_slot") / BLOCK))
+    earlier = lambda *by: Window.partitionBy("_s", *by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cells.groupBy("_s", "_class", "_block").agg(F.sum("_n").alias("_m"))
+    blocks = blocks.select(F.col("_s").alias("_bs"), F.col("_class").alias("_bc"), F.col("_block").alias("_bb"), F.coalesce(F.sum("_m").over(earlier().orderBy("_class", "_block")), F.lit(0)).alias("_ahead"))
+    inside_block = F.coalesce(F.sum("_n").over(earlier("_class", "_block").orderBy("_slot")), F.lit(0))
+    cells = cells.withColumn("_inside", inside_block).join(blocks, F.col("_s").eqNullSafe(F.col("_bs")) & (F.col("_class") == F.col("_bc")) & (F.col("_block") == F.col("_bb")))
+    cells = cells.withColumn("_before", F.col("_ahead") + F.col("_inside"))
     cells = cells.join(targets.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).select(
         "_k", "_class", "_slot", "_before", "source_size", "target"
     )

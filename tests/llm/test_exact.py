@@ -384,6 +384,7 @@ def test_mix_meets_targets(spark):
 
 def test_mix_of_one_size_and_of_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CELL", 50)
+    monkeypatch.setattr(mixing, "BLOCK", 3)
     rows = [(i % 900, f"w{i % 7} x", "a", i) for i in range(2000)] + [(1, "y z", "b", i) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, _class int")
     one = sorted(tuple(r) for r in mixing.mixed_documents(df).collect())
