@@ -159,7 +159,7 @@ def paged_boards(spark: SparkSession, d: str) -> DataFrame:
     total = p.groupBy("company").agg(F.count("*").alias("total"))
     pages = p.withColumn("page", F.floor(F.col("at") / PAGE).cast("int")).groupBy("company", "page").agg(F.sort_array(F.collect_list(job)).alias("jobPostings")).join(total, "company")
     pages = pages.where(~(F.col("company").endswith("3") & (F.col("page") % 4 == 1))).select("company", "page", F.to_json(F.struct("total", "jobPostings")).alias("body"))
-    read = paged.read_pages(spark, paged.pages_written(pages, f"pages-{uuid.uuid4().hex}"), PAGE)
+    read = paged.read_pages(spark, paged.pages_written(pages, "pages"), PAGE)
     jobs = F.size(F.from_json("body", boards.WORKDAY)["jobPostings"])
     return read.groupBy("company").agg(F.max("announced").alias("announced"), F.max("missing").alias("missing"), F.sum(F.coalesce(jobs, F.lit(0))).cast("long").alias("jobs"))
 

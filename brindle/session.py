@@ -32,9 +32,24 @@ def local_session(app: str = "brindle", cores: int = 8, shuffle_partitions: int
     )
 
 
+#: Tables whose rows cost far more to work through than to move.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; Catalyst prunes its columns."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One driver table; Catalyst prunes its columns. Texts go to all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows as they are, or dealt out to all cores where their files give fewer tasks than there are cores.
+
+    A small table is often one file of one row group, which one task would
+    read and work through alone. A table of many files is never moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def ship(spark: SparkSession) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -97,4 +98,4 @@ def read_pages(spark: SparkSession, folder: str, page_size: int, total: str = "t
 def pages_written(pages: DataFrame, label: str) -> str:
     """pages(company, page, body) -> a folder that PagedBoards reads, a file a page, gone when its `scratch` ends."""
     rows = pages.select("company", "page", F.col("body").alias("value")).repartition("company", "page")
-    return written_files(f"{shared_dir(pages.sparkSession)}/brindle/{label}", lambda path: rows.write.partitionBy("company", "page").text(path))
+    return written_files(f"{shared_dir(pages.sparkSession)}/brindle/{label}-{uuid.uuid4().hex}", lambda path: rows.write.partitionBy("company", "page").text(path))
