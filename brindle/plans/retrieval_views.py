@@ -254,9 +254,9 @@ def _topic_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query("topic_entropy")
 def topic_entropy(spark: SparkSession, d: str) -> DataFrame:
-    """Entropy of each document's topics after four sweeps of the sampler; no other sampler draws alike, so invariants and held-out likelihood are tested."""
+    """Entropy of each document's topics after two sweeps of the sampler; no other sampler draws alike, so invariants and held-out likelihood are tested."""
     p = topics.Prior()
-    counts = topics.document_topics(topics.sampled(_topic_tokens(spark, d), p), p)
+    counts = topics.document_topics(topics.sampled(_topic_tokens(spark, d), p, 2), p)
     return counts.select(F.col("doc").alias("doc_id"), F.round(topics.entropy(F.col("n"), p.alpha, p.topics), 6).alias("entropy"))
 
 
