@@ -28,7 +28,7 @@ OPEN_END = rf"^ *{_OPEN} *$|[ ,]{_OPEN} *$"
 ANY_DATE = rf"{_RANGE}|{_OPEN}|{_POINT}"
 #: A line that stands as a heading though no section is known by it: capitals only, four words at most.
 HEADING = r"^[A-Z][A-Z&/-]*( [A-Z&/-]+){0,3}$"
-#: What a defect costs.
+# What a defect costs.
 COSTS = {"no_email": 0.30, "no_phone": 0.08, "no_links": 0.04, "no_experience": 0.25, "no_education": 0.10, "no_skills": 0.10, "no_dates": 0.15, "unrecognized_heading": 0.12, "open_ended_date": 0.05, "overlong_bullet": 0.02}
 LONGEST_BULLET = 300
 EMAIL, PHONE, LINK = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", r"\+[0-9][0-9 ()-]{7,}[0-9]", r"https?://"

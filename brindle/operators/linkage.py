@@ -67,9 +67,9 @@ def confirmed(candidates: DataFrame) -> DataFrame:
     alone = F.concat(F.lit(r"(?<![a-z0-9-])\Q"), domain, F.lit(r"\E(?![a-z0-9-])"))
     said = F.regexp_like(F.lower(F.coalesce("text", F.lit(""))), alone)
     reason = (
-        F.when(domain == "", "no website")
-        .when((F.col("why") == "slug") & (domain == F.concat(F.lower("slug"), F.lit(".com"))), "slug is the .com name")
-        .when(said, "board names the website")
-        .when((F.col("why") == "name") & _agrees(stem_of(domain), name), "website agrees with the name")
+        F.when(domain == "", "no site known")
+        .when((F.col("why") == "slug") & (domain == F.concat(F.lower("slug"), F.lit(".com"))), "owns the .com of its slug")
+        .when(said, "board points at the site")
+        .when((F.col("why") == "name") & _agrees(stem_of(domain), name), "site and name agree")
     )
     return candidates.withColumn("reason", reason)

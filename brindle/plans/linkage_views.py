@@ -166,8 +166,8 @@ def named_companies(spark: SparkSession, d: str) -> DataFrame:
     r"""WITH c AS (SELECT c_custkey AS board, 'acme' || c_custkey AS slug, CASE WHEN c_custkey % 2 = 0 THEN 'slug' ELSE 'name' END AS why, 'acme' || c_custkey AS squeezed,
 CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'acme' || c_custkey || '.com' WHEN 2 THEN 'tryacme' || c_custkey || '.io' WHEN 3 THEN 'acme' || c_custkey || 'power.com' ELSE 'other' || c_custkey || '.org' END AS domain,
 CASE WHEN c_custkey % 7 = 0 THEN 'See https://jobs.other' || c_custkey || '.org/x' WHEN c_custkey % 7 = 1 THEN 'at notother' || c_custkey || '.org' ELSE '' END AS text FROM customer)
-SELECT board, CASE WHEN domain IS NULL THEN 'no website' WHEN why = 'slug' AND domain = slug || '.com' THEN 'slug is the .com name' WHEN regexp_matches(lower(text), '(^|[^a-z0-9-])' || replace(domain, '.', '\.') || '($|[^a-z0-9-])') THEN 'board names the website'
-WHEN why = 'name' AND (starts_with(squeezed, split_part(domain, '.', 1)) OR split_part(domain, '.', 1) IN (squeezed, 'try' || squeezed)) THEN 'website agrees with the name' END AS reason FROM c""",
+SELECT board, CASE WHEN domain IS NULL THEN 'no site known' WHEN why = 'slug' AND domain = slug || '.com' THEN 'owns the .com of its slug' WHEN regexp_matches(lower(text), '(^|[^a-z0-9-])' || replace(domain, '.', '\.') || '($|[^a-z0-9-])') THEN 'board points at the site'
+WHEN why = 'name' AND (starts_with(squeezed, split_part(domain, '.', 1)) OR split_part(domain, '.', 1) IN (squeezed, 'try' || squeezed)) THEN 'site and name agree' END AS reason FROM c""",
 )
 def confirmed_boards(spark: SparkSession, d: str) -> DataFrame:
     """Boards of a directory and what confirms them; a namesake's stay unconfirmed."""

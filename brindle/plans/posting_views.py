@@ -22,7 +22,7 @@ PICKS = {
     "tail": ["", " (Remote)", " - Platform", ""],
     "location": [
         "San Francisco, CA", "Remote", "London, UK", "New York, NY", "Toronto, ON, CA", "Austin, TX; San Diego, CA", "Remote - US or Canada", "", "Berlin, Germany", "Los Angeles, California",
-        "Newark, NJ", "2 Locations", "Hybrid - Seattle", "Bangalore", "Palo Alto or London", "Mapbox Minsk", "Remote - EMEA", "On-site, Chicago", "Washington / Paris",
+        "Newark, NJ", "2 Locations", "Hybrid - Seattle", "Bangalore", "Palo Alto or London", "Tidepool Gomel", "Remote - EMEA", "On-site, Chicago", "Washington / Paris",
     ],
     "intro": ["We build maps.", "This role is remote across the country.", "Remote is not offered for this team.", "We raised $40 million.", "Join us, e.g. as a builder."],
     "head": ["Requirements", "Nice to have:", "About us", "Must have"],

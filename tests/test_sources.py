@@ -165,4 +165,4 @@ def test_confirmed(spark):
         ("acme", "name", "Acme", None, ""),
     ]
     got = [r.reason for r in linkage.confirmed(spark.createDataFrame(rows, "slug string, why string, company string, domain string, text string").coalesce(1)).collect()]
-    assert got == ["slug is the .com name", None, "website agrees with the name", "board names the website", None, "no website"]
+    assert got == ["owns the .com of its slug", None, "site and name agree", "board points at the site", None, "no site known"]
