@@ -54,7 +54,7 @@ def format_segments(conversations: DataFrame, template: Template = Template()) -
     last turn, ends_ok. Texts of loss roles carry loss. Null roles and texts
     are empty; turns that tie are ordered by role, then text; a null turn comes
     first. A null conv_id is a conversation of its own. Repeated rows are
-    repeated turns. Other columns are ignored.
+    repeated turns. Other columns are ignored. An empty table gives no segment.
     """
     t = template
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

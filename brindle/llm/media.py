@@ -350,7 +350,11 @@ def thumb_hash(thumb: np.ndarray) -> str:
 
 
 def to_media(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs -> kept columns, n_bytes of the text (null: empty) and media, a JPEG that holds it."""
+    """docs -> kept columns, n_bytes of the text (null: empty) and media, a JPEG that holds it.
+
+    Every row gives one image, repeated rows equal ones; an empty table gives
+    an empty one. Other columns are ignored. A text is encoded whole.
+    """
     rows = docs.select(*keep, F.col("text").alias("_text"))
 
     def run(batches):

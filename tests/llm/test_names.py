@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from brindle.llm import decontaminate, language, near, pii, quality, toxicity
+from brindle.llm import chat, decontaminate, language, media, near, pii, quality, toxicity
 from brindle.session import table
 
 TEXTS = [
@@ -81,3 +81,13 @@ def test_whole_pipeline_on_odd_tables(spark, sf, tmp_path):
         else:
             assert got and all(tuple(r[5:]) == tuple(range(len(ODD))) for r in got)
             assert not any("@" in (r.text or "") or "7946" in (r.text or "") for r in got)
+
+
+def test_media_and_chat_of_no_rows_and_repeated_rows(spark):
+    docs = odd(spark)
+    images = media.to_media(docs, ("doc_id",)).where("doc_id = 1").collect()
+    assert len(images) == 2 and images[0].media == images[1].media
+    assert media.media_features(media.to_media(docs.limit(0))).count() == 0
+    rows = spark.createDataFrame([(1, 0, "user", "x"), (1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    assert chat.format_segments(rows).count() == 6 and chat.format_segments(rows.limit(0)).count() == 0
+    assert chat.read_back(chat.format_segments(rows.limit(0))).count() == 0
