@@ -17,10 +17,12 @@ CELL, BLOCK = 20_000, 1024
 def word_count(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text; null has none.
 
-    Word starts are what is left when all but the first byte of each word and
-    all white space are removed.
+    Each word with the white space around it becomes one letter. One more word
+    is put behind and not counted, so that a text of white space alone has a
+    word to be part of.
     """
-    return F.coalesce(F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]([^\x20\x09-\x0D]*+)[\x20\x09-\x0D]*+", "w")), F.lit(0)).cast("long")
+    words = F.regexp_replace(F.concat(text, F.lit(" w")), r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]([^\x20\x09-\x0D]*+)[\x20\x09-\x0D]*+", "w")
+    return F.coalesce(F.length(words) - 1, F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
