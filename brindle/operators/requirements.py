@@ -32,11 +32,11 @@ def requirements(docs: DataFrame, key: str, text: str, vocabulary: DataFrame) ->
 
     choice: the line offers it among others.
     """
-    each = lines(docs, key, text).withColumn("at", F.struct("doc", "line"))
-    found = segmented(spans(each, "at", "said", vocabulary)).select("doc", F.col("entry"), "pos")
-    said = found.select(F.col("doc").alias("at"), "entry").distinct().join(each.select("at", "said", "strength"), "at")
     rank = F.array_position(F.array(*map(F.lit, STRENGTHS)), F.col("strength"))
-    best = said.groupBy(F.col("at.doc").alias("doc"), "entry").agg(F.min(F.struct(rank.alias("rank"), F.col("at.line").alias("line"), "strength", F.col("said").rlike(CHOICE).alias("choice"))).alias("b"))
+    # what is known of a line goes with its name, so that lines need not be joined to what was found in them
+    at = F.struct("doc", rank.alias("rank"), "line", "strength", F.col("said").rlike(CHOICE).alias("choice"))
+    found = segmented(spans(lines(docs, key, text).select(at.alias("at"), "said"), "at", "said", vocabulary))
+    best = found.groupBy(F.col("doc.doc").alias("doc"), "entry").agg(F.min(F.struct("doc.rank", "doc.line", "doc.strength", "doc.choice")).alias("b"))
     return best.select("doc", "entry", "b.strength", "b.choice", "b.line")
 
 
