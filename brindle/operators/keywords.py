@@ -1,7 +1,9 @@
-"""Keyword search over a positional index: phrases by shifted joins, words near each other by joins of position ranges."""
+"""Keyword search: each question goes to the documents that hold its rarest word, and what stands around that word decides inside the row."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,16 +27,15 @@ def forms(word: Column) -> Column:
     return F.array(word, F.concat(word, F.lit("s")), F.concat(word, F.lit("es")))
 
 
-def positional_index(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """docs -> doc, field (place in `fields`; the first is the title), pos (from 0), word (lower case), said, words (of the field); written once.
+def fields_read(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """docs -> doc, field (place in `fields`; the first is the title), said, low: words of the field in order, as said and in lower case.
 
-    One row a word that stands somewhere, so no list grows with how common a
-    word is. Rows are stored by word, so that a search for few words skips most of them.
+    Documents are dealt out once, by key and as text, so that all that is
+    found in one meets where its words are and nothing moves again.
     """
-    lists = F.array(*[F.struct(F.lit(i).alias("field"), said_words(F.col(f)).alias("w")) for i, f in enumerate(fields)])
-    rows = docs.select(F.col(key).alias("doc"), F.explode(lists).alias("f")).select("doc", "f.field", F.size("f.w").alias("words"), F.posexplode("f.w").alias("pos", "said"))
-    rows = rows.select("doc", "field", "pos", F.lower("said").alias("word"), "said", "words")
-    return written(rows.repartitionByRange("word", "doc").sortWithinPartitions("word", "doc"), "positions")
+    dealt = docs.select(F.col(key).alias("doc"), *[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)]).repartition("doc")
+    lists = F.array(*[F.struct(F.lit(i).alias("field"), said_words(F.col(f"_{i}")).alias("said")) for i in range(len(fields))])
+    return dealt.select("doc", F.explode(lists).alias("f")).select("doc", "f.*").withColumn("low", F.transform("said", F.lower))
 
 
 def parsed(questions: DataFrame, key: str, text: str) -> DataFrame:
@@ -46,67 +47,64 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small_enough(df, MOST_BROADCAST) else df
 
 
-def _anchors(index: DataFrame, parsed_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Words of all questions (question, size, k, wanted, form), and for each question the word that stands in the fewest places; none if one of its words stands nowhere."""
-    each = parsed_.select("question", F.size("words").alias("size"), F.posexplode("words").alias("k", "wanted"))
+def _anchors(read: DataFrame, parsed_: DataFrame) -> DataFrame:
+    """question, size, words, k, form: for each question the word that stands in the fewest places, in all its forms; none if one of its words stands nowhere."""
+    each = parsed_.select("question", F.posexplode("words").alias("k", "wanted"))
     need = written(each.select("*", F.explode(forms(F.col("wanted"))).alias("form")), "wanted")
-    places = index.join(_few(need.select("form").distinct()), F.col("word") == F.col("form"), "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    held = need.join(_few(written(places, "places")), F.col("form") == F.col("word"), "left").groupBy("question", "size", "k", "wanted").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    rare = held.groupBy("question", "size").agg(F.min(F.struct("n", "k", "wanted")).alias("a")).where("a.n > 0")
-    return need, written(rare.select("question", "size", F.col("a.k").alias("k"), F.col("a.wanted").alias("wanted"), F.explode(forms(F.col("a.wanted"))).alias("form")), "anchors")
+    said = read.select(F.explode("low").alias("word"))
+    places = said.join(_few(need.select("form").distinct()), F.col("word") == F.col("form"), "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    held = need.join(_few(written(places, "places")), F.col("form") == F.col("word"), "left").groupBy("question", "k", "wanted").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    rare = held.groupBy("question").agg(F.min(F.struct("n", "k", "wanted")).alias("a")).where("a.n > 0")
+    rare = rare.join(parsed_, "question").select("question", F.size("words").alias("size"), "words", "a.k", F.explode(forms(F.col("a.wanted"))).alias("form"))
+    return written(rare, "anchors")
 
 
-def phrases(index: DataFrame, need: DataFrame, anchors: DataFrame) -> DataFrame:
-    """question, doc, field, first, last: the first place of each field where a question's words stand in order.
+def _phrase() -> Column:
+    """The first place where a question's words stand in order; null if there is none. Each place of its rarest word says where the others have to stand."""
+    start = lambda p: p - F.col("k")
+    here = lambda p: F.forall(F.transform("words", lambda w, i: F.array_contains(forms(w), F.get("low", start(p) + i))), lambda x: x)
+    inside = lambda p: (start(p) >= 0) & (start(p) + F.col("size") <= F.size("low"))
+    return start(F.get(F.filter("at", lambda p: F.when(inside(p), here(p)).otherwise(False)), F.lit(0)))
 
-    Each place of a question's rarest word says where its other words have to
-    stand; those places are joined with the index by document and position,
-    a key that no common word makes large.
-    """
-    at = index.join(_few(anchors), F.col("word") == F.col("form")).select("question", "doc", "field", (F.col("pos") - F.col("k")).alias("start"), "size", F.col("k").alias("anchor"))
-    at = written(at.where("start >= 0").distinct(), "starts")
-    others = need.select(F.col("question").alias("q"), "k", "form")
-    asked = at.where("size > 1").join(_few(others), (F.col("q") == F.col("question")) & (F.col("k") != F.col("anchor")))
-    asked = asked.select("question", "doc", "field", "start", "size", "k", (F.col("start") + F.col("k")).alias("pos"), F.col("form").alias("word"))
-    found = asked.join(index.select("doc", "field", "pos", "word"), ["doc", "field", "pos", "word"]).groupBy("question", "doc", "field", "start", "size").agg(F.count("*").alias("n"))
-    whole = found.where("n = size - 1").unionByName(at.where("size = 1").select("question", "doc", "field", "start", "size", F.lit(0).alias("n")))
-    return whole.groupBy("question", "doc", "field", "size").agg(F.min("start").alias("first")).select("question", "doc", "field", "first", (F.col("first") + F.col("size") - 1).alias("last"))
-
-
-def nearby(index: DataFrame, need: DataFrame, anchors: DataFrame, near: int = NEAR) -> DataFrame:
-    """question, doc, field, first, last: the shortest stretch of a title that holds all words of a question of several, in any order, with at most `near` words more.
-
-    Only titles that hold the rarest word are read. From each hit the words
-    within reach are found by a join of position ranges (bins as wide as a
-    stretch may be), and the stretch ends where the last of the different words
-    first stands. A word may count for several of the question's.
+
+def _nearest(near: int) -> Column:
+    """(length less one, first, last) of the shortest stretch that holds all words of a question, in any order, with at most `near` words more, the earliest of several; null if there is none.
+
+    A stretch holds the rarest word, so it begins within reach of one of its
+    places. It ends where the last of the different words first stands; a word
+    may count for several of the question's.
     """
-    titles = index.where(F.col("field") == TITLE).select("doc", "pos", "word")
-    held = titles.join(_few(anchors.where("size > 1")), F.col("word") == F.col("form")).select("question", "doc").distinct()
-    words = need.where("size > 1").select("question", "size", "wanted", "form").distinct()
-    hits = held.join(_few(words), "question").withColumnRenamed("form", "word").join(titles, ["doc", "word"])
     reach = F.col("size") + near
-    hits = written(hits.select("question", "doc", "size", "wanted", "pos", F.floor(F.col("pos") / reach).alias("bin")), "near_hits")
-    left = hits.select("question", "doc", "size", F.col("pos").alias("first"), F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin")).distinct()
-    met = left.join(hits.select("question", "doc", "bin", "wanted", "pos"), ["question", "doc", "bin"]).where((F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("first") + reach))
-    ends = met.groupBy("question", "doc", "size", "first", "wanted").agg(F.min("pos").alias("pos")).groupBy("question", "doc", "size", "first").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
-    different = words.groupBy("question").agg(F.count_distinct("wanted").alias("different"))
-    full = ends.join(_few(different), "question").where("n = different")
-    best = full.groupBy("question", "doc").agg(F.min(F.struct((F.col("last") - F.col("first")).alias("d"), "first", "last")).alias("b"))
-    return best.select("question", "doc", F.lit(TITLE).alias("field"), F.col("b.first").alias("first"), F.col("b.last").alias("last"))
-
-
-def in_context(index: DataFrame, hits: DataFrame, around: int = CONTEXT) -> DataFrame:
-    """hits(question, doc, field, kind, first, last) with before, match and after: words as said, with … where the field goes on."""
-    asked = hits.select("*", F.explode(F.sequence(F.greatest(F.col("first") - around, F.lit(0)), F.col("last") + around)).alias("pos"))
-    rows = asked.join(index.select("doc", "field", "pos", "said", "words"), ["doc", "field", "pos"])
-    part = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", "said")))), lambda x: x["said"]), " ")
-    out = rows.groupBy("question", "doc", "field", "kind", "first", "last").agg(
-        part(F.col("pos") < F.col("first")).alias("before"), part(F.col("pos").between(F.col("first"), F.col("last"))).alias("match"), part(F.col("pos") > F.col("last")).alias("after"), F.first("words").alias("words"),
-    )
-    before = F.when(F.col("first") > around, F.concat(F.lit("… "), F.col("before"))).otherwise(F.col("before"))
-    after = F.when(F.col("last") + around + 1 < F.col("words"), F.concat(F.col("after"), F.lit(" …"))).otherwise(F.col("after"))
-    return out.select("question", "doc", "field", "kind", "first", "last", before.alias("before"), "match", after.alias("after"))
+    starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - reach + 1, F.lit(0)), p))))
+    window = lambda i: F.slice(F.col("low"), i + 1, reach)
+    first = lambda i, w: F.array_min(F.filter(F.transform(forms(w), lambda f: F.array_position(window(i), f)), lambda x: x > 0))
+    last = lambda i: F.array_max(F.transform("words", lambda w: first(i, w))).cast("int") - 1
+    full = lambda i: F.forall("words", lambda w: F.arrays_overlap(window(i), forms(w)))
+    return F.array_min(F.array_compact(F.transform(starts, lambda i: F.when(full(i), F.struct(last(i).alias("d"), i.alias("first"), (i + last(i)).alias("last"))))))
+
+
+def _in_context(around: int = CONTEXT) -> list[Column]:
+    """before, match, after of the best hit b: words as said, with … where the field goes on."""
+    first, last, said = F.col("b.first"), F.col("b.last"), F.col("said")
+    before = F.array_join(F.slice(said, F.greatest(first - around, F.lit(0)) + 1, F.least(first, F.lit(around))), " ")
+    match, after = F.array_join(F.slice(said, first + 1, last - first + 1), " "), F.array_join(F.slice(said, last + 2, F.lit(around)), " ")
+    before = F.when(first > around, F.concat(F.lit("… "), before)).otherwise(before)
+    return [before.alias("before"), match.alias("match"), F.when(last + around + 1 < F.size(said), F.concat(after, F.lit(" …"))).otherwise(after).alias("after")]
+
+
+def _hits(read: DataFrame, anchors: DataFrame, near: int) -> DataFrame:
+    words = read.select("*", F.explode(F.array_distinct("low")).alias("word")).join(F.broadcast(anchors.select(F.col("form").alias("word")).distinct()), "word", "left_semi")
+    words = words.withColumn("at", F.filter(F.transform("low", lambda x, i: F.when(x == F.col("word"), i)), lambda i: i.isNotNull()))
+    asked = words.join(F.broadcast(anchors), F.col("word") == F.col("form")).withColumn("phrase", _phrase())
+    close = F.when(F.col("phrase").isNull() & (F.col("field") == TITLE) & (F.col("size") > 1), _nearest(near))
+    asked = asked.withColumn("near", close).where("phrase IS NOT NULL OR near IS NOT NULL")
+    late, hit = F.col("phrase").isNull(), lambda a, b: F.struct(a.alias("first"), b.alias("last"))
+    asked = asked.withColumn("b", F.when(late, hit(F.col("near.first"), F.col("near.last"))).otherwise(hit(F.col("phrase"), F.col("phrase") + F.col("size") - 1)))
+    # a question may meet a document by several forms of its word: the shortest stretch of all of them counts, not the first
+    longer = F.when(late, F.col("near.d")).otherwise(0)
+    best = asked.select("question", "doc", F.struct("field", late.alias("late"), longer.alias("d"), "b.first", "b.last", *_in_context()).alias("b"))
+    best = best.groupBy("doc", "question").agg(F.min("b").alias("b"))  # documents are dealt out by key, so this moves nothing
+    return best.select("question", "doc", "b.field", F.when(F.col("b.late"), "near").otherwise("phrase").alias("kind"), "b.first", "b.last", "b.before", "b.match", "b.after")
 
 
 def find_keywords(docs: DataFrame, key: str, fields: list[str], questions: DataFrame, q_key: str, q_text: str, near: int = NEAR) -> DataFrame:
@@ -117,15 +115,15 @@ def find_keywords(docs: DataFrame, key: str, fields: list[str], questions: DataF
     other. A document answers once: by its title, as a phrase before nearness,
     then by its other fields in order. Questions without a word, and null
     texts, match nothing; documents and questions must have distinct keys.
+
+    Questions are broadcast, in blocks where they are many. Only the texts are
+    dealt out, so what is moved grows with them and not with the hits.
     """
-    index = positional_index(docs, key, fields)
-    need, anchors = _anchors(index, parsed(questions, q_key, q_text))
-    written_out = phrases(index, need, anchors).withColumn("kind", F.lit("phrase"))
-    close = nearby(index, need, anchors, near).withColumn("kind", F.lit("near"))
-    order = F.struct("field", (F.col("kind") == "near").alias("late"), "first", "last", "kind")
-    best = written_out.unionByName(close).groupBy("question", "doc").agg(F.min(order).alias("b"))
-    hits = written(best.select("question", "doc", "b.field", "b.kind", "b.first", "b.last"), "keyword_hits")
-    return in_context(index, hits)
+    read = fields_read(docs, key, fields)
+    anchors = _anchors(read, parsed(questions, q_key, q_text))
+    blocks = max(1, -(-anchors.count() // MOST_BROADCAST))
+    parts = [anchors.where(F.pmod(F.xxhash64("question"), F.lit(blocks)) == i) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, [_hits(read, part, near) for part in parts])
 
 
 def top_passages(docs: DataFrame, key: str, text: str, pairs: DataFrame, terms: DataFrame) -> DataFrame:
