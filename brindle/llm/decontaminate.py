@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +103,16 @@ def beginnings(items: DataFrame, size: int, most: int = MOST_FIRST) -> tuple[int
     return (size, [r.b for r in got]) if len(got) <= most else None
 
 
+def one_of(hashes: list[int]):
+    """Whether a hash is among these: they are one literal, dealt into short lists by their last bits, as a literal for each would fill the driver's memory."""
+    n = 1 << len(hashes).bit_length()
+    lists: list[list[int]] = [[] for _ in range(n)]
+    for h in hashes:
+        lists[h & (n - 1)].append(h)
+    known = F.from_json(F.lit(json.dumps(lists)), "array<array<bigint>>")
+    return lambda h: F.array_contains(F.get(known, h.bitwiseAND(F.lit(n - 1)).cast("int")), h)
+
+
 def windows(docs: DataFrame, key: list[str | Column], text: Column, lengths: list[int], placed: bool = False, begins: tuple[int, list[int]] | None = None) -> DataFrame:
     """docs -> key, at (place of the window, from 1), w (hash of the template), h (hash of a form of it), slots (values of that form's placeholders).
 
@@ -123,7 +135,8 @@ def windows(docs: DataFrame, key: list[str | Column], text: Column, lengths: lis
         every = places_of(hk, size)
         if begins is None:
             return every
-        return F.filter(every, lambda i: beginning(hl, i, size).isin(begins[1]) | beginning(hk, i, size).isin(begins[1]))
+        known = one_of(begins[1])
+        return F.filter(every, lambda i: known(beginning(hl, i, size)) | known(beginning(hk, i, size)))
 
     def at(tok: Column, hk: Column, hl: Column, places: Column, n: int) -> Column:
         def win(i: Column) -> Column:

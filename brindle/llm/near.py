@@ -9,7 +9,8 @@ lists keyed by three positions are its bands. The steps of simhash.py apply:
 lists of texts that share some positions, a tally of all shared positions of a
 pair, a least number of matches, and an exact check of what is left. Texts in
 lists too long to be tallied are joined by their rarest shingles instead,
-which loses no pair.
+which loses no pair. Groups may also follow the links of simhash.py, as the
+pipeline's do: then these come first, and the similarity adds to them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.samples import unused
+from brindle.llm.simhash import fingerprint, fingerprint_links
 from brindle.operators.dedup import components as connected_components
 from brindle.session import small_enough, written
 
@@ -84,25 +86,27 @@ def list_keys(prints: np.ndarray) -> np.ndarray:
     return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
-def with_samples(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """docs -> doc_id, node, n (shingles), print (array of int), keys (array of long)."""
+def with_samples(docs: DataFrame, text_col: str, width: int, fingerprints: bool = False) -> DataFrame:
+    """docs -> doc_id, node, n (shingles), print (array of int), keys (array of long), fp (SimHash fingerprint, or null where none is asked for)."""
     rows = docs.select("doc_id", F.col(text_col).alias("_text"))
 
     def run(batches):
         for batch in batches:
-            nodes, sizes, prints = [], [], []
+            nodes, sizes, prints, fps = [], [], [], []
             for t in batch.column("_text").to_pylist():
                 w = _words(t)
                 h = shingle_set(w, width)
                 nodes.append(node_of(w))
                 sizes.append(len(h))
                 prints.append(sampled_fingerprint(h))
+                fps.append(fingerprint(t) if fingerprints else 0)
             p = np.stack(prints) if prints else np.zeros((0, POSITIONS), np.int32)
             k = list_keys(p)
             as_lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), as_lists(p, pa.int32()), as_lists(k, pa.int64())], names=["doc_id", "node", "n", "print", "keys"])
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64)) if fingerprints else pa.nulls(len(fps), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), as_lists(p, pa.int32()), as_lists(k, pa.int64()), fp], names=["doc_id", "node", "n", "print", "keys", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, n long, print array<int>, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, n long, print array<int>, keys array<long>, fp long")
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -287,9 +291,26 @@ def _sets_of(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, shingles array<long>")
 
 
-def near_copies(docs: DataFrame, text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def simhash_links(reps: DataFrame, most_bits: int) -> DataFrame:
+    """reps(node, fp) -> links (a, b) of nodes that connect all whose SimHash fingerprints link at most_bits or fewer differing bits, through the index of simhash.py.
+
+    Nodes of one fingerprint are linked to the least of them, which stands for
+    it in the index: any number of copies meets the index once.
+    """
+    least = written(reps.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    alike = reps.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    links = fingerprint_links(least.select("fp"), most_bits)
+    links = links.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return alike.unionByName(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def near_copies(docs: DataFrame, text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, most_bits: int | None = None) -> DataFrame:
     """docs -> doc_id, node, component_id: the least doc_id reachable over pairs with at least that Jaccard similarity of word shingles.
 
+    With most_bits, pairs whose SimHash fingerprints (as op1's: shingles of
+    three words) differ in so many bits at most are links too, whatever their
+    similarity.
+
     Every row gives one row. Texts that differ in ASCII case or blanks only
     are one node, as are all texts without words. Texts under `width` words
     are one shingle, so they link to equal ones only. A row without a doc_id
@@ -298,8 +319,8 @@ def near_copies(docs: DataFrame, text_col: str = "text", width: int = WIDTH, sim
     short list too few positions, can be missed. Rows that repeat a doc_id each
     count. Other columns are ignored. An empty table gives an empty table.
     """
-    rows = written(with_samples(docs, text_col, width), "samples")
-    reps = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("keys").alias("keys"))
+    rows = written(with_samples(docs, text_col, width, most_bits is not None), "samples")
+    reps = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
     reps = written(reps, "nodes")
     pairs, long = candidate_lists(reps.where(F.col("rep").isNotNull()).select("node", "n", "print", "keys"))
     pairs = written(pairs, "pairs")
@@ -309,7 +330,10 @@ def near_copies(docs: DataFrame, text_col: str = "text", width: int = WIDTH, sim
     # beyond the checked size, texts are dealt out by doc_id once
     texts = docs.join(_broadcast_if_few(ids), "doc_id", "left_semi")
     sets = written(_sets_of(texts, text_col, width).join(asked.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    links = written(_checked(pairs, sets, similarity), "links")
+    links = _checked(pairs, sets, similarity)
+    if most_bits is not None:
+        links = simhash_links(reps.where(F.col("rep").isNotNull()).select("node", "fp"), most_bits).unionByName(links)
+    links = written(links, "links")
     roots = connected_components(links)
     if not long.isEmpty():
         more = written(missing_links(sets, long, roots, similarity), "more_links")
@@ -321,13 +345,13 @@ def near_copies(docs: DataFrame, text_col: str = "text", width: int = WIDTH, sim
     return rows.select("doc_id", "node").join(placed, "node").select("doc_id", "node", "component_id")
 
 
-def one_of_each(docs: DataFrame, text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def one_of_each(docs: DataFrame, text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, most_bits: int | None = None) -> DataFrame:
     """docs with one document of each group of near copies: that with the least doc_id. All columns stay.
 
     A doc_id stays if any of its rows is the first of its group. Rows repeated
     with their doc_id and text stay once. Rows without a doc_id stay.
     """
-    found = written(near_copies(docs, text_col, width, similarity), "groups")
+    found = written(near_copies(docs, text_col, width, similarity, most_bits), "groups")
     named = found.where(F.col("doc_id").isNotNull())
     per_id = named.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count("*").alias("n"))
     per_id = written(per_id, "decisions")

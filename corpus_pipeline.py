@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity 0.8 or more."""
-    return near.one_of_each(docs)
+    """One document of each group of near copies: op1's links (SimHash fingerprints within 2 bits, by its index), and shingles of five words at similarity 0.8 or more."""
+    return near.one_of_each(docs, most_bits=2)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
