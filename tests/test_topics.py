@@ -57,3 +57,35 @@ def test_held_out_documents_of_the_table_become_likelier(spark, sf):
     for turn in range(1, 5):
         state = topics.sweep(state, p, turn)
     assert topics.held_out_score(state, new, p) > before + 0.05
+
+
+def test_documents_abreast_are_sampled_as_one_by_one():
+    import numpy as np
+
+    rng, p, vocabulary = np.random.default_rng(3), topics.Prior(topics=4), 50
+    theirs = rng.integers(5, 60, (vocabulary, 4))
+    words = [np.sort(rng.choice(vocabulary, n, replace=False)) for n in [*rng.integers(1, 30, 40), 0, 50, 50]]
+    starts = np.r_[0, np.cumsum([len(w) for w in words])]
+    size = rng.integers(1, 4, starts[-1])
+    ends = np.r_[0, np.cumsum(size)]
+    z, u, held = rng.integers(0, 4, ends[-1]), rng.random(ends[-1]), theirs[np.concatenate(words)]
+    totals = (theirs.sum(axis=0) + 1000).tolist()
+    want = []
+    for a, b in zip(starts, starts[1:]):
+        new = topics._sample([z[ends[w] : ends[w + 1]].tolist() for w in range(a, b)], held[a:b].tolist(), u[ends[a] : ends[b]].tolist(), totals, vocabulary, p)
+        want += [t for x in new for t in x]
+    assert topics._abreast(z, size, starts, held, u, totals, vocabulary, p).tolist() == want
+
+
+def test_counts_reach_words_that_are_not_broadcast(spark):
+    p, tokens = topics.Prior(topics=3), two_subjects(spark, 0, 40)
+    states = topics.first_states(topics.documents_of(tokens), p)
+    want = sorted(map(tuple, topics.sweep_states(states, p, 1).collect()))
+    for most in (1, 7, 33):
+        assert sorted(map(tuple, topics.sweep_states(states, p, 1, most).collect())) == want
+
+
+def test_words_are_counted_in_their_rows(spark):
+    rows = [(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["é", "z", "a"]), (1, ["c", "b"]), (None, ["x"])]
+    got = topics.counted(spark.createDataFrame(rows, "doc long, tokens array<string>").coalesce(1)).collect()
+    assert sorted((r.doc or 0, r.words, r.sizes) for r in got) == [(0, ["x"], [1]), (1, ["a", "b", "c"], [1, 3, 1]), (4, ["a", "z", "é"], [1, 1, 1])]
