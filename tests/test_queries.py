@@ -48,3 +48,14 @@ def test_query_agrees_with_sql(spark, duck, name):
 def test_queries_without_sql_give_rows(spark):
     for name in set(registry.queries()) - set(registry.oracle_sql()):
         assert registry.queries()[name](spark, SF).count() > 0, name
+
+
+def test_postings_are_not_paired_with_all_projects_or_resumes(spark, sf):
+    """Neither a row for each posting and project, nor one for each posting and résumé that share a skill."""
+    import re
+
+    from brindle.plans import registry
+
+    plan = lambda name: registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[posting_id#\d+L?, project", plan("project_ranking"))
+    assert "Join Inner, (skill" not in plan("resume_choice")
