@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.dedup import components
@@ -58,28 +58,31 @@ def _same(rows: DataFrame, aliases: DataFrame | None) -> DataFrame:
 def supported(claims: DataFrame, key: str, sources: DataFrame, doc: str, text: str = "text", aliases: DataFrame | None = None) -> DataFrame:
     """claims(key, text), sources(doc, text), aliases(word, same: see closed) -> claim, n (different things claimed), kinds, support (sources with a sentence that has all of them), first (the least such source).
 
-    The rarest word of a claim leads to the sentences that can bear it out;
-    only there its other words are looked for, by document and sentence, so a
-    word that every text holds joins nothing with everything. A claim of
-    nothing has n = 0 and no support.
+    The rarest word of a claim leads to the sentences that can bear it out.
+    A sentence is one row with all its words, so the claim's other words are
+    looked for where it lies, and only what bears a claim out is moved on.
+    Claims of the same words are one. Claims are broadcast while there are few,
+    else both sides are dealt out by the rarest words. A claim of nothing has
+    n = 0 and no support. `doc` is a key of sources.
     """
     said = claims.select(F.col(key).alias("claim"), F.explode(sentence_words(F.col(text))).alias("s")).select("claim", F.posexplode("s").alias("at", "w"))
     said = said.select("claim", kind_of(F.col("w"), F.col("at")).alias("kind"), normal(F.col("w")).alias("word")).where("kind IS NOT NULL")
     need = written(_same(said, aliases).select("claim", "word", "kind").distinct(), "claimed")
     shape = need.groupBy("claim").agg(F.count_distinct("word").alias("n"), F.array_sort(F.collect_set("kind")).alias("kinds"))
     need = need.select("claim", "word").distinct()
-    read = sources.select(F.col(doc).alias("doc"), F.posexplode(sentence_words(F.col(text))).alias("sentence", "s")).select("doc", "sentence", F.explode(F.array_distinct(F.transform("s", normal))).alias("word"))
+    read = sources.select(F.col(doc).alias("doc"), F.posexplode(sentence_words(F.col(text))).alias("sentence", "s")).select("doc", "sentence", F.array_distinct(F.transform("s", normal)).alias("words"))
+    if aliases is not None:
+        read = _same(read.select("doc", "sentence", F.explode("words").alias("word")), aliases).groupBy("doc", "sentence").agg(F.collect_set("word").alias("words"))
+    read = written(read.select("doc", "words").where(F.size("words") > 0), "read_words")
     wanted = need.select("word").distinct()
-    read = _same(read, aliases).join(F.broadcast(wanted) if small_enough(wanted, MOST_BROADCAST) else wanted, "word", "left_semi")
-    read = written(read.distinct(), "read_words")
-    places = written(read.groupBy("word").agg(F.count("*").alias("places")), "word_places")
-    rated = need.join(F.broadcast(places) if small_enough(places, MOST_BROADCAST) else places, "word", "left")
-    order = Window.partitionBy("claim").orderBy(F.coalesce("places", F.lit(0)), "word")
-    rated = rated.withColumn("rn", F.row_number().over(order))
-    anchor = rated.where("rn = 1 AND places > 0").select("claim", "word")
-    near = written(anchor.join(read, "word").select("claim", "doc", "sentence"), "near_sentences")
-    others = near.join(rated.where("rn > 1").select("claim", "word"), "claim").join(read, ["doc", "sentence", "word"]).groupBy("claim", "doc", "sentence").agg(F.count("*").alias("more"))
-    full = near.join(shape.select("claim", "n"), "claim").join(others, ["claim", "doc", "sentence"], "left").where(F.coalesce("more", F.lit(0)) == F.col("n") - 1)
-    got = full.groupBy("claim").agg(F.count_distinct("doc").alias("support"), F.min("doc").alias("first"))
+    places = read.select(F.explode("words").alias("word")).join(F.broadcast(wanted) if small_enough(wanted, MOST_BROADCAST) else wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("places"))
+    rated = need.join(places, "word", "left").groupBy("claim").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "word"))).alias("s"))
+    rated = written(rated.where(F.col("s")[0]["places"] > 0).select("claim", F.transform("s", lambda x: x["word"]).alias("asked")), "rated_claims")
+    sets = rated.groupBy("asked").agg(F.min("claim").alias("set"))
+    anchored = sets.select("set", F.col("asked")[0].alias("word"), F.slice("asked", F.lit(2), F.size("asked")).alias("others"))
+    near = read.select("doc", "words", F.explode("words").alias("word")).join(F.broadcast(anchored) if small_enough(anchored, MOST_BROADCAST) else anchored, "word")
+    full = near.where(F.forall("others", lambda x: F.array_contains("words", x))).select("set", "doc").distinct()
+    got = full.groupBy("set").agg(F.count("*").alias("support"), F.min("doc").alias("first"))
+    got = rated.join(sets, "asked").select("claim", "set").join(got, "set").drop("set")
     out = claims.select(F.col(key).alias("claim")).distinct().join(shape, "claim", "left").join(got, "claim", "left")
     return out.select("claim", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), F.coalesce("support", F.lit(0)).alias("support"), "first")

@@ -101,3 +101,21 @@ def test_paged_boards(spark):
     with pytest.raises(Exception, match="pages are missing"):
         paged.read_pages(spark, folder, 2, incomplete="fail").collect()
     assert paged.read_pages(spark, folder, 2).where(F.col("company") == "whole").count() == 3
+
+
+def test_claims_meet_sentences_without_a_row_for_each_pair(spark, monkeypatch):
+    sizes = []
+
+    def counted(df, label="step", write=claims.written):
+        out = write(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(claims, "written", counted)
+    asked = [(k, f"we said Platform {k % 20 + 1}") for k in range(40)] + [(40, "we said Platform"), (41, "we said nothing")]
+    sources = [(k, f"The platform at {k} is old. It is a platform; {k % 10 + 1}.") for k in range(100, 200)]
+    rows = lambda: {r.claim: (r.n, r.support, r["first"]) for r in claims.supported(spark.createDataFrame(asked, "id long, text string"), "id", spark.createDataFrame(sources, "doc long, text string"), "doc").collect()}
+    want = {k: (2, 10, 100 + k % 20) if k % 20 < 10 else (2, 0, None) for k in range(40)} | {40: (1, 100, 100), 41: (1, 0, None)}
+    assert rows() == want and max(sizes) <= 200
+    monkeypatch.setattr(claims, "MOST_BROADCAST", 0)
+    assert rows() == want
