@@ -20,17 +20,30 @@ from brindle.session import shared_dir, written_files
 SCHEMA = "company string, page int, body string, announced long, missing int"
 
 
+#: Tasks that a folder is read by at most; below that a page is a task.
+MOST_TASKS = 500
+
+
 @dataclass
-class _Page(InputPartition):
-    """A page's files, and how many pages of its board there are."""
+class _Pages(InputPartition):
+    """Pages with their files, and the runs (first, last) of pages that each of their boards has."""
 
-    company: str
-    page: int
-    files: list[str]
-    pages: list[int]
+    pages: list[tuple[str, int, list[str]]]
+    runs: dict[str, list[tuple[int, int]]]
 
     def __post_init__(self):
-        self.value = (self.company, self.page)
+        self.value = self.pages[0][:2]
+
+
+def _runs(pages: list[int]) -> list[tuple[int, int]]:
+    """Rising page numbers as runs (first, last)."""
+    out: list[tuple[int, int]] = []
+    for n in pages:
+        if out and n == out[-1][1] + 1:
+            out[-1] = (out[-1][0], n)
+        else:
+            out.append((n, n))
+    return out
 
 
 class _Reader(DataSourceReader):
@@ -39,29 +52,34 @@ class _Reader(DataSourceReader):
         self.size, self.total = int(options.get("page_size", "20")), options.get("total", "total")
         self.strict = options.get("incomplete", "refuse") == "fail"
 
-    def partitions(self) -> list[_Page]:
-        """A partition for each page, from names alone: nothing is read here."""
+    def partitions(self) -> list[_Pages]:
+        """A partition for each page, or for as many as make MOST_TASKS, from names alone: nothing is read here."""
         fs, root = pa.fs.FileSystem.from_uri(self.folder)
         boards: dict[str, dict[int, list[str]]] = {}
         for f in fs.get_file_info(pa.fs.FileSelector(root, recursive=True)):
             parts = dict(p.split("=", 1) for p in f.path.removeprefix(root).split("/") if "=" in p)
             if f.is_file and not f.base_name.startswith(("_", ".")) and {"company", "page"} <= parts.keys():
                 boards.setdefault(unquote(parts["company"]), {}).setdefault(int(parts["page"]), []).append(f.path)
-        return [_Page(c, n, sorted(files), sorted(pages)) for c, pages in sorted(boards.items()) for n, files in sorted(pages.items())]
-
-    def read(self, partition: _Page) -> Iterator[pa.RecordBatch]:
-        """The page, if its board is whole by what the page itself announces; else its first page says how many are missing."""
+        runs = {c: _runs(sorted(pages)) for c, pages in boards.items()}
+        every = [(c, n, sorted(files)) for c, pages in sorted(boards.items()) for n, files in sorted(pages.items())]
+        size = max(1, -(-len(every) // MOST_TASKS))
+        some = [every[a : a + size] for a in range(0, len(every), size)]
+        return [_Pages(pages, {c: runs[c] for c, _, _ in pages}) for pages in some]
+
+    def read(self, partition: _Pages) -> Iterator[pa.RecordBatch]:
+        """The pages of boards that are whole by what the pages themselves announce; of another its first page says how many are missing."""
         fs, _ = pa.fs.FileSystem.from_uri(self.folder)
-        body = "".join(fs.open_input_stream(f).read().decode() for f in partition.files).strip()
-        announced = json.loads(body).get(self.total) or 0
-        wanted = set(range(max(1, -(-announced // self.size))))
-        missing = len(wanted - set(partition.pages))
-        if missing and self.strict:
-            raise ValueError(f"{partition.company}: {missing} of {len(wanted)} pages are missing")
-        if not missing:
-            yield self._row(partition.company, partition.page, body, announced, 0)
-        elif partition.page == partition.pages[0]:
-            yield self._row(partition.company, None, None, announced, missing)
+        for company, page, files in partition.pages:
+            body = "".join(fs.open_input_stream(f).read().decode() for f in files).strip()
+            announced = json.loads(body).get(self.total) or 0
+            wanted, runs = max(1, -(-announced // self.size)), partition.runs[company]
+            missing = wanted - sum(max(0, min(last, wanted - 1) - max(first, 0) + 1) for first, last in runs)
+            if missing and self.strict:
+                raise ValueError(f"{company}: {missing} of {wanted} pages are missing")
+            if not missing:
+                yield self._row(company, page, body, announced, 0)
+            elif page == runs[0][0]:
+                yield self._row(company, None, None, announced, missing)
 
     @staticmethod
     def _row(*values) -> pa.RecordBatch:

@@ -119,3 +119,15 @@ def test_claims_meet_sentences_without_a_row_for_each_pair(spark, monkeypatch):
     assert rows() == want and max(sizes) <= 200
     monkeypatch.setattr(claims, "MOST_BROADCAST", 0)
     assert rows() == want
+
+
+def test_many_pages_are_few_tasks(spark, monkeypatch):
+    rows = [(c, n, json.dumps({"total": 60})) for c in ("whole", "holes", "more") for n in range(31 if c == "more" else 30) if c != "holes" or n % 4 != 1]
+    folder = paged.pages_written(spark.createDataFrame(rows, "company string, page int, body string"), "test-pages")
+    monkeypatch.setattr(paged, "MOST_TASKS", 7)
+    parts = paged._Reader({"path": folder, "page_size": "2"}).partitions()
+    assert len(parts) == 7 and sum(len(p.pages) for p in parts) == len(rows)
+    assert max(len(r) for p in parts for c, r in p.runs.items() if c != "holes") == 1  # no page carries its board's list of pages
+    reader = paged._Reader({"path": folder, "page_size": "2"})
+    got = [tuple(b.to_pylist()[0].values())[:2] + (b.to_pylist()[0]["missing"],) for p in parts for b in reader.read(p)]
+    assert sorted(got, key=str) == sorted([("whole", n, 0) for n in range(30)] + [("more", n, 0) for n in range(31)] + [("holes", None, 8)], key=str)
