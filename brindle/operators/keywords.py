@@ -1,9 +1,15 @@
-"""Keyword search: each question goes to the documents that hold its rarest word, and what stands around that word decides inside the row."""
+"""Keyword search: two words of a question lead to the places where it can match, and what stands around them decides, inside the document."""
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import reduce
+from itertools import permutations, product
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +20,9 @@ from brindle.session import small_enough, written
 WORD = r"\.?[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*[+#]*"
 NEAR, CONTEXT = 2, 2
 TITLE = 0
-MOST_BROADCAST = 100_000
+#: Rows that are broadcast at most, different questions that a task looks for, and hits that it returns at a time.
+MOST_BROADCAST, ASKS, HITS = 100_000, 50_000, 20_000
+_WORDS = re.compile(WORD).findall
 
 
 def said_words(text: Column) -> Column:
@@ -22,20 +30,14 @@ def said_words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def forms(word: Column) -> Column:
+def forms(word: str) -> tuple[str, str, str]:
     """A word as written and its plurals."""
-    return F.array(word, F.concat(word, F.lit("s")), F.concat(word, F.lit("es")))
+    return word, f"{word}s", f"{word}es"
 
 
 def fields_read(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """docs -> doc, field (place in `fields`; the first is the title), said, low: words of the field in order, as said and in lower case.
-
-    Documents are dealt out once, by key and as text, so that all that is
-    found in one meets where its words are and nothing moves again.
-    """
-    dealt = docs.select(F.col(key).alias("doc"), *[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)]).repartition("doc")
-    lists = F.array(*[F.struct(F.lit(i).alias("field"), said_words(F.col(f"_{i}")).alias("said")) for i in range(len(fields))])
-    return dealt.select("doc", F.explode(lists).alias("f")).select("doc", "f.*").withColumn("low", F.transform("said", F.lower))
+    """docs -> doc and its fields (columns _0, _1 ...), dealt out once by key, as text, so that all that is found in one is found where it lies."""
+    return docs.select(F.col(key).alias("doc"), *[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)]).repartition("doc")
 
 
 def parsed(questions: DataFrame, key: str, text: str) -> DataFrame:
@@ -47,64 +49,106 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small_enough(df, MOST_BROADCAST) else df
 
 
-def _anchors(read: DataFrame, parsed_: DataFrame) -> DataFrame:
-    """question, size, words, k, form: for each question the word that stands in the fewest places, in all its forms; none if one of its words stands nowhere."""
-    each = parsed_.select("question", F.posexplode("words").alias("k", "wanted"))
-    need = written(each.select("*", F.explode(forms(F.col("wanted"))).alias("form")), "wanted")
-    said = read.select(F.explode("low").alias("word"))
-    places = said.join(_few(need.select("form").distinct()), F.col("word") == F.col("form"), "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    held = need.join(_few(written(places, "places")), F.col("form") == F.col("word"), "left").groupBy("question", "k", "wanted").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    rare = held.groupBy("question").agg(F.min(F.struct("n", "k", "wanted")).alias("a")).where("a.n > 0")
-    rare = rare.join(parsed_, "question").select("question", F.size("words").alias("size"), "words", "a.k", F.explode(forms(F.col("a.wanted"))).alias("form"))
-    return written(rare, "anchors")
-
-
-def _phrase() -> Column:
-    """The first place where a question's words stand in order; null if there is none. Each place of its rarest word says where the others have to stand."""
-    start = lambda p: p - F.col("k")
-    here = lambda p: F.forall(F.transform("words", lambda w, i: F.array_contains(forms(w), F.get("low", start(p) + i))), lambda x: x)
-    inside = lambda p: (start(p) >= 0) & (start(p) + F.col("size") <= F.size("low"))
-    return start(F.get(F.filter("at", lambda p: F.when(inside(p), here(p)).otherwise(False)), F.lit(0)))
+class _Asks:
+    """Different lists of words, each under what leads to it: its one word, two of its words that follow each other, and two that stand near each other, in all their forms.
 
-
-def _nearest(near: int) -> Column:
-    """(length less one, first, last) of the shortest stretch that holds all words of a question, in any order, with at most `near` words more, the earliest of several; null if there is none.
-
-    A stretch holds the rarest word, so it begins within reach of one of its
-    places. It ends where the last of the different words first stands; a word
-    may count for several of the question's.
+    The two words are those that questions use least. `low` is a field's words
+    in lower case, `known` the asks that need no answer any more.
     """
-    reach = F.col("size") + near
-    starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(p - reach + 1, F.lit(0)), p))))
-    window = lambda i: F.slice(F.col("low"), i + 1, reach)
-    first = lambda i, w: F.array_min(F.filter(F.transform(forms(w), lambda f: F.array_position(window(i), f)), lambda x: x > 0))
-    last = lambda i: F.array_max(F.transform("words", lambda w: first(i, w))).cast("int") - 1
-    full = lambda i: F.forall("words", lambda w: F.arrays_overlap(window(i), forms(w)))
-    return F.array_min(F.array_compact(F.transform(starts, lambda i: F.when(full(i), F.struct(last(i).alias("d"), i.alias("first"), (i + last(i)).alias("last"))))))
-
-
-def _in_context(around: int = CONTEXT) -> list[Column]:
-    """before, match, after of the best hit b: words as said, with … where the field goes on."""
-    first, last, said = F.col("b.first"), F.col("b.last"), F.col("said")
-    before = F.array_join(F.slice(said, F.greatest(first - around, F.lit(0)) + 1, F.least(first, F.lit(around))), " ")
-    match, after = F.array_join(F.slice(said, first + 1, last - first + 1), " "), F.array_join(F.slice(said, last + 2, F.lit(around)), " ")
-    before = F.when(first > around, F.concat(F.lit("… "), before)).otherwise(before)
-    return [before.alias("before"), match.alias("match"), F.when(last + around + 1 < F.size(said), F.concat(after, F.lit(" …"))).otherwise(after).alias("after")]
-
-
-def _hits(read: DataFrame, anchors: DataFrame, near: int) -> DataFrame:
-    words = read.select("*", F.explode(F.array_distinct("low")).alias("word")).join(F.broadcast(anchors.select(F.col("form").alias("word")).distinct()), "word", "left_semi")
-    words = words.withColumn("at", F.filter(F.transform("low", lambda x, i: F.when(x == F.col("word"), i)), lambda i: i.isNotNull()))
-    asked = words.join(F.broadcast(anchors), F.col("word") == F.col("form")).withColumn("phrase", _phrase())
-    close = F.when(F.col("phrase").isNull() & (F.col("field") == TITLE) & (F.col("size") > 1), _nearest(near))
-    asked = asked.withColumn("near", close).where("phrase IS NOT NULL OR near IS NOT NULL")
-    late, hit = F.col("phrase").isNull(), lambda a, b: F.struct(a.alias("first"), b.alias("last"))
-    asked = asked.withColumn("b", F.when(late, hit(F.col("near.first"), F.col("near.last"))).otherwise(hit(F.col("phrase"), F.col("phrase") + F.col("size") - 1)))
-    # a question may meet a document by several forms of its word: the shortest stretch of all of them counts, not the first
-    longer = F.when(late, F.col("near.d")).otherwise(0)
-    best = asked.select("question", "doc", F.struct("field", late.alias("late"), longer.alias("d"), "b.first", "b.last", *_in_context()).alias("b"))
-    best = best.groupBy("doc", "question").agg(F.min("b").alias("b"))  # documents are dealt out by key, so this moves nothing
-    return best.select("question", "doc", "b.field", F.when(F.col("b.late"), "near").otherwise("phrase").alias("kind"), "b.first", "b.last", "b.before", "b.match", "b.after")
+
+    def __init__(self, asks: list[list[str]], near: int) -> None:
+        uses = Counter(w for a in asks for w in a)
+        shapes = {w: frozenset(forms(w)) for w in uses}
+        rare = lambda *words: (math.prod(uses[w] for w in words), words)
+        self.near, self.reach, self.asks = near, max(map(len, asks), default=0) + near, [[shapes[w] for w in a] for a in asks]
+        self.single: dict[str, list[int]] = defaultdict(list)
+        self.pairs: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
+        self.close: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for n, a in enumerate(asks):
+            if len(a) == 1:
+                for x in shapes[a[0]]:
+                    self.single[x].append(n)
+                continue
+            k = min(range(len(a) - 1), key=lambda k: rare(a[k], a[k + 1]))
+            for both in product(shapes[a[k]], shapes[a[k + 1]]):
+                self.pairs[both].append((n, k))
+            two = sorted(set(a), key=rare)[:2]
+            for both in {x for u, v in permutations((two[0], two[-1])) for x in product(shapes[u], shapes[v])}:
+                self.close[both].append(n)
+
+    def phrases(self, low: list[str], known: dict) -> dict[int, tuple[int, int]]:
+        """ask -> first, last of the first place where its words stand in order."""
+        found: dict[int, tuple[int, int]] = {}
+        first = dict(zip(reversed(low), range(len(low) - 1, -1, -1)))
+        for x in self.single.keys() & first.keys():
+            for n in self.single[x]:
+                if n not in known:
+                    found[n] = min(found.get(n, (len(low), 0)), (first[x], first[x]))
+        for i, here in enumerate(map(self.pairs.get, zip(low, low[1:]))):
+            for n, k in here or ():
+                at, q = i - k, self.asks[n]
+                if at >= 0 and n not in known and n not in found and at + len(q) <= len(low) and all(x in w for x, w in zip(low[at : at + len(q)], q)):
+                    found[n] = (at, at + len(q) - 1)
+        return found
+
+    def nearest(self, low: list[str], known: dict) -> dict[int, tuple[int, int]]:
+        """ask -> first, last of the shortest stretch that holds all its words, in any order, with at most `near` words more, the earliest of several. A word may count for several of an ask's."""
+        best: dict[int, tuple[int, int]] = {}
+        for apart in range(self.reach):
+            for i, here in enumerate(map(self.close.get, zip(low, low[apart:]))):
+                for n in here or ():
+                    q, longest = self.asks[n], len(self.asks[n]) + self.near
+                    for at in range(max(0, i + apart - longest + 1), i + 1) if n not in known else ():
+                        if any(low[at] in w for w in q):  # a shortest stretch begins with a word of the ask
+                            part = low[at : at + longest]
+                            d = max(next((e for e, x in enumerate(part) if x in w), longest) for w in q)
+                            if d < longest:
+                                best[n] = min(best.get(n, (longest, 0)), (d, at))
+        return {n: (at, at + d) for n, (d, at) in best.items()}
+
+    def hits(self, fields: list[str | None]) -> Iterator[tuple[int, int, bool, int, int, str, str, str]]:
+        """ask, field, whether near only, first, last, before, match, after: a document's answer to each ask that it answers."""
+        known: dict[int, tuple[int, int]] = {}
+        for f, text in enumerate(fields):
+            said = _WORDS(text or "")
+            low = [*map(str.lower, said)]
+            for late in (False, True) if f == TITLE else (False,):
+                found = self.nearest(low, known) if late else self.phrases(low, known)
+                known |= found
+                for n, (first, last) in found.items():
+                    yield n, f, late, first, last, *_in_context(said, first, last)
+
+
+def _in_context(said: list[str], first: int, last: int, around: int = CONTEXT) -> tuple[str, str, str]:
+    """before, match, after: words as said, with … where the field goes on."""
+    before, after = " ".join(said[max(first - around, 0) : first]), " ".join(said[last + 1 : last + 1 + around])
+    return "… " + before if first > around else before, " ".join(said[first : last + 1]), after + " …" if last + around + 1 < len(said) else after
+
+
+def _hits(read: DataFrame, asks: DataFrame, near: int) -> DataFrame:
+    """read, asks(ask, words) -> ask, doc, field, late, first, last, before, match, after."""
+    fields, asked = [c for c in read.columns if c != "doc"], asks.toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, names = _Asks(asked.column("words").to_pylist(), near), asked.column("ask").combine_chunks()
+
+        def batch(docs: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+            doc, ask, *rest = zip(*rows)
+            kinds = [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([names.take(pa.array(ask)), docs.take(pa.array(doc)), *(pa.array(v, t) for v, t in zip(rest, kinds))], names=["ask", "doc", "field", "late", "first", "last", "before", "match", "after"])
+
+        for x in batches:
+            rows: list[tuple] = []
+            for i in range(len(x)):
+                rows += [(i, *hit) for hit in index.hits([x.column(f)[i].as_py() for f in fields])]
+                if len(rows) >= HITS:
+                    yield batch(x.column("doc"), rows)
+                    rows = []
+            if rows:
+                yield batch(x.column("doc"), rows)
+
+    ask, doc = asks.schema["ask"].dataType.simpleString(), read.schema["doc"].dataType.simpleString()
+    return read.mapInArrow(run, f"ask {ask}, doc {doc}, field int, late boolean, first int, last int, before string, match string, after string")
 
 
 def find_keywords(docs: DataFrame, key: str, fields: list[str], questions: DataFrame, q_key: str, q_text: str, near: int = NEAR) -> DataFrame:
@@ -116,14 +160,19 @@ def find_keywords(docs: DataFrame, key: str, fields: list[str], questions: DataF
     then by its other fields in order. Questions without a word, and null
     texts, match nothing; documents and questions must have distinct keys.
 
-    Questions are broadcast, in blocks where they are many. Only the texts are
-    dealt out, so what is moved grows with them and not with the hits.
+    Questions of the same words are searched for once, under the least of them,
+    and told apart at the end. They travel to the tasks, in blocks where they
+    are many. Only the texts are dealt out, so what is moved grows with them
+    and not with the hits.
     """
-    read = fields_read(docs, key, fields)
-    anchors = _anchors(read, parsed(questions, q_key, q_text))
-    blocks = max(1, -(-anchors.count() // MOST_BROADCAST))
-    parts = [anchors.where(F.pmod(F.xxhash64("question"), F.lit(blocks)) == i) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, [_hits(read, part, near) for part in parts])
+    read, every = fields_read(docs, key, fields), written(parsed(questions, q_key, q_text), "questions")
+    asks = written(every.groupBy("words").agg(F.min("question").alias("ask")), "asks")
+    blocks = max(1, -(-asks.count() // ASKS))
+    parts = [asks.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == i).select("ask", "words") for i in range(blocks)]
+    found = reduce(DataFrame.unionByName, [_hits(read, part, near) for part in parts])
+    names = written(every.join(asks, "words").select("ask", "question"), "names")
+    kind = F.when(F.col("late"), "near").otherwise("phrase").alias("kind")
+    return found.join(_few(names), "ask").select("question", "doc", "field", kind, "first", "last", "before", "match", "after")
 
 
 def top_passages(docs: DataFrame, key: str, text: str, pairs: DataFrame, terms: DataFrame) -> DataFrame:

@@ -95,3 +95,21 @@ def test_segmentation_is_leftmost_and_longest(spark):
                 i += 1
     assert got == want and len(want) > 300
     assert voc.segmented(voc.spans(spark.createDataFrame(docs, "id long, t string"), "id", "t", df.limit(0))).count() == 0
+
+
+def test_questions_of_the_same_words_are_searched_for_once(spark, monkeypatch):
+    rng = random.Random(8)
+    some = ["as", "a", "box", "boxes", "of", "the", "data", "go"]
+    docs = [(k, " ".join(rng.choice(some) for _ in range(rng.randrange(12))), " ".join(rng.choice(some) for _ in range(rng.randrange(30)))) for k in range(60)]
+    texts = ["the the", "a as", "of box", "data go the", "box", "go a data of"]
+    asks = [(k, texts[k % 6].upper() if k % 4 else texts[k % 6] + "?") for k in range(48)]
+    want = {(q, d): hit for q, ask in asks for d, *fields in docs if (hit := plain_find(fields, ask))}
+    looked, hits = [], kw._hits
+    monkeypatch.setattr(kw, "_hits", lambda read, part, near: looked.append(part.count()) or hits(read, part, near))
+    for most in (50_000, 2):
+        monkeypatch.setattr(kw, "ASKS", most)
+        monkeypatch.setattr(kw, "HITS", most)
+        looked.clear()
+        got = kw.find_keywords(spark.createDataFrame(docs, "id long, title string, body string"), "id", ["title", "body"], spark.createDataFrame(asks, "q long, ask string"), "q", "ask").collect()
+        assert {(r.question, r.doc): (r.field, r.kind, r["first"], r["last"]) for r in got} == want and len(got) == len(want) > 500
+        assert sum(looked) == 6 and len(looked) == (1 if most > 6 else 3)
