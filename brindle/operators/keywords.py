@@ -36,8 +36,13 @@ def forms(word: str) -> tuple[str, str, str]:
 
 
 def fields_read(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """docs -> doc and its fields (columns _0, _1 ...), dealt out once by key, as text, so that all that is found in one is found where it lies."""
-    return docs.select(F.col(key).alias("doc"), *[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)]).repartition("doc")
+    """docs -> doc and its fields (columns _0, _1 ...), dealt out once by key, as text, so that all that is found in one is found where it lies.
+
+    Searching costs far more than its bytes tell, so the parts are not merged by their size.
+    """
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return docs.select(F.col(key).alias("doc"), *[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)]).repartition(parts, "doc")
 
 
 def parsed(questions: DataFrame, key: str, text: str) -> DataFrame:
